@@ -2,6 +2,6 @@
 
 from sitelens.catalog.registry import ORACLES, QUERIES
 
-from sitelens.catalog import cleaning, scoring  # noqa: E402,F401
+from sitelens.catalog import aggregating, cleaning, joining, ranking, scoring  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]

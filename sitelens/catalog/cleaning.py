@@ -248,12 +248,12 @@ def fallback_keys(t: Tables) -> DataFrame:
 
 @query("ratio_values", """WITH s AS (SELECT l_suppkey, p_brand, year(l_shipdate) AS y, round(avg(l_quantity), 6) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 g AS (SELECT p_brand, year(l_shipdate) AS y, round(avg(l_quantity), 6) AS base FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 1 GROUP BY ALL)
-SELECT l_suppkey, p_brand, y, round(value - base, 4) AS value FROM s LEFT JOIN g USING (p_brand, y)""")
+SELECT l_suppkey, p_brand, y, round(value - base, 6) AS value FROM s LEFT JOIN g USING (p_brand, y)""")
 def ratio_values(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey").withColumn("y", F.year("l_shipdate").cast("bigint"))
     site = rows.groupBy("l_suppkey", "p_brand", "y").agg(F.round(F.avg("l_quantity"), 6).alias("value"))
     gene = rows.where("p_size > 1").groupBy("p_brand", "y").agg(F.round(F.avg("l_quantity"), 6).alias("value"))
-    return rounded(C.ratio_values(site, gene, ["p_brand", "y"]), digits=4).select("l_suppkey", "p_brand", "y", "value")
+    return rounded(C.ratio_values(site, gene, ["p_brand", "y"])).select("l_suppkey", "p_brand", "y", "value")
 
 
 @query("mode_rows", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
@@ -276,10 +276,10 @@ def star_labels(t: Tables) -> DataFrame:
     )
 
 
-@query("expected_directions", """SELECT l_returnflag, l_linestatus,
-  CASE WHEN l_returnflag = 'N' THEN 'two-sided' WHEN (l_returnflag = 'A') = (l_linestatus = 'F') THEN 'greater' ELSE 'less' END AS alternative,
-  round(CASE WHEN l_returnflag = 'N' THEN sum(abs(l_tax - l_discount)) WHEN (l_returnflag = 'A') = (l_linestatus = 'F') THEN sum(l_tax - l_discount)
-    ELSE sum(l_discount - l_tax) END, 4) AS effect, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("expected_directions", """WITH r AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'N' THEN 'two-sided'
+  WHEN (l_returnflag = 'A') = (l_linestatus = 'F') THEN 'greater' ELSE 'less' END AS alternative, l_tax - l_discount AS d FROM lineitem)
+SELECT l_returnflag, l_linestatus, alternative, round(sum(CASE alternative WHEN 'two-sided' THEN abs(d) WHEN 'greater' THEN d ELSE -d END), 4) AS effect,
+  count(*) AS n FROM r GROUP BY ALL""")
 def expected_directions(t: Tables) -> DataFrame:
     way = F.when(F.col("l_returnflag") == "A", "Import").when(F.col("l_returnflag") == "R", "export").otherwise("none")
     reg = F.when(F.col("l_linestatus") == "F", "activate").otherwise("repress")

@@ -238,27 +238,20 @@ def mark_known(
     """Mark sites of which any identity column is a known key for the same direction.
 
     ``known`` has columns (key, direction). When it holds no row of a direction,
-    the keys of all directions count.
+    the keys of all directions count. Directions are a handful of words, so the
+    collected sets stay short.
     """
-    covered = known.where(F.col("direction").isNotNull()).select("direction").distinct()
-    all_keys = known.select("key").distinct()
-    wide = (
-        sites.select(direction)
-        .distinct()
-        .join(covered, F.col(direction) == F.col("direction"), "left_anti")
-        .crossJoin(all_keys)
-        .select(F.col("key"), F.col(direction).alias("_d"))
-    )
-    keys = known.select("key", F.col("direction").alias("_d")).union(wide.select("key", "_d")).distinct()
-    flagged = sites
+    covered = known.agg(F.collect_set("direction").alias("_covered"))
+    keys = known.groupBy("key").agg(F.collect_set("direction").alias("_ways"))
+    flagged = sites.crossJoin(F.broadcast(covered))
     hits = F.lit(False)
     for i, c in enumerate(identities):
-        side = keys.select(F.col("key").alias(f"_k{i}"), F.col("_d").alias(f"_d{i}"), F.lit(True).alias(f"_h{i}"))
-        flagged = flagged.join(
-            side, (F.col(c) == F.col(f"_k{i}")) & (F.col(direction) == F.col(f"_d{i}")), "left"
-        ).drop(f"_k{i}", f"_d{i}")
-        hits = hits | F.coalesce(F.col(f"_h{i}"), F.lit(False))
-    return flagged.withColumn(out, hits).drop(*[f"_h{i}" for i in range(len(identities))])
+        side = keys.select(F.col("key").alias(f"_k{i}"), F.col("_ways").alias(f"_w{i}"))
+        flagged = flagged.join(side, F.col(c) == F.col(f"_k{i}"), "left")
+        counts = F.array_contains(f"_w{i}", F.col(direction)) | ~F.array_contains("_covered", F.col(direction))
+        hits = hits | (F.col(f"_k{i}").isNotNull() & F.coalesce(counts, F.lit(False)))
+    helpers = [f"_{x}{i}" for i in range(len(identities)) for x in "kw"]
+    return flagged.withColumn(out, hits).drop("_covered", *helpers)
 
 
 def score_column(df: DataFrame, candidates: Sequence[str], exclude: Sequence[str] = ()) -> str:

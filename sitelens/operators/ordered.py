@@ -16,6 +16,7 @@ The result never depends on whether a group was cut.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ def input_bytes(df: DataFrame) -> float:
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return float(
-            sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+            sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
         )
     except Exception:
         return float("inf")
@@ -53,6 +54,23 @@ def is_small(df: DataFrame, growth: float = 1.0) -> bool:
     return limit > 0 and input_bytes(df) * growth <= limit
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a large intermediate table once, so that the jobs after it read it instead of redoing it.
+
+    Uses the checkpoint folder of the session. Local sessions without one get a
+    temporary folder; a cluster session without one keeps the lazy plan.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="sitelens-")
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     cond = F.lit(True)
     for n in names:
@@ -84,9 +102,6 @@ class Layout:
             return [*self.keys, SLICE]
         return list(self.keys)
 
-    def plain(self) -> DataFrame:
-        return self.df.drop(SLICE)
-
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> list:
     """The groups above the row limit; at most four per shuffle partition.
@@ -111,6 +126,7 @@ def lay_out(df: DataFrame, keys: Sequence[str], value: str, growth: float = 1.0)
     keys = list(keys)
     if is_small(df, growth):
         return Layout(df, tuple(keys), False)
+    df = settle(df)
     hot = hot_groups(df, keys)
     if not hot:
         return Layout(df, tuple(keys), False)
@@ -240,6 +256,7 @@ def row_rank(
     sign = F.lit(1) if ascending else F.lit(-1)
     work = df.withColumn("_v", F.coalesce(sign * F.col(value), F.lit(float("inf"))))
     layout = lay_out(work, keys, "_v", growth)
+    work = layout.df.drop(SLICE)
     if not layout.cut:
         out = work.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy("_v", tie)).cast("bigint"))
         if size:
@@ -270,8 +287,9 @@ def quantiles(
     the wanted positions are picked.
     """
     keys = list(keys)
-    present = df.where(F.col(value).isNotNull())
+    present = df.where(F.col(value).isNotNull()).select(*keys, value)
     layout = lay_out(present, keys, value, growth)
+    present = layout.df.drop(SLICE)
     if not layout.cut:
         return present.groupBy(*keys).agg(*[F.percentile(value, p).alias(name) for name, p in probs.items()])
     steps = ladder(present, keys, value, {"_n": F.lit(1)})
@@ -303,7 +321,8 @@ def with_quantiles(
 ) -> DataFrame:
     """Group aggregates next to exact quantiles of ``value``, in one pass where the groups allow it."""
     keys = list(keys)
-    layout = lay_out(df, keys, value) if not is_small(df) else Layout(df, tuple(keys), False)
+    layout = lay_out(df, keys, value)
+    df = layout.df.drop(SLICE)
     if not layout.cut:
         return df.groupBy(*keys).agg(*aggs, *[F.percentile(value, p).alias(n) for n, p in probs.items()])
     return attach(df.groupBy(*keys).agg(*aggs), quantiles(df, keys, value, probs), keys)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from sitelens.functions import scalars as S
 from sitelens.functions.draws import draw_key
 from sitelens.operators.ordered import (
+    SLICE,
     attach,
     gap_runs,
     ladder,
+    lay_out,
     quantiles,
     reverse_running_min,
     row_rank,
@@ -106,10 +108,19 @@ def gap_clusters(
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, q: str = "q_value") -> DataFrame:
     """False-discovery q-values within each group; NULL p-values are kept and not counted.
 
-    Equal p-values share one q-value, so the step works on distinct p-values
-    and joins back, and a hot group is cut along p.
+    One ordered pass per group. A hot group is worked on as distinct p-values
+    cut into slices, since equal p-values share one q-value.
     """
     keys = list(keys)
+    layout = lay_out(df, keys, p)
+    df = layout.df.drop(SLICE)
+    if not layout.cut:
+        group = Window.partitionBy(*keys)
+        upward = group.orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        downward = group.orderBy(F.col(p).desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        raw = F.col(p) * F.count(p).over(group) / F.count(p).over(upward)
+        stepped = df.withColumn("_raw", raw).withColumn(q, F.least(F.min("_raw").over(downward), F.lit(1.0)))
+        return stepped.withColumn(q, F.when(F.col(p).isNotNull(), F.col(q))).drop("_raw")
     steps = ladder(df.select(*keys, p), keys, p, {"_n": F.lit(1)})
     raw = steps.select(
         *keys, p, (F.col(p) * F.col("_n_total") / (F.col("_n_before") + F.col("_n"))).alias("_raw")

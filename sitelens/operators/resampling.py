@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import scalars as S
 from sitelens.functions.draws import draw_index, draw_number
-from sitelens.operators.ordered import attach, quantiles, row_rank
+from sitelens.operators.ordered import HOT_ROWS, HOT_ROWS_KEY, attach, is_small, quantiles, row_rank
 from sitelens.operators.rank_tests import rank_sum_test
 from sitelens.operators.ranking import benjamini_hochberg, top_per_group
 
@@ -48,29 +48,51 @@ def draw_positions(
     """
     keys = list(keys)
     base = requests.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)).cast("array<bigint>")))
+    # Requests are few and their draws many: spread the requests by the key that the
+    # steps below group on, so that the drawn rows themselves are not shuffled.
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = base.repartition(parts, *keys, "iteration")
     n, w = F.col(size).cast("bigint"), F.col(want).cast("bigint")
     if replace:
         return _slots(base.where(n > 0), w).withColumn(
             "position", draw_index(n, seed, *keys, "iteration", "slot")
         )
-    everything = _slots(base.where(w >= n), n).withColumn("position", F.col("slot"))
-    part = base.where((w < n) & (w > 0))
-    expected = n * F.log(n / (n - w + 1.0))
-    tries = F.ceil(1.3 * F.greatest(expected, w.cast("double")) + 20)
-    drawn = _slots(part.withColumn("_tries", tries), F.col("_tries")).withColumn(
-        "position", draw_index(n, seed, *keys, "iteration", "slot")
-    )
     ids = [*keys, "iteration"]
+    whole_pool = w >= n
+    tries = F.ceil(1.3 * F.greatest(n * F.log(n / (n - w + 1.0)), w.cast("double")) + 20)
+    base = base.where((n > 0) & (w > 0)).withColumn("_tries", F.when(whole_pool, n).otherwise(tries).cast("bigint"))
+    drawn = _slots(base, F.col("_tries")).withColumn(
+        "position",
+        F.when(whole_pool, F.col("slot")).otherwise(draw_index(n, seed, *keys, "iteration", "slot")),
+    )
     first = drawn.groupBy(*ids, size, want, "position").agg(F.min("slot").alias("slot"))
-    ranked = row_rank(first, ids, "slot", "slot", "_place", size="_found", ascending=True, growth=iterations)
-    good = ranked.where((F.col("_place") <= w) & (F.col("_found") >= w)).select(*ids, size, want, "slot", "position")
-    short = ranked.where((F.col("_found") < w) & (F.col("_place") == 1)).select(*ids, size, want)
-    redrawn = _slots(short, n).withColumn("position", F.col("slot"))
-    redrawn = redrawn.withColumn("_u", draw_number(seed + 1, *keys, "iteration", "position"))
-    refilled = row_rank(redrawn, ids, "_u", "position", "_place", ascending=True, growth=iterations)
-    refilled = refilled.where(F.col("_place") <= w).select(*ids, size, want, "slot", "position")
-    columns = [*ids, size, want, "slot", "position"]
-    return everything.select(*columns).unionByName(good).unionByName(refilled)
+    if _long_samples(requests, want):
+        ranked = row_rank(first, ids, "slot", "slot", "_place", size="_found", ascending=True, growth=iterations)
+    else:
+        one = Window.partitionBy(*ids)
+        ranked = first.withColumn("_place", F.row_number().over(one.orderBy("slot"))).withColumn(
+            "_found", F.count(F.lit(1)).over(one)
+        )
+    enough = F.col("_found") >= F.least(w, n)
+    used = ranked.where((enough & (F.col("_place") <= w)) | (~enough & (F.col("_place") == 1)))
+    # The rare short sample is replaced by a ranking of its whole pool.
+    spread = used.withColumn("_short", ~enough).withColumn(
+        "position", F.explode(F.when(enough, F.array("position")).otherwise(F.sequence(F.lit(1).cast("bigint"), n)))
+    )
+    redraw = F.row_number().over(
+        Window.partitionBy(*ids, "_short").orderBy(draw_number(seed + 1, *keys, "iteration", "position"), "position")
+    )
+    kept = spread.withColumn("_again", redraw).where(~F.col("_short") | (F.col("_again") <= w))
+    return kept.select(*ids, size, want, "slot", "position")
+
+
+def _long_samples(requests: DataFrame, want: str) -> bool:
+    """Whether a single sample may be too long for one task; looks only when the input is large."""
+    if is_small(requests):
+        return False
+    limit = int(requests.sparkSession.conf.get(HOT_ROWS_KEY, str(HOT_ROWS)))
+    longest = requests.agg(F.max(want)).first()[0]
+    return longest is not None and longest >= limit
 
 
 def repeated_draws(
@@ -91,9 +113,9 @@ def repeated_draws(
     return drawn.join(population, [*pool, "position"], "inner")
 
 
-def number_pool(df: DataFrame, pool: Sequence[str], tie: str, size: str = "pool_size") -> DataFrame:
-    """Position of every member in its pool by the unique numeric ``tie``, and the pool's size."""
-    return row_rank(df, list(pool), tie, tie, "position", size=size, ascending=True)
+def number_pool(df: DataFrame, pool: Sequence[str], tie: str) -> DataFrame:
+    """Position of every member in its pool by the unique numeric ``tie``."""
+    return row_rank(df, list(pool), tie, tie, "position", ascending=True)
 
 
 def matched_random_control(
@@ -117,12 +139,12 @@ def matched_random_control(
         F.count(F.lit(1)).alias("n_targets"), F.avg(effect).alias("observed_mean")
     )
     pool = number_pool(background.where(F.col(effect).isNotNull()).select(*site, member, effect), site, member)
-    sizes = pool.groupBy(*site).agg(F.max("pool_size").alias("pool_size"))
+    sizes = background.where(F.col(effect).isNotNull()).groupBy(*site).agg(F.count(F.lit(1)).alias("pool_size"))
     requests = want.join(sizes, site).where(
         (F.col("n_targets") >= min_targets) & (F.col("pool_size") >= F.col("n_targets"))
     )
     drawn = repeated_draws(
-        requests, pool.drop("pool_size"), site, "pool_size", "n_targets", iterations, seed
+        requests, pool, site, "pool_size", "n_targets", iterations, seed
     )
     null = drawn.groupBy(*site, "iteration").agg(F.avg(effect).alias("random_mean"))
     return summarize_null(requests.drop("pool_size"), null, site, "observed_mean", "random_mean")
@@ -178,11 +200,11 @@ def pooled_random_control(
     ids = [*group, *[c for c in site if c not in group]]
     want = observed.where(F.col(effect).isNotNull()).groupBy(*ids).agg(F.count(F.lit(1)).alias("n_targets"))
     pool = number_pool(background.where(F.col(effect).isNotNull()).select(*ids, member, effect), ids, member)
-    sizes = pool.groupBy(*ids).agg(F.max("pool_size").alias("pool_size"))
+    sizes = background.where(F.col(effect).isNotNull()).groupBy(*ids).agg(F.count(F.lit(1)).alias("pool_size"))
     requests = want.join(sizes, ids).where(
         (F.col("n_targets") >= min_targets) & (F.col("pool_size") >= F.col("n_targets"))
     )
-    drawn = repeated_draws(requests, pool.drop("pool_size"), ids, "pool_size", "n_targets", iterations, seed)
+    drawn = repeated_draws(requests, pool, ids, "pool_size", "n_targets", iterations, seed)
     means = drawn.groupBy(*group, "iteration").agg(
         F.avg(effect).alias("random_global_mean"), F.count(F.lit(1)).alias("n_random_values")
     )
@@ -205,9 +227,9 @@ def bootstrap_mean_difference(
     rows = df.where(F.col(value).isNotNull() & F.col(group).isin(a, b)).select(*keys, group, member, value)
     both = [*keys, group]
     pool = number_pool(rows, both, member)
-    requests = pool.groupBy(*both).agg(F.max("pool_size").alias("pool_size"))
+    requests = rows.groupBy(*both).agg(F.count(F.lit(1)).alias("pool_size"))
     drawn = repeated_draws(
-        requests.withColumn("want", F.col("pool_size")), pool.drop("pool_size"), both, "pool_size", "want", draws, seed, True
+        requests.withColumn("want", F.col("pool_size")), pool, both, "pool_size", "want", draws, seed, True
     )
     means = drawn.groupBy(*keys, "iteration").agg(
         F.avg(F.when(F.col(group) == a, F.col(value))).alias("_a"),
@@ -327,9 +349,9 @@ def cluster_draw_test(
         F.count(F.lit(1)).alias("n_sites"), F.max(score).alias("max_score"), F.min(rank).alias("best_rank")
     )
     numbered = number_pool(pool.select(*cluster, member, score, rank), cluster, member)
-    sizes = numbered.groupBy(*cluster).agg(F.max("pool_size").alias("pool_size"))
+    sizes = pool.groupBy(*cluster).agg(F.count(F.lit(1)).alias("pool_size"))
     requests = seen.join(sizes, cluster).where(F.col("pool_size") >= F.col("n_sites"))
-    drawn = repeated_draws(requests, numbered.drop("pool_size"), cluster, "pool_size", "n_sites", draws, seed)
+    drawn = repeated_draws(requests, numbered, cluster, "pool_size", "n_sites", draws, seed)
     null = drawn.groupBy(*cluster, "iteration").agg(
         F.max(score).alias("random_max"), F.min(rank).alias("random_best_rank")
     )
@@ -351,9 +373,9 @@ def cluster_draw_null(
     cluster = list(cluster)
     want = clusters.groupBy(*cluster).agg(F.count(F.lit(1)).alias("n_sites"))
     numbered = number_pool(pool.select(*cluster, member, score, rank), cluster, member)
-    sizes = numbered.groupBy(*cluster).agg(F.max("pool_size").alias("pool_size"))
+    sizes = pool.groupBy(*cluster).agg(F.count(F.lit(1)).alias("pool_size"))
     requests = want.join(sizes, cluster).where(F.col("pool_size") >= F.col("n_sites"))
-    drawn = repeated_draws(requests, numbered.drop("pool_size"), cluster, "pool_size", "n_sites", draws, seed)
+    drawn = repeated_draws(requests, numbered, cluster, "pool_size", "n_sites", draws, seed)
     per = drawn.groupBy(*cluster, "iteration").agg(F.max(score).alias("_s"), F.min(rank).alias("_r"))
     return per.groupBy("iteration").agg(
         F.avg("_s").alias("mean_max_score"), *[F.avg((F.col("_r") <= k).cast("double")).alias(f"hit_rate_{k}") for k in ks]

@@ -1,3 +1,11 @@
 """DataFrame-in, DataFrame-out operators for site prioritisation and cohort statistics."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel with the plan, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,11 +12,11 @@ fraction for the incomplete beta function.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sample sizes up to which the exact null distributions are used.
 EXACT_RANK_SUM_SMALLER = 8
@@ -28,7 +28,6 @@ def normal_upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-@lru_cache(maxsize=256)
 def rank_sum_counts(m: int, n: int) -> np.ndarray:
     """Number of orderings of m and n items for every value of U, as shares."""
     shares = np.zeros(m * n + 1)
@@ -38,12 +37,12 @@ def rank_sum_counts(m: int, n: int) -> np.ndarray:
         up = n + i
         if up < len(shares):
             shares[up:] = shares[up:] - shares[: len(shares) - up].copy()
-        for k in range(i, len(shares)):
-            shares[k] += shares[k - i]
+        rows = -(-len(shares) // i)
+        padded = np.concatenate([shares, np.zeros(rows * i - len(shares))])
+        shares = padded.reshape(rows, i).cumsum(axis=0).ravel()[: len(shares)]
     return shares / shares.sum()
 
 
-@lru_cache(maxsize=256)
 def signed_rank_counts(n: int) -> np.ndarray:
     """Share of sign patterns for every value of the positive rank sum."""
     shares = np.zeros(n * (n + 1) // 2 + 1)
@@ -190,26 +189,26 @@ def expected_reciprocal_rank(n: float, p: float) -> float | None:
     return float(np.sum(survive * p / (n - r + 1.0) / r))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rank_sum_tail(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, side: pd.Series) -> pd.Series:
     return pd.Series([rank_sum_p(*row) for row in zip(u, n1, n2, ties, side)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def signed_rank_tail(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series, side: pd.Series) -> pd.Series:
     return pd.Series([signed_rank_p(*row) for row in zip(w, n, ties, zeros, side)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_tail(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([student_p(*row) for row in zip(t, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, side: pd.Series) -> pd.Series:
     return pd.Series([fisher_p(*row) for row in zip(a, b, c, d, side)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def random_reciprocal_rank(n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([expected_reciprocal_rank(*row) for row in zip(n, p)], dtype="float64")

@@ -36,8 +36,7 @@ def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return with_quantiles(
         df,
         keys,
-        value,
-        {"median": 0.5},
+        {"median": (value, 0.5)},
         [
             F.count(value).alias("n"),
             F.avg(value).alias("mean"),
@@ -53,8 +52,7 @@ def expression_summary(df: DataFrame, keys: Sequence[str], target: str, value: s
     return with_quantiles(
         df,
         keys,
-        value,
-        {"median_value": 0.5},
+        {"median_value": (value, 0.5)},
         [
             F.count(F.lit(1)).alias("n_points"),
             F.countDistinct(target).alias("n_targets"),
@@ -121,8 +119,7 @@ def classify_evidence(
     stats = with_quantiles(
         evidence,
         [regulator, target],
-        score,
-        {"median_score": 0.5},
+        {"median_score": (score, 0.5)},
         [
             F.count_if(F.col(score) > above).alias("hit_count"),
             F.avg(score).alias("mean_score"),
@@ -143,8 +140,7 @@ def matrix_row_stats(long: DataFrame, keys: Sequence[str], value: str) -> DataFr
     return with_quantiles(
         long,
         keys,
-        value,
-        {"median_value": 0.5},
+        {"median_value": (value, 0.5)},
         [
             F.avg(F.coalesce((F.col(value) > 0).cast("double"), F.lit(0.0))).alias("nonzero_ratio"),
             F.avg(observed.cast("double")).alias("observed_ratio"),
@@ -308,8 +304,7 @@ def arm_statistics(long: DataFrame, feature: str, group: str, value: str, groups
     stats = with_quantiles(
         long,
         [feature, group],
-        value,
-        {"median": 0.5},
+        {"median": (value, 0.5)},
         [F.avg((F.col(value) == 1).cast("double")).alias("share"), F.count(F.lit(1)).alias("n")],
     )
     picked = stats.join(kinds, feature).withColumn(
@@ -424,7 +419,7 @@ def impute_summary(df: DataFrame, columns: Sequence[str], strategy: str = "media
     long = typed.unpivot([], list(columns), "feature", "value")
     rate = F.avg(F.col("value").isNull().cast("double")).alias("missing_rate")
     if strategy == "median":
-        out = with_quantiles(long, ["feature"], "value", {"fill_value": 0.5}, [rate])
+        out = with_quantiles(long, ["feature"], {"fill_value": ("value", 0.5)}, [rate])
     elif strategy == "mean":
         out = long.groupBy("feature").agg(rate, F.avg("value").alias("fill_value"))
     else:

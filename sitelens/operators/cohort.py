@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import scalars as S
 from sitelens.operators.aggregates import matrix_row_stats
-from sitelens.operators.ordered import attach, quantiles, row_rank
+from sitelens.operators.ordered import SLICE, attach, lay_out, quantiles, row_rank, with_quantiles
 from sitelens.operators.rank_tests import (
     ols_coefficient,
     ols_residuals,
-    rank_sum_test,
     row_zscore,
     signed_rank_test,
     spearman,
+    two_group_test,
 )
 from sitelens.operators.ranking import benjamini_hochberg
 
@@ -77,55 +77,65 @@ def split_samples(
     with status success only. ``sample_order`` is the unique numeric tie-break
     of the extreme split.
     """
+    if mode not in SPLIT_MODES:
+        raise ValueError(f"mode must be one of {SPLIT_MODES}")
     keys = list(keys)
     usable = F.col(value).isNotNull()
     if drop_zero:
         usable = usable & (F.col(value) > 0)
-
-    counts = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_matched"),
-        F.count(value).alias("n_observed"),
-        F.count_if(F.col(value).isNull()).alias("n_missing"),
-        F.count_if(usable).alias("n_valid"),
+    layout = lay_out(long.withColumn("_ok", usable), keys, value)
+    rows = layout.df.drop(SLICE)
+    kept = F.when(F.col("_ok"), F.col(value))
+    order = sample_order or sample
+
+    def over_sites(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
+        """Aggregates of each site on its rows; sites of ordinary size need one shuffle for all of them."""
+        if not layout.cut:
+            w = Window.partitionBy(*keys)
+            return df.select("*", *[c.over(w).alias(n) for n, c in aggs.items()])
+        return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
+
+    rows = over_sites(
+        rows,
+        {
+            "n_matched": F.count(F.lit(1)),
+            "n_observed": F.count(value),
+            "n_missing": F.count(F.when(F.col(value).isNull(), 1)),
+            "n_valid": F.count(kept),
+        },
     )
     if mode == "observed_missing":
-        sided = long.withColumn(
-            "side", F.when(usable, "high").when(F.col(value).isNull(), "low")
-        )
-        med = None
-    elif mode == "median_nonmissing":
-        med = quantiles(long.where(usable), keys, value, {"median_cutoff": 0.5})
-        sided = attach(long.where(usable), med, keys).withColumn(
-            "side", F.when(F.col(value) >= F.col("median_cutoff"), "high").otherwise("low")
-        ).drop("median_cutoff")
-    elif mode == "quantile_extreme":
-        med = quantiles(long.where(usable), keys, value, {"median_cutoff": 0.5})
-        ranked = row_rank(long.where(usable), keys, value, sample_order or sample, "_up", size="_n", ascending=True)
+        rows = rows.withColumn("median_cutoff", F.lit(None).cast("double"))
+        side = F.when(F.col("_ok"), "high").when(F.col(value).isNull(), "low")
+    else:
+        if layout.cut:
+            rows = attach(rows, quantiles(rows.where("_ok"), keys, value, {"median_cutoff": 0.5}), keys)
+        else:
+            rows = over_sites(rows, {"median_cutoff": F.percentile(kept, 0.5)})
+        side = F.when(F.col("_ok"), F.when(F.col(value) >= F.col("median_cutoff"), "high").otherwise("low"))
+    if mode == "quantile_extreme":
+        rows = row_rank(rows.withColumn("_v", kept), keys, "_v", order, "_up", ascending=True).drop("_v")
         size = F.least(
-            F.greatest(F.floor(F.col("_n") * F.lit(fraction)), F.lit(min_group)), F.floor(F.col("_n") / 2)
+            F.greatest(F.floor(F.col("n_valid") * F.lit(fraction)), F.lit(min_group)), F.floor(F.col("n_valid") / 2)
         )
-        sided = ranked.withColumn(
-            "side",
-            F.when(F.col("_up") <= size, "low").when(F.col("_up") > F.col("_n") - size, "high"),
-        ).drop("_up", "_n")
-    else:
-        raise ValueError(f"mode must be one of {SPLIT_MODES}")
-
-    sided = sided.where(F.col("side").isNotNull())
-    high, low = F.col("side") == "high", F.col("side") == "low"
-    sides = sided.groupBy(*keys).agg(
-        F.count_if(low).alias("n_low"),
-        F.count_if(high).alias("n_high"),
-        F.max(F.when(low, F.col(value))).alias("low_cutoff"),
-        F.min(F.when(high, F.col(value))).alias("high_cutoff"),
-        F.avg(F.when(low, F.col(value))).alias("low_mean"),
-        F.avg(F.when(high, F.col(value))).alias("high_mean"),
-    )
-    summary = attach(counts, sides, keys)
-    summary = attach(summary, med, keys) if med is not None else summary.withColumn(
-        "median_cutoff", F.lit(None).cast("double")
+        side = F.when(
+            F.col("_ok"),
+            F.when(F.col("_up") <= size, "low").when(F.col("_up") > F.col("n_valid") - size, "high"),
+        )
+    rows = rows.withColumn("side", side)
+    low = F.when(F.col("side") == "low", F.col(value))
+    high = F.when(F.col("side") == "high", F.col(value))
+    rows = over_sites(
+        rows,
+        {
+            "n_low": F.count(F.when(F.col("side") == "low", 1)),
+            "n_high": F.count(F.when(F.col("side") == "high", 1)),
+            "low_cutoff": F.max(low),
+            "high_cutoff": F.min(high),
+            "low_mean": F.avg(low),
+            "high_mean": F.avg(high),
+        },
     )
-    summary = summary.na.fill(0, ["n_low", "n_high"])
     few = (F.col("n_low") < min_group) | (F.col("n_high") < min_group)
     if mode == "observed_missing":
         status = F.when(few, "insufficient_observed_or_missing_samples")
@@ -133,11 +143,13 @@ def split_samples(
         status = F.when(F.col("n_valid") < 2 * min_group, "insufficient_valid_samples").when(
             few, "insufficient_median_split_samples" if mode == "median_nonmissing" else "insufficient_group_size"
         )
-    summary = summary.withColumn("status", status.otherwise("success"))
-    members = sided.join(summary.where("status = 'success'").select(*keys), keys, "left_semi").select(
-        *keys, sample, "side"
-    )
-    return members, summary
+    rows = rows.withColumn("status", status.otherwise("success"))
+    members = rows.where((F.col("status") == "success") & F.col("side").isNotNull()).select(*keys, sample, "side")
+    per_site = [
+        "n_matched", "n_observed", "n_missing", "n_valid", "n_low", "n_high", "median_cutoff",
+        "low_cutoff", "high_cutoff", "low_mean", "high_mean", "status",
+    ]
+    return members, rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in per_site])
 
 
 def group_means(
@@ -223,15 +235,19 @@ def contrast_test(
 def summarize_effects(effects: DataFrame, keys: Sequence[str], min_n: int = 3) -> DataFrame:
     """Per site: number, mean and median of raw and directional effects, one-sided test, q over all sites."""
     keys = list(keys)
-    sums = effects.groupBy(*keys).agg(
-        F.count("directional_effect").alias("n_targets"),
-        F.avg("target_effect").alias("mean_effect"),
-        F.avg("directional_effect").alias("mean_directional"),
+    middle = {"median_effect": ("target_effect", 0.5), "median_directional": ("directional_effect", 0.5)}
+    sums = with_quantiles(
+        effects,
+        keys,
+        middle,
+        [
+            F.count("directional_effect").alias("n_targets"),
+            F.avg("target_effect").alias("mean_effect"),
+            F.avg("directional_effect").alias("mean_directional"),
+        ],
     )
-    med = quantiles(effects, keys, "target_effect", {"median_effect": 0.5})
-    dmed = quantiles(effects, keys, "directional_effect", {"median_directional": 0.5})
     test = signed_rank_test(effects, keys, F.round("directional_effect", 12), "greater", min_n)
-    out = attach(attach(sums, med, keys), dmed, keys)
+    out = sums
     out = attach(out, test.select(*keys, "w_plus", "p_value"), keys)
     return benjamini_hochberg(out, [], "p_value").withColumn("stars", S.stars("p_value"))
 
@@ -265,20 +281,8 @@ def regulator_activity(
 
 def activity_test(activity: DataFrame, keys: Sequence[str], fdr_keys: Sequence[str], min_n: int = 3) -> DataFrame:
     """Activity of high against low samples: sizes, means, medians, rank test and q."""
-    keys = list(keys)
-    sums = activity.groupBy(*keys).agg(
-        F.avg(F.when(F.col("side") == "high", F.col("activity"))).alias("mean_high"),
-        F.avg(F.when(F.col("side") == "low", F.col("activity"))).alias("mean_low"),
-    )
-    med = quantiles(activity, [*keys, "side"], "activity", {"median": 0.5})
-    wide = med.groupBy(*keys).agg(
-        F.max(F.when(F.col("side") == "high", F.col("median"))).alias("median_high"),
-        F.max(F.when(F.col("side") == "low", F.col("median"))).alias("median_low"),
-    )
     rounded = activity.withColumn("activity", F.round("activity", 12))
-    test = rank_sum_test(rounded, keys, "side", "activity", min_n=min_n)
-    out = attach(attach(sums, wide, keys), test.select(*keys, "n_high", "n_low", "u", "p_value"), keys)
-    out = out.withColumn("delta", F.col("mean_high") - F.col("mean_low"))
+    out = two_group_test(rounded, keys, "side", "activity", min_n=min_n).drop("tie_term")
     return benjamini_hochberg(out, fdr_keys, "p_value").withColumn("stars", S.stars("p_value"))
 
 
@@ -315,16 +319,9 @@ def abundance_diagnostic(rows: DataFrame, keys: Sequence[str], value: str, abund
     ``rows`` has keys, side, the site value and the abundance.
     """
     keys = list(keys)
-    means = rows.groupBy(*keys).agg(
-        F.avg(F.when(F.col("side") == "high", F.col(abundance))).alias("mean_high"),
-        F.avg(F.when(F.col("side") == "low", F.col(abundance))).alias("mean_low"),
-    )
-    test = rank_sum_test(rows, keys, "side", abundance, min_n=min_n).select(*keys, "u", "p_value")
+    test = two_group_test(rows, keys, "side", abundance, min_n=min_n).drop("tie_term")
     rho = spearman(rows, keys, value, abundance).select(*keys, "rho")
-    out = attach(attach(means, test, keys), rho, keys)
-    return out.withColumn("delta", F.col("mean_high") - F.col("mean_low")).withColumn(
-        "higher_in_high", F.col("delta") > 0
-    )
+    return attach(test, rho, keys).withColumn("higher_in_high", F.col("delta") > 0)
 
 
 def robustness_summary(base: DataFrame, parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -378,3 +375,19 @@ def cohort_activity_summary(activity: DataFrame, test: DataFrame, cohort: str, o
     joined = sizes.join(test, cohort, "left")
     w = Window.orderBy(F.when(place == 0, F.lit(len(order) + 1)).otherwise(place), F.col(cohort))
     return joined.withColumn("cohort_order", F.row_number().over(w))
+
+
+def cohort_pair_summary(pairs: DataFrame, cohort: str, gene: str, site: str, min_pairs: int = 3) -> DataFrame:
+    """Pairs, distinct targets and sites, means and difference by cohort; cohorts with enough pairs."""
+    return (
+        pairs.groupBy(cohort)
+        .agg(
+            F.count(F.lit(1)).alias("n_pairs"),
+            F.countDistinct(gene).alias("n_distinct_targets"),
+            F.countDistinct(site).alias("n_distinct_sites"),
+            F.avg("low_mean").alias("mean_low"),
+            F.avg("high_mean").alias("mean_high"),
+        )
+        .where(F.col("n_pairs") >= min_pairs)
+        .withColumn("delta", F.col("mean_high") - F.col("mean_low"))
+    )

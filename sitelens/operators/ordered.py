@@ -317,15 +317,24 @@ def quantiles(
 
 
 def with_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], aggs: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], aggs: Sequence[Column] = ()
 ) -> DataFrame:
-    """Group aggregates next to exact quantiles of ``value``, in one pass where the groups allow it."""
+    """Group aggregates next to exact quantiles, ``{name: (column, share)}``.
+
+    One aggregation where the groups allow it; with a hot group each quantile
+    column is ranked in slices and joined on.
+    """
     keys = list(keys)
-    layout = lay_out(df, keys, value)
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    layout = lay_out(df, keys, columns[0])
     df = layout.df.drop(SLICE)
     if not layout.cut:
-        return df.groupBy(*keys).agg(*aggs, *[F.percentile(value, p).alias(n) for n, p in probs.items()])
-    return attach(df.groupBy(*keys).agg(*aggs), quantiles(df, keys, value, probs), keys)
+        return df.groupBy(*keys).agg(*aggs, *[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()])
+    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    for c in columns:
+        probs = {n: p for n, (column, p) in wanted.items() if column == c}
+        out = attach(out, quantiles(df, keys, c, probs), keys)
+    return out
 
 
 def neighbours(points: DataFrame, keys: Sequence[str], value: str, marked: str) -> DataFrame:

@@ -15,9 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelens.functions import scalars as S
 from sitelens.functions import tails
+from sitelens.functions.tails import student_p
 from sitelens.operators.ordered import attach, average_ranks, ladder
 
 
@@ -61,6 +63,56 @@ def rank_sum_test(
     return stat.withColumn(p, tail).withColumn(p, F.when(enough, F.col(p)))
 
 
+def two_group_test(
+    df: DataFrame,
+    keys: Sequence[str],
+    group: str,
+    value: str,
+    high: str = "high",
+    low: str = "low",
+    side: str | Column = "two-sided",
+    min_n: int = 3,
+) -> DataFrame:
+    """Sizes, means, medians and the rank-sum test of two groups, all from one ordered pass."""
+    keys = list(keys)
+    two = df.where(F.col(group).isin(high, low))
+    is_high = (F.col(group) == high).cast("bigint")
+    steps = ladder(two, keys, value, {"_n": F.lit(1), "_h": is_high, "_l": 1 - is_high})
+    rank = F.col("_n_before") + (F.col("_n") + 1) / 2.0
+    tied = F.col("_n").cast("double")
+    number = F.col(value).cast("double")
+
+    def middle(w: str) -> Column:
+        """Mean of the two middle values of one group, which are equal for odd sizes."""
+        last = F.col(w + "_total") - 1
+        picks = [
+            F.max(F.when((F.col(w + "_before") <= k) & (k < F.col(w + "_before") + F.col(w)), number))
+            for k in (F.floor(last / 2), F.ceil(last / 2))
+        ]
+        return (picks[0] + picks[1]) / 2
+
+    out = steps.groupBy(*keys).agg(
+        F.sum("_h").alias("n_high"),
+        F.sum("_l").alias("n_low"),
+        S.ratio(F.sum(number * F.col("_h")), F.sum("_h")).alias("mean_high"),
+        S.ratio(F.sum(number * F.col("_l")), F.sum("_l")).alias("mean_low"),
+        middle("_h").alias("median_high"),
+        middle("_l").alias("median_low"),
+        F.sum(rank * F.col("_h")).alias("_r"),
+        F.sum(tied * tied * tied - tied).alias("tie_term"),
+    )
+    out = out.withColumn("u", F.col("_r") - F.col("n_high") * (F.col("n_high") + 1) / 2.0).drop("_r")
+    enough = (F.col("n_high") >= min_n) & (F.col("n_low") >= min_n)
+    tail = tails.rank_sum_tail(
+        F.col("u"), F.col("n_high").cast("double"), F.col("n_low").cast("double"), F.col("tie_term"), _side(side)
+    )
+    return (
+        out.withColumn("p_value", tail)
+        .withColumn("p_value", F.when(enough, F.col("p_value")))
+        .withColumn("delta", F.col("mean_high") - F.col("mean_low"))
+    )
+
+
 def signed_rank_statistic(df: DataFrame, keys: Sequence[str], diff: str | Column) -> DataFrame:
     """Positive rank sum of the non-zero differences, with counts and the tie term."""
     keys = list(keys)
@@ -142,6 +194,53 @@ def fisher_test(table: DataFrame, side: str | Column = "two-sided", p: str = "p_
     )
 
 
+def top_percentile_enrichment(
+    ranked: DataFrame, group: Sequence[str], flag: str, percentiles: Sequence[float]
+) -> DataFrame:
+    """Flagged rows in the top share of each group: cells, recall, expected recall, fold, exact p.
+
+    ``ranked`` has ``rank_in_group`` and ``group_size``. All percentiles are
+    counted in one pass and unfolded from the finished group rows.
+    """
+    group = list(group)
+    hit = F.col(flag).cast("boolean")
+
+    def cut(size: str, share: float) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(size) * F.lit(float(share))))
+
+    base = ranked.groupBy(*group).agg(
+        F.max("group_size").alias("n_candidates"),
+        F.count_if(hit).alias("n_flagged"),
+        *[
+            F.count_if(hit & (F.col("rank_in_group") <= cut("group_size", s))).alias(f"_a{i}")
+            for i, s in enumerate(percentiles)
+        ],
+    )
+    points = F.array(
+        *[
+            F.struct(
+                F.lit(float(s)).alias("percentile"),
+                cut("n_candidates", s).alias("top_n"),
+                F.col(f"_a{i}").alias("a"),
+            )
+            for i, s in enumerate(percentiles)
+        ]
+    )
+    rows = base.where(F.col("n_flagged") > 0).withColumn("_pt", F.explode(points))
+    cells = rows.select(*group, "n_candidates", "n_flagged", "_pt.*").withColumns(
+        {
+            "b": F.col("top_n") - F.col("a"),
+            "c": F.col("n_flagged") - F.col("a"),
+            "d": F.col("n_candidates") - F.col("top_n") - F.col("n_flagged") + F.col("a"),
+        }
+    )
+    return (
+        fisher_test(cells, "greater")
+        .withColumn("recall_in_top", S.ratio("a", "n_flagged"))
+        .withColumn("random_recall", S.ratio("top_n", "n_candidates"))
+    )
+
+
 # ---------------------------------------------------------------- regression
 
 
@@ -171,7 +270,7 @@ def ols_residuals(
     )
 
 
-@F.pandas_udf("coef double, p_value double")
+@F.pandas_udf(T.StructType([T.StructField("coef", T.DoubleType()), T.StructField("p_value", T.DoubleType())]))
 def _solve(n: pd.Series, params: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series) -> pd.DataFrame:
     rows = []
     for count, k, cross, towards, spread in zip(n, params, xx, xy, yy):
@@ -200,7 +299,7 @@ def _solve_one(n: float, k: int, cross, towards, spread: float) -> tuple[float,
     se = math.sqrt(max(0.0, mse * inverse[0, 0] / scale[0] / n))
     if not se > 0:
         return float(beta[0]), math.nan
-    p = tails.student_p(float(beta[0]) / se, dof)
+    p = student_p(float(beta[0]) / se, dof)
     return float(beta[0]), math.nan if p is None else p
 
 

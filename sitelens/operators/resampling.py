@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import scalars as S
 from sitelens.functions.draws import draw_index, draw_number
 from sitelens.operators.ordered import HOT_ROWS, HOT_ROWS_KEY, attach, is_small, quantiles, row_rank
-from sitelens.operators.rank_tests import rank_sum_test
+from sitelens.operators.rank_tests import two_group_test
 from sitelens.operators.ranking import benjamini_hochberg, top_per_group
 
 SLOT_BLOCK = 1000
@@ -250,22 +250,13 @@ def observed_vs_random(
     values: DataFrame, keys: Sequence[str], source: str, value: str, observed: str, random: str
 ) -> DataFrame:
     """Counts, means, medians and a one-sided rank test of observed against random values, with FDR."""
-    keys = list(keys)
-    med = quantiles(values, [*keys, source], value, {"median": 0.5})
-    sums = values.groupBy(*keys, source).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    flat = attach(sums, med, [*keys, source])
-    wide = flat.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col(source) == label, F.col(m))).alias(f"{m}_{short}")
-            for label, short in ((observed, "observed"), (random, "random"))
-            for m in ("n", "mean", "median")
-        ]
-    )
-    wide = wide.withColumn("delta_mean", F.col("mean_observed") - F.col("mean_random")).withColumn(
+    names = {"n_high": "n_observed", "n_low": "n_random", "mean_high": "mean_observed", "mean_low": "mean_random",
+             "median_high": "median_observed", "median_low": "median_random", "delta": "delta_mean"}
+    test = two_group_test(values, keys, source, value, observed, random, "greater").drop("tie_term")
+    wide = test.withColumnsRenamed(names).withColumn(
         "delta_median", F.col("median_observed") - F.col("median_random")
     )
-    test = rank_sum_test(values, keys, source, value, observed, random, "greater").select(*keys, "u", "p_value")
-    return benjamini_hochberg(attach(wide, test, keys), [], "p_value")
+    return benjamini_hochberg(wide, [], "p_value")
 
 
 # --------------------------------------------------------- ranking validation
@@ -380,3 +371,50 @@ def cluster_draw_null(
     return per.groupBy("iteration").agg(
         F.avg("_s").alias("mean_max_score"), *[F.avg((F.col("_r") <= k).cast("double")).alias(f"hit_rate_{k}") for k in ks]
     )
+
+
+def enrichment_summary(per_group: DataFrame) -> DataFrame:
+    """Over groups, by percentile: mean and median recall, mean fold, median p and median q.
+
+    q is taken over the groups of a percentile, and again over the percentiles'
+    median p.
+    """
+    with_q = benjamini_hochberg(per_group, ["percentile"], "p_value", "_q")
+    sums = with_q.groupBy("percentile").agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        F.avg("recall_in_top").alias("macro_recall"),
+        F.avg("random_recall").alias("macro_random_recall"),
+        F.avg("fold_enrichment").alias("macro_fold"),
+    )
+    for column, name in (("recall_in_top", "median_recall"), ("p_value", "median_p"), ("_q", "median_q")):
+        sums = attach(sums, quantiles(with_q, ["percentile"], column, {name: 0.5}), ["percentile"])
+    return benjamini_hochberg(sums, [], "median_p", "q_of_medians")
+
+
+def recall_excess_null(
+    per_group: DataFrame, group: Sequence[str], permutations: int, seed: int
+) -> DataFrame:
+    """Mean of recall minus expected recall over groups, per percentile and permutation.
+
+    Each permutation gives the flagged rows of a group random ranks, drawn once
+    per group and shared by all percentiles.
+    """
+    group = list(group)
+    sizes = per_group.select(*group, "n_candidates", "n_flagged").distinct()
+    ranks = draw_positions(sizes, group, "n_candidates", "n_flagged", permutations, seed)
+    tops = per_group.select(*group, "percentile", "top_n", "random_recall")
+    hits = (
+        ranks.join(tops, group)
+        .groupBy(*group, "percentile", "iteration", "n_flagged", "random_recall")
+        .agg(F.count_if(F.col("position") <= F.col("top_n")).alias("_hits"))
+    )
+    excess = F.col("_hits") / F.col("n_flagged") - F.col("random_recall")
+    return hits.groupBy("percentile", "iteration").agg(F.avg(excess).alias("random_excess"))
+
+
+def recall_excess_test(per_group: DataFrame, group: Sequence[str], permutations: int, seed: int) -> DataFrame:
+    seen = per_group.groupBy("percentile").agg(
+        F.avg(F.col("recall_in_top") - F.col("random_recall")).alias("observed_excess")
+    )
+    null = recall_excess_null(per_group, group, permutations, seed)
+    return summarize_null(seen, null, ["percentile"], "observed_excess", "random_excess")

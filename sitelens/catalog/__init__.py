@@ -2,6 +2,6 @@
 
 from sitelens.catalog.registry import ORACLES, QUERIES
 
-from sitelens.catalog import aggregating, cleaning, cohorts, joining, ranking, scoring, statistics  # noqa: E402,F401
+from sitelens.catalog import aggregating, cleaning, cohorts, features, joining, learning, ranking, scoring, statistics  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]

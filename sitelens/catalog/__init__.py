@@ -2,6 +2,17 @@
 
 from sitelens.catalog.registry import ORACLES, QUERIES
 
-from sitelens.catalog import aggregating, cleaning, cohorts, features, joining, learning, ranking, scoring, statistics  # noqa: E402,F401
+from sitelens.catalog import (  # noqa: E402,F401
+    aggregating,
+    cleaning,
+    cohorts,
+    features,
+    joining,
+    learning,
+    ranking,
+    scanning,
+    scoring,
+    statistics,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -59,7 +59,7 @@ def family_query(family: str, variant: str, prefix: str, has: str = "HasSegment_
 
 
 query("domain_family", seg_sql("MOTIF_Domain_DBD_", False, "0", "cov"))(family_query("domain", "candidate", "MOTIF_Domain_DBD_"))
-query("domain_family_signed", seg_sql("MOTIF_Domain_DBD_", True, "fs", "least(cov, 1)"))(family_query("domain", "direction", "MOTIF_Domain_DBD_"))
+query("domain_family_signed", seg_sql("MOTIF_Domain_DBD_", True, "0", "least(cov, 1)"))(family_query("domain", "direction", "MOTIF_Domain_DBD_"))
 query("nls_family", seg_sql("MOTIF_NLS_", False, "0", "CASE WHEN inside = 1 THEN cov ELSE 0 END"))(family_query("nls", "candidate", "MOTIF_NLS_"))
 query("nls_family_signed", seg_sql("MOTIF_NLS_", True, "fs", "CASE WHEN has = 1 THEN least(cov, 1) ELSE 0 END"))(family_query("nls", "direction", "MOTIF_NLS_"))
 query("nes_family", seg_sql("MOTIF_NES_", False, "0", "cov"))(family_query("nes", "candidate", "MOTIF_NES_"))
@@ -83,9 +83,9 @@ def plain_family(family: str, variant: str, columns: dict, **options):
 def plain_sql(columns: dict, outputs: dict, fits: dict) -> str:
     """SQL twin: raw columns, one-row fits, output expressions."""
     raw = ", ".join(f'{e} AS {c}' for c, e in columns.items())
-    fit = ", ".join(f"{e} AS {n}" for n, e in fits.items()) or "0 AS nothing"
+    fit = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in fits.items()) + " FROM raw" if fits else "SELECT 0 AS nothing"
     out = ", ".join(f'round({e}, 6) AS "{n}"' for n, e in outputs.items())
-    return f"WITH raw AS (SELECT l_orderkey, l_linenumber, {raw} FROM lineitem), fit AS (SELECT {fit} FROM raw) SELECT l_orderkey, l_linenumber, {out} FROM raw, fit"
+    return f"WITH raw AS (SELECT l_orderkey, l_linenumber, {raw} FROM lineitem), fit AS ({fit}) SELECT l_orderkey, l_linenumber, {out} FROM raw, fit"
 
 
 Q7, D3, TX = "nullif(l_quantity, 7.0)", "nullif(l_discount, 0.03)", "nullif(l_tax, 0.02)"
@@ -95,7 +95,7 @@ query("charge_family", plain_sql({"a": Q7, "b": D3 + " * 12"},
     plain_family("charge", "candidate", {"SEQ_Charge_Net": Q7, "SEQ_Charge_PosFraction": D3 + " * 12"}))
 query("charge_family_bounded", plain_sql({"a": Q7, "b": D3 + " * 12"},
       {"SEQ_Charge_Net": "coalesce(a, ma)", "SEQ_Charge_Net_missing": "(a IS NULL)::INT::DOUBLE",
-       "SEQ_Charge_PosFraction": "coalesce(least(greatest(b, 0), 1), mb)", "SEQ_Charge_PosFraction_missing": "(b IS NULL)::INT::DOUBLE"},
+       "SEQ_Charge_PosFraction": "coalesce(CASE WHEN b IS NOT NULL THEN least(greatest(b, 0), 1) END, mb)", "SEQ_Charge_PosFraction_missing": "(b IS NULL)::INT::DOUBLE"},
       {"ma": "avg(a)", "mb": "avg(CASE WHEN b IS NOT NULL THEN least(greatest(b, 0), 1) END)"}))(
     plain_family("charge", "direction", {"SEQ_Charge_Net": Q7, "SEQ_Charge_PosFraction": D3 + " * 12"}, fill="mean", missing=True))
 query("sequence_family", plain_sql({"a": D3, "b": Q7, "c": TX},

@@ -100,7 +100,7 @@ def _raw(df: DataFrame, rule: Rule) -> Column:
 
 def _logged(value: Column, how: str | None) -> Column:
     if how == "log1p":
-        return F.log1p(F.greatest(value, F.lit(0.0)))
+        return F.log1p(S.clip(value, 0.0))
     if how == "signed":
         return S.signed_log(value)
     return value

@@ -25,17 +25,17 @@ FOLDS = """folds AS (SELECT l_suppkey AS site, month(l_shipdate) % 5 + 1 AS fold
 
 
 def functional_scores(t: Tables) -> DataFrame:
-    """(site, functional_prob, known direction): account balance as a share, two nation ranges as known."""
-    nation = F.col("s_nationkey")
+    """(site, functional_prob, known direction): account balance as a share, two of three suppliers known."""
+    part = F.col("s_suppkey") % 3
     return t.supplier.select(
         F.col("s_suppkey").alias("site"),
         F.round((F.col("s_acctbal") + 1000) / 11000, 8).alias("functional_prob"),
-        F.when(nation < 4, "Known Import").when(nation < 8, "Known Export").alias("known"),
+        F.when(part == 0, "Known Import").when(part == 1, "Known Export").alias("known"),
     )
 
 
 FUNCTIONAL = """functional AS (SELECT s_suppkey AS site, round((s_acctbal + 1000) / 11000, 8) AS functional_prob,
-  CASE WHEN s_nationkey < 4 THEN 'Known Import' WHEN s_nationkey < 8 THEN 'Known Export' END AS known FROM supplier)"""
+  CASE s_suppkey % 3 WHEN 0 THEN 'Known Import' WHEN 1 THEN 'Known Export' END AS known FROM supplier)"""
 
 
 def joint_sites(t: Tables) -> DataFrame:

@@ -265,16 +265,16 @@ def row_rank(
 
     # Rows before the value, plus rows of the same value before the tie-break.
     steps = ladder(work, keys, "_v", {"_n": F.lit(1)}, growth).select(
-        *keys, "_v", F.col("_n_before").alias("_below"), F.col("_n_total").alias("_size")
+        *keys, "_v", F.col("_n_before").alias("_rr_below"), F.col("_n_total").alias("_rr_size")
     )
     ties = ladder(work, [*keys, "_v"], tie, {"_m": F.lit(1)}, growth).select(
-        *keys, "_v", tie, F.col("_m_before").alias("_ahead")
+        *keys, "_v", tie, F.col("_m_before").alias("_rr_ahead")
     )
     out = attach(attach(work, steps, [*keys, "_v"]), ties, [*keys, "_v", tie])
-    out = out.withColumn(rank, F.col("_below") + F.col("_ahead") + 1)
+    out = out.withColumn(rank, F.col("_rr_below") + F.col("_rr_ahead") + 1)
     if size:
-        out = out.withColumn(size, F.col("_size"))
-    return out.drop("_v", "_below", "_ahead", "_size")
+        out = out.withColumn(size, F.col("_rr_size"))
+    return out.drop("_v", "_rr_below", "_rr_ahead", "_rr_size")
 
 
 def quantiles(

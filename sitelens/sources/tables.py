@@ -22,7 +22,7 @@ def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "
 
     The schema comes from the header line, so there is no inference pass.
     """
-    first = spark.read.option("encoding", encoding).text(path).first()
+    first = spark.read.text(path).select(decoded("value", encoding)).first()
     if first is None:
         raise InvalidInput(f"{path} is empty")
     names = [n.strip().strip('"') for n in first[0].lstrip("﻿").rstrip("\r").split(sep)]
@@ -158,9 +158,17 @@ def parse_preamble_table(lines: DataFrame, order: str, text: str, starts: str =
     return body.select(*[F.trim(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))).alias(n) for i, n in enumerate(names)])
 
 
+def decoded(column: str, encoding: str) -> Column:
+    """Text of raw bytes in an encoding; the text scan itself keeps bytes as they are."""
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        return F.col(column)
+    return F.decode(F.col(column).cast("binary"), encoding)
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Lines of a text file with their order."""
-    return spark.read.option("encoding", encoding).text(path).withColumn("line_order", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("line_order", F.monotonically_increasing_id())
+    return lines.withColumn("value", decoded("value", encoding))
 
 
 def read_curated(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -168,13 +176,12 @@ def read_curated(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
     return parse_preamble_table(read_lines(spark, path, encoding), "line_order", "value")
 
 
-def read_text_any(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """Lines in the first encoding under which no line holds a replacement character."""
-    for encoding in encodings[:-1]:
-        lines = read_lines(spark, path, encoding)
-        if lines.where(F.contains("value", F.lit("�"))).isEmpty():
-            return lines
-    return read_lines(spark, path, encodings[-1])
+def read_text_any(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> DataFrame:
+    """Lines as UTF-8, or in the fallback encoding when any line is not valid UTF-8."""
+    lines = read_lines(spark, path)
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return lines
+    return read_lines(spark, path, fallback)
 
 
 def parse_known_sites(rows: DataFrame) -> DataFrame:

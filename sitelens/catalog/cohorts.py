@@ -271,13 +271,16 @@ def adjusted_activity(t: Tables) -> DataFrame:
     return rounded(rounded(out.select(*SITE, "n_samples", "coef", "p_value"), ["coef"], 7), ["p_value"], 5)
 
 
-@query("adjusted_targets")
+@query("adjusted_targets", f"""WITH {MATRIX}, {EXPR}, {TARGETS}, {COV}, rows AS (SELECT o.cohort, o.site, gene, expr AS y, o.value AS x, purity AS z FROM obs o JOIN tg USING (site) JOIN ex USING (cohort, gene, sample) JOIN cov USING (cohort, sample)),
+s AS (SELECT cohort, site, gene, count(*) AS n, var_pop(x) AS s11, var_pop(z) AS s22, covar_pop(x, z) AS s12, covar_pop(y, x) AS s1y, covar_pop(y, z) AS s2y FROM rows GROUP BY ALL)
+SELECT cohort, site, gene, n AS n_samples, round((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12), 7) AS coef FROM s WHERE n > 3""")
 def adjusted_targets(t: Tables) -> DataFrame:
     rows = (
         observed(t).join(targets(t), "site").join(expression(t), ["cohort", "gene", "sample"])
         .join(covariates(t), ["cohort", "sample"])
     )
-    return rounded(C.adjusted_association(rows, [*SITE, "gene"], "expr", "value", ["purity"], ["cohort", "site"]))
+    out = C.adjusted_association(rows, [*SITE, "gene"], "expr", "value", ["purity"], ["cohort", "site"])
+    return rounded(out.select(*SITE, "gene", "n_samples", "coef"), digits=7)
 
 
 @query("abundance_diagnostic", f"""WITH {SPLIT_MEDIAN}, {COV}, rows AS (SELECT cohort, site, sample, side, value, purity, cohort || '|' || site AS cs FROM members JOIN m USING (cohort, site, sample) JOIN cov USING (cohort, sample)),

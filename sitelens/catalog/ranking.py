@@ -102,14 +102,14 @@ def seeded_pick(t: Tables) -> DataFrame:
     return R.seeded_pick(t.orders.select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"], 20, 7)
 
 
-@query("ordered_sites", """SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END DESC NULLS LAST, s_suppkey)::INT AS row_order FROM supplier""")
+@query("ordered_sites", """SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END DESC NULLS LAST, s_suppkey) AS row_order FROM supplier""")
 def ordered_sites(t: Tables) -> DataFrame:
     rows = t.supplier.withColumn("v", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")))
     return R.ordered_rows(rows, [F.asc("s_nationkey"), F.col("v").desc_nulls_last(), F.asc("s_suppkey")]).select("s_suppkey", "row_order")
 
 
 @query("cohort_sequence", """WITH c AS (SELECT c_mktsegment, avg(c_acctbal) AS a FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey < 6 GROUP BY 1)
-SELECT m.c_mktsegment, row_number() OVER (ORDER BY coalesce(a > 4500, false) DESC, a / 10000 NULLS LAST, m.c_mktsegment)::INT AS cohort_order FROM (SELECT DISTINCT c_mktsegment FROM customer) m LEFT JOIN c USING (c_mktsegment)""")
+SELECT m.c_mktsegment, row_number() OVER (ORDER BY coalesce(a > 4500, false) DESC, a / 10000 NULLS LAST, m.c_mktsegment) AS cohort_order FROM (SELECT DISTINCT c_mktsegment FROM customer) m LEFT JOIN c USING (c_mktsegment)""")
 def cohort_sequence(t: Tables) -> DataFrame:
     rows = t.customer.where("c_mktsegment <> 'BUILDING' AND c_nationkey < 6").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("a"))
     rows = rows.select("c_mktsegment", (F.col("a") > 4500).alias("sig"), (F.col("a") / 10000).alias("p"), F.lit(1.0).alias("delta"))

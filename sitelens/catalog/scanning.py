@@ -123,7 +123,7 @@ def fold_metrics(t: Tables) -> DataFrame:
     return rounded(ST.load_fold_metrics({"a": one("A"), "r": one("R")}, "fold", 12).withColumn("fold", F.col("fold").cast("bigint")))
 
 
-ATOMS = """atoms AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS resseq, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem WHERE l_returnflag = 'R'),
+ATOMS = """atoms AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS resseq, l_quantity AS x, round(l_discount * 100, 6) AS y, round(l_tax * 100, 6) AS z FROM lineitem WHERE l_returnflag = 'R'),
 near AS (SELECT site, resseq, x, y, z, sqrt((x - 25) * (x - 25) + (y - 5) * (y - 5) + (z - 4) * (z - 4)) AS distance FROM atoms),
 nodes AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(distance, 9), resseq, x, y, z) AS node_rank FROM near WHERE round(distance, 9) <= 6 QUALIFY node_rank <= 12)"""
 
@@ -140,14 +140,20 @@ def radius_nodes(t: Tables) -> DataFrame:
     return rounded(nodes(t).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("total")))
 
 
-@query("node_attributes")
+@query("node_attributes", f"""WITH {ATOMS} SELECT site, round(sum((x + 40) / 100), 6) AS confidence, round(sum((resseq - 100) / 50), 6) AS offset, 21 AS width FROM nodes GROUP BY 1""")
 def node_attributes(t: Tables) -> DataFrame:
     rows = nodes(t).withColumn("aa", F.lit("S")).withColumn("plddt", F.col("x") + 40).withColumn("centre", F.lit(100))
     out = G.node_attributes(rows, "centre")
     return out.groupBy("site").agg(F.round(F.sum("confidence"), 6).alias("confidence"), F.round(F.sum("offset"), 6).alias("offset"), F.max(F.size("one_hot")).alias("width"))
 
 
-@query("node_edges")
+@query("node_edges", f"""WITH {ATOMS}, one AS (SELECT site, resseq, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM nodes GROUP BY ALL HAVING count(*) = 1),
+e AS (SELECT a.site, abs(a.resseq - b.resseq) = 1 AS adj FROM one a JOIN one b ON a.site = b.site AND a.resseq <> b.resseq
+  AND (sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 4 OR abs(a.resseq - b.resseq) = 1)),
+c AS (SELECT site, count(*) AS n_edges, count(*) FILTER (adj) AS n_adjacent FROM e GROUP BY 1)
+SELECT site, coalesce(n_edges, 1) AS n_edges, coalesce(n_adjacent, 0) AS n_adjacent FROM (SELECT DISTINCT site FROM one) LEFT JOIN c USING (site)""")
 def node_edges(t: Tables) -> DataFrame:
-    out = G.node_edges(nodes(t).dropDuplicates(["site", "resseq"]), ["site"], 4.0)
-    return out.groupBy("site").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("adjacent").alias("n_adjacent"))
+    rows = nodes(t)
+    single = rows.groupBy("site", "resseq").agg(F.count(F.lit(1)).alias("_n"), *[F.max(a).alias(a) for a in "xyz"]).where("_n = 1").drop("_n")
+    out = G.node_edges(single, ["site"], 4.0)
+    return out.groupBy("site").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("adjacent").cast("bigint").alias("n_adjacent"))

@@ -13,11 +13,13 @@ from sitelens.operators.ordered import (
     SLICE,
     attach,
     gap_runs,
+    is_small,
     ladder,
     lay_out,
     quantiles,
     reverse_running_min,
     row_rank,
+    settle,
 )
 
 
@@ -136,9 +138,25 @@ def seeded_pick(df: DataFrame, keys: Sequence[str], row_key: Sequence[str], k: i
 
 
 def ordered_rows(df: DataFrame, order: Sequence[Column], rank: str = "row_order", keys: Sequence[str] = ()) -> DataFrame:
-    """Position of every row of a result table (one row per site or cohort) in a multi-key order."""
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w))
+    """Position of every row in a multi-key order.
+
+    A large table without keys is sorted by ranges and written once; rows are
+    then numbered inside their partition and moved up by the rows of the
+    partitions before it, so no task sees the whole table.
+    """
+    if keys:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    if is_small(df):
+        return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    marked = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    # The id holds the partition in its upper bits and the row in its lower 33.
+    placed = settle(marked).withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(2**33 - 1))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    return attach(placed, offsets, ["_part"], small=True).withColumn(
+        rank, F.col("_ahead") + F.col("_row") + 1
+    ).drop("_id", "_part", "_row", "_ahead")
 
 
 def cohort_sequence(rows: DataFrame, cohorts: DataFrame, cohort: str, significant: str, p: str, delta: str) -> DataFrame:
@@ -161,7 +179,7 @@ def cohorts_with_pairs(points: DataFrame, cohort: str, at_least: int) -> DataFra
 
 
 def combined_site_table(sites: DataFrame, cohort: str, site: str, p: str, known: str, cut: float = 0.05, per_cohort: int = 10) -> DataFrame:
-    """Significance flag and rank, cohort rank, in-figure flag and row order of all sites."""
+    """Significance flag and rank, cohort rank, in-figure flag and row order of all sites; ``site`` is a unique number."""
     flagged = sites.withColumn("is_significant", F.coalesce(F.col(p) < cut, F.lit(False))).withColumn(
         "status", F.when(F.col(known), "Known").otherwise("New")
     )
@@ -169,8 +187,7 @@ def combined_site_table(sites: DataFrame, cohort: str, site: str, p: str, known:
         "cohort_rank", F.row_number().over(Window.orderBy(F.desc("n_significant"), F.asc(cohort)))
     )
     ranked = flagged.join(order, cohort).withColumn("star_rank", S.star_rank(p))
-    w = Window.partitionBy(cohort).orderBy(F.col(p).asc_nulls_last(), F.asc(site))
-    return ranked.withColumn("site_rank", F.row_number().over(w)).withColumn(
+    return row_rank(ranked, [cohort], p, site, "site_rank", ascending=True).withColumn(
         "in_figure", F.col("is_significant") & (F.col("site_rank") <= per_cohort)
     )
 

@@ -113,18 +113,31 @@ def parse_evidence(wide: DataFrame, regulator: Column, target: str, pattern: str
     return typed.unpivot(["regulator", "target"], [F.col(f"`{c}`") for c in experiments], "experiment", "score")
 
 
-def read_evidence(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """Evidence of several regulators, ``{regulator: file}``; files differ in their columns. Empty files give no rows."""
-    out: DataFrame | None = None
-    for regulator, path in sorted(paths.items()):
-        if spark.read.text(path).isEmpty():
-            continue
-        wide = read_table(spark, path, "\t")
-        part = parse_evidence(wide, F.lit(regulator), wide.columns[0])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "regulator string, target string, experiment string, score double")
-    return out
+def parse_evidence_lines(lines: DataFrame, regulator: Column, pattern: str = "SRX", sep: str = "\t") -> DataFrame:
+    """Evidence of many files at once from (file, line_order, value) lines; every file has its own header.
+
+    The header line of each file is joined to its other lines and the cells are
+    paired with their column names, so files may differ in their columns.
+    """
+    heads = lines.groupBy("file").agg(F.min("line_order").alias("_first"), F.min_by("value", "line_order").alias("_head"))
+    body = lines.join(heads, "file").where(F.col("line_order") != F.col("_first"))
+    trimmed = lambda c: F.split(F.regexp_replace(c, "\r$", ""), sep)
+    cells = F.explode(F.arrays_zip(trimmed("_head").alias("name"), trimmed("value").alias("text")))
+    rows = body.select(regulator.alias("regulator"), F.trim(F.element_at(trimmed("value"), 1)).alias("target"), cells.alias("_c"))
+    return rows.where(F.contains("_c.name", F.lit(pattern))).select(
+        "regulator", "target", F.col("_c.name").alias("experiment"), S.number("_c.text").alias("score")
+    )
+
+
+def read_evidence(spark: SparkSession, path: str | list[str], pattern: str = "SRX") -> DataFrame:
+    """Evidence files, one per regulator, in one scan; the regulator is the file name up to its first dot.
+
+    Empty files give no rows.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_order")
+    )
+    return parse_evidence_lines(lines, F.split_part("file", F.lit("."), F.lit(1)), pattern)
 
 
 def with_evidence(sites: DataFrame, evidence: DataFrame, regulator: str) -> DataFrame:

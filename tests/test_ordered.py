@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitelens.operators import joins, ordered, ranking
 
@@ -119,3 +120,10 @@ def test_cut_groups_are_really_cut(hot):
     layout = ordered.lay_out(frame(hot, sample(values=1000)), ["g"], "v")
     assert layout.cut
     assert layout.df.select("_slice").distinct().count() > 3
+
+
+def test_ordered_rows(spark, mode):
+    rows = sample(values=7)
+    got = {r.id: r.row_order for r in ranking.ordered_rows(frame(spark, rows), [F.asc("g"), F.desc("v"), F.asc("id")]).collect()}
+    for place, (_, _, i) in enumerate(sorted(rows, key=lambda r: (r[0], -r[1], r[2])), 1):
+        assert got[i] == place

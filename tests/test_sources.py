@@ -51,10 +51,14 @@ def test_encoding_fallback(spark, tmp_path):
 
 
 def test_evidence_edges_and_id_map(spark, tmp_path):
-    one = write(tmp_path / "TF1.tsv", "t\tTF1|SRX1\tTF1|SRX2\tavg\nG1\t5\t0\t9\n")
-    empty = write(tmp_path / "TF2.tsv", "")
-    ev = tables.read_evidence(spark, {"TF1": one, "TF2": empty})
-    assert {(r.regulator, r.target, r.experiment, r.score) for r in ev.collect()} == {("TF1", "G1", "TF1|SRX1", 5.0), ("TF1", "G1", "TF1|SRX2", 0.0)}
+    folder = tmp_path / "evidence"
+    folder.mkdir()
+    write(folder / "TF1.5.tsv", "t\tTF1|SRX1\tTF1|SRX2\tavg\nG1\t5\t0\t9\n")
+    write(folder / "TF2.5.tsv", "")
+    write(folder / "TF3.5.tsv", "t\tavg\tTF3|SRX9\nG2\t1\tx\n")
+    ev = tables.read_evidence(spark, str(folder))
+    assert {(r.regulator, r.target, r.experiment, r.score) for r in ev.collect()} == {
+        ("TF1", "G1", "TF1|SRX1", 5.0), ("TF1", "G1", "TF1|SRX2", 0.0), ("TF3", "G2", "TF3|SRX9", None)}
     edges = tables.read_edges(spark, write(tmp_path / "e.csv", "source,target,weight\nA,B,1\nA,C,0\n ,D,1\nA,E,-2\n"))
     assert {(r.target, r.sign) for r in edges.collect()} == {("B", 1), ("E", -1)}
     ids = tables.read_id_map(spark, write(tmp_path / "i.tsv", "P1\tEnsembl\tENSG1.4\nP1\tOther\tX\nP1\tEnsembl\tENSG1.5\n"))

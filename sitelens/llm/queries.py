@@ -75,3 +75,38 @@ def op7(t: Tables):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op1_language_id")
+def op1(t: Tables):
+    from sitelens.llm import langid
+    from sitelens.llm.text import bucket
+
+    docs = t.documents.select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(bucket("doc_id", 4) != 2))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", (bucket("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_cost_packing")
+def op3(t: Tables):
+    import public_tokenizers
+
+    from sitelens.llm.packing import pack
+
+    return pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_quality_score")
+def op5(t: Tables):
+    from sitelens.llm import quality
+    from sitelens.llm.text import bucket
+
+    docs = t.documents.select("doc_id", "text")
+    model = quality.train(docs, t.labels.filter(bucket("doc_id", 4) != 2))
+    return quality.scored(docs, model).select(
+        "row.doc_id",
+        (bucket("row.doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )

@@ -110,3 +110,39 @@ def op5(t: Tables):
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+NEAR_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select doc_id, case when w is null or len(w) = 0 then []::varchar[] when len(w) = 1 then [w[1]]
+    else list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) end as s from words
+), grams as (
+  select distinct doc_id, unnest(s) as g from shingles
+), sizes as (
+  select doc_id, count(*) as n from grams group by doc_id
+), matches as (
+  select a.doc_id as a, b.doc_id as b, count(*) as met from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), near as (
+  select a, b from matches join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * met >= 80 * (x.n + y.n - met)
+), edges as (
+  select a, b from near union all select b, a from near
+), reach(id, c) as (
+  select distinct a, a from edges
+  union
+  select e.b, r.c from reach r join edges e on e.a = r.id
+), least_id as (
+  select id, min(c) as c from reach group by id
+)
+select s.doc_id, coalesce(z.n, 0)::bigint as n_shingles, coalesce(l.c, s.doc_id) as component_id, coalesce(l.c, s.doc_id) = s.doc_id as kept
+from shingles s left join sizes z on z.doc_id = s.doc_id left join least_id l on l.id = s.doc_id
+"""
+
+
+@query("op2_near_duplicates", NEAR_SQL)
+def op2(t: Tables):
+    from sitelens.llm.neardup import classes
+
+    return classes(t.documents, width=2)

@@ -146,3 +146,14 @@ def op2(t: Tables):
     from sitelens.llm.neardup import classes
 
     return classes(t.documents, width=2)
+
+
+@query("op4_context_tree")
+def op4(t: Tables):
+    from sitelens.llm.ctw import scored
+    from sitelens.llm.text import bucket
+
+    found = scored(t.documents.select("doc_id", "text"), bucket("doc_id", 10) != 0)
+    return found.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
+    )

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sitelens.llm.store import discard, settle
 
-DEPTH = 4
+DEPTH = 5
 END = b"\n"
 #: Bytes of text in a bucket, on average, and how many buckets there are beyond those.
 BUCKET_BYTES, SPARE_BUCKETS = 64 << 20, 9

@@ -157,3 +157,23 @@ def op4(t: Tables):
     return found.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
     )
+
+
+TOP_SQL = """
+with good as (
+  select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
+from pairs qualify rank <= 5
+"""
+
+
+@query("op10_va_file_top_k", TOP_SQL)
+def op10(t: Tables):
+    from sitelens.llm.vafile import top_k
+
+    return top_k(t.embeddings, F.col("vec_id") % 50 == 0, 5)

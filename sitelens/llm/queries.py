@@ -177,3 +177,31 @@ def op10(t: Tables):
     from sitelens.llm.vafile import top_k
 
     return top_k(t.embeddings, F.col("vec_id") % 50 == 0, 5)
+
+
+WARC_SQL = """
+with payloads as (
+  select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as d from pages
+), kept as (
+  select body as kept_body, max(page_id) as largest from payloads group by body
+)
+select page_id, strlen(body)::bigint as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(d, (1 + 5 * (i // 4))::bigint, 5))::bigint >> (5 * (3 - i % 4))::bigint) & 31))::bigint, 1) for i in range(32)], '') as payload_digest,
+  case when page_id = largest then 'response' else 'revisit' end as record_type,
+  case when page_id = largest then null else largest end as refers_to
+from payloads join kept on body = kept_body
+"""
+
+
+@query("op9_warc_index", WARC_SQL)
+def op9(t: Tables):
+    from sitelens.llm.warc import captured_pages
+
+    return captured_pages(t.pages).select(
+        F.col("page").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )

@@ -205,3 +205,32 @@ def op9(t: Tables):
         "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+
+
+VECTOR_SQL = """
+with recursive good as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) >= 0.93 * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))
+), degrees as (
+  select a, count(*) as n from links group by a
+), reach(id, c) as (
+  select distinct a, a from links
+  union
+  select l.b, r.c from reach r join links l on l.a = r.id
+), least_id as (
+  select id, min(c) as c from reach group by id
+)
+select v.vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, v.vec_id) as component_id, coalesce(c, v.vec_id) = v.vec_id as kept
+from embeddings v left join degrees on a = v.vec_id left join least_id on id = v.vec_id
+"""
+
+
+@query("op8_vector_near_duplicates", VECTOR_SQL)
+def op8(t: Tables):
+    from sitelens.llm.flatgraph import near_vectors
+
+    return near_vectors(t.embeddings)

@@ -10,6 +10,7 @@ over is dealt to sequences whose lengths are powers of two, which need no paddin
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,28 +25,53 @@ CAPACITY = 1024
 END_ID = 0
 #: A block is closed at this many documents or tokens, whichever comes first.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 21
-#: Words a worker remembers with their ids.
-REMEMBERED = 250_000
+#: Words a worker remembers with their ids, and how many new ones are encoded as one text.
+REMEMBERED, LUMP = 700_000, 64
+_WORKER: dict[str, WordIds] = {}
 
 
 class WordIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A byte-level tokenizer of this kind always starts a new piece at a single
-    space between two other characters, so a text is the sum of its words, each
-    with the space before it; words seen before are looked up. Texts in which a
-    space stands beside other white space, or at an end, are encoded as a whole.
+    space between two other characters, and only there a token starts with a
+    space. So a text is the sum of its words, each with the space before it:
+    words seen before are looked up, new ones are encoded many at a time and cut
+    apart where a token starts with a space. Texts in which a space stands beside
+    other white space, or at an end, are encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes | None] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+    @classmethod
+    def of_worker(cls, path: str) -> WordIds:
+        """The one of this worker process, with what it knows from earlier tasks."""
+        if path not in _WORKER:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on every core
+            _WORKER[path] = cls(path)
+        return _WORKER[path]
+
+    def _arrays(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        lumps = [words[i : i + LUMP] for i in range(0, len(words), LUMP)]
+        odd = []
+        for lump, ids in zip(lumps, self._arrays([" " + " ".join(x) for x in lumps])):
+            cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+            if len(cuts) != len(lump) + 1 or cuts[0]:
+                odd += lump
+                continue
+            coded = ids.tobytes()
+            self.known.update(zip(lump, [coded[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]))
+        self.known.update(zip(odd, [x.tobytes() for x in self._arrays([" " + w for w in odd])]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
@@ -53,20 +79,19 @@ class WordIds:
             self.known.clear()
         known = self.known
         new = list({w for words in split for w in words[1:]}.difference(known))
-        usable = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         known.update(dict.fromkeys(new))
-        known.update(zip(usable, self._ids([" " + w for w in usable])))
-        heads = self._ids([words[0] for words in split])
+        self._learn([w for w in new if w and not w[0].isspace() and not w[-1].isspace()])
+        heads = self._arrays([words[0] for words in split])
         out: list[bytes | None] = []
         for words, head in zip(split, heads):
             try:
                 whole = len(words) > 1 and (not words[0] or words[0][-1].isspace())
-                out.append(None if whole else b"".join([head, *map(known.__getitem__, words[1:])]))
+                out.append(None if whole else b"".join([head.tobytes(), *map(known.__getitem__, words[1:])]))
             except TypeError:
                 out.append(None)
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self._ids([texts[i] for i in rest])):
-            out[i] = ids
+        for i, ids in zip(rest, self._arrays([texts[i] for i in rest])):
+            out[i] = ids.tobytes()
         return out
 
 
@@ -141,7 +166,7 @@ def pack(
         return pa.RecordBatch.from_pydict(columns), base + (max(x[3] for x in found) + 1 if found else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds(tokenizer), np.array([END_ID], "<u4").tobytes()
+        encode, end = WordIds.of_worker(tokenizer), np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         keys, coded, tokens = [], [], 0
         for batch in batches:

@@ -21,32 +21,51 @@ KEY = ["l_orderkey", "l_linenumber"]
 def segments(t: Tables, prefix: str, has: str = "HasSegment_Flag") -> DataFrame:
     """Line items as a segment family: has by return flag, inside by line status, distances by quantity."""
     flag = F.col("l_returnflag")
-    return t.lineitem.select(
-        *KEY,
-        F.when(flag == "R", "True").when(flag == "A", "1").otherwise(" false ").alias(prefix + has),
-        (F.col("l_linestatus") == "F").cast("string").alias(prefix + "Inside_Flag"),
-        F.nullif("l_quantity", F.lit(7.0)).alias(prefix + "Nearest_Distance"),
-        (F.col("l_quantity") - 25).alias(prefix + "Nearest_CenterSignedDistance"),
-        F.nullif(F.col("l_discount"), F.lit(0.03)).alias(prefix + "Inside_RelativePosition"),
-        F.nullif("l_quantity", F.lit(9.0)).alias(prefix + "Inside_SegmentLength"),
-        (F.col("l_tax") * 20).alias(prefix + "Protein_CoverageFraction"),
-        F.nullif("l_tax", F.lit(0.03)).alias(prefix + "Nearest_Score"),
-    )
+    columns = {
+        has: F.when(flag == "R", "True").when(flag == "A", "1").otherwise(" false "),
+        "Inside_Flag": (F.col("l_linestatus") == "F").cast("string"),
+        "Nearest_Distance": F.nullif("l_quantity", F.lit(7.0)),
+        "Nearest_CenterSignedDistance": F.nullif("l_quantity", F.lit(11.0)) - 25,
+        "Inside_RelativePosition": F.nullif(F.col("l_discount"), F.lit(0.03)) * 20 - 0.5,
+        "Inside_SegmentLength": F.nullif("l_quantity", F.lit(9.0)),
+        "Protein_CoverageFraction": F.nullif("l_tax", F.lit(0.01)) * 20,
+        "Nearest_Score": F.nullif("l_tax", F.lit(0.03)) * 20,
+    }
+    if prefix == "MOTIF_Domain_DBD_":
+        columns["Nearest_Start"] = F.nullif("l_quantity", F.lit(13.0))
+    if prefix == "MOTIF_IDR_":
+        columns["Site_DisorderScore"] = F.nullif("l_tax", F.lit(0.02)) * 10
+        columns["NearestRegion_DisorderMean"] = F.nullif("l_tax", F.lit(0.04)) * 10
+    return t.lineitem.select(*KEY, *[c.alias(prefix + n) for n, c in columns.items()])
 
 
 SEG = """seg AS (SELECT l_orderkey, l_linenumber, (l_returnflag <> 'N')::INT AS has, (l_linestatus = 'F')::INT AS inside, nullif(l_quantity, 7) AS dist,
-  l_quantity - 25 AS center, nullif(l_discount, 0.03) AS rel, nullif(l_quantity, 9) AS len, l_tax * 20 AS cov, nullif(l_tax, 0.03) AS score FROM lineitem),
-fit AS (SELECT quantile_cont(dist, 0.99) FILTER (has = 1) + 1 AS fd, quantile_cont(center, 0.99) FILTER (has = 1) + 1 AS fc, median(score) FILTER (has = 1) AS fs FROM seg)"""
+  nullif(l_quantity, 11) - 25 AS center, nullif(l_discount, 0.03) * 20 - 0.5 AS rel, nullif(l_quantity, 9) AS len, nullif(l_tax, 0.01) * 20 AS cov,
+  nullif(l_tax, 0.03) * 20 AS score, nullif(l_quantity, 13) AS start, nullif(l_tax, 0.02) * 10 AS site, nullif(l_tax, 0.04) * 10 AS region FROM lineitem),
+fit AS (SELECT quantile_cont(dist, 0.99) FILTER (has = 1) + 1 AS fd, quantile_cont(center, 0.99) FILTER (has = 1) + 1 AS fc, median(center) FILTER (has = 1) AS mc,
+  median(score) FILTER (has = 1) AS ms, median(start) FILTER (has = 1) AS mb, median(start) AS ma, quantile_cont(start, 0.99) FILTER (has = 1) + 1 AS fb,
+  median(site) AS mt, median(region) FILTER (has = 1) AS mr, median(region) AS mr_all, median(score) AS ms_all FROM seg)"""
+
+# The twins state each column's expression; "segment" below means a row with the family's flag.
+LARGE_CENTER = "CASE WHEN has = 1 THEN coalesce(center, fc) ELSE fc END"
+CUT_CENTER = f"ln(1 + greatest({LARGE_CENTER}, 0))"
+MEDIAN_CENTER = "CASE WHEN has = 1 THEN coalesce(center, mc) ELSE 0 END"
+ZERO_CENTER = "CASE WHEN has = 1 THEN coalesce(center, 0) ELSE 0 END"
+OUTSIDE = "CASE WHEN inside = 1 THEN coalesce(rel, -1) ELSE -1 END"
+BOUNDED_POSITION = "CASE WHEN inside = 1 AND rel >= 0 THEN least(rel, 1) ELSE -1 END"
+SEGMENT_FRACTION = "CASE WHEN has = 1 THEN least(coalesce(cov, 0), 1) ELSE 0 END"
+
+
+def signed(value: str) -> str:
+    return f"sign({value}) * ln(1 + abs({value}))"
 
 
-def seg_sql(p: str, signed: bool, score: str, cov: str, has: str = "HasSegment_Flag") -> str:
-    center = "CASE WHEN has = 1 THEN center ELSE fc END"
-    center = f"sign({center}) * ln(1 + abs({center}))" if signed else f"ln(1 + greatest({center}, 0))"
-    score = f"coalesce(CASE WHEN has = 1 THEN coalesce(score, {score}) ELSE 0 END, 0)"
+def seg_sql(p: str, center: str, rel: str, cov: str, has: str = "HasSegment_Flag", **more: str) -> str:
+    rest = ", ".join(f'round({e}, 6) AS "{p}{n}"' for n, e in more.items())
     return f"""WITH {SEG} SELECT l_orderkey, l_linenumber, has::DOUBLE AS "{p}{has}", inside::DOUBLE AS "{p}Inside_Flag",
   round(ln(1 + CASE WHEN has = 1 THEN coalesce(dist, fd) ELSE fd END), 6) AS "{p}Nearest_Distance", round({center}, 6) AS "{p}Nearest_CenterSignedDistance",
-  round(CASE WHEN inside = 1 THEN coalesce(rel, -1) ELSE -1 END, 6) AS "{p}Inside_RelativePosition", CASE WHEN inside = 1 THEN coalesce(len, 0) ELSE 0 END::DOUBLE AS "{p}Inside_SegmentLength",
-  round({cov}, 6) AS "{p}Protein_CoverageFraction", round({score}, 6) AS "{p}Nearest_Score" FROM seg, fit"""
+  round({rel}, 6) AS "{p}Inside_RelativePosition", CASE WHEN inside = 1 THEN coalesce(len, 0) ELSE 0 END::DOUBLE AS "{p}Inside_SegmentLength",
+  round({cov}, 6) AS "{p}Protein_CoverageFraction", {rest} FROM seg, fit"""
 
 
 def family_query(family: str, variant: str, prefix: str, has: str = "HasSegment_Flag"):
@@ -58,16 +77,26 @@ def family_query(family: str, variant: str, prefix: str, has: str = "HasSegment_
     return run
 
 
-query("domain_family", seg_sql("MOTIF_Domain_DBD_", False, "0", "cov"))(family_query("domain", "candidate", "MOTIF_Domain_DBD_"))
-query("domain_family_signed", seg_sql("MOTIF_Domain_DBD_", True, "0", "least(cov, 1)"))(family_query("domain", "direction", "MOTIF_Domain_DBD_"))
-query("nls_family", seg_sql("MOTIF_NLS_", False, "0", "CASE WHEN inside = 1 THEN cov ELSE 0 END"))(family_query("nls", "candidate", "MOTIF_NLS_"))
-query("nls_family_signed", seg_sql("MOTIF_NLS_", True, "fs", "CASE WHEN has = 1 THEN least(cov, 1) ELSE 0 END"))(family_query("nls", "direction", "MOTIF_NLS_"))
-query("nes_family", seg_sql("MOTIF_NES_", False, "0", "cov"))(family_query("nes", "candidate", "MOTIF_NES_"))
-query("nes_family_signed", seg_sql("MOTIF_NES_", True, "fs", "least(cov, 1)"))(family_query("nes", "direction", "MOTIF_NES_"))
-query("motif1433_family", seg_sql("MOTIF_1433_", False, "fs", "CASE WHEN has = 1 THEN cov ELSE 0 END", "HasMotif_Flag"))(family_query("motif1433", "candidate", "MOTIF_1433_", "HasMotif_Flag"))
-query("motif1433_family_signed", seg_sql("MOTIF_1433_", True, "fs", "CASE WHEN has = 1 THEN least(cov, 1) ELSE 0 END", "HasMotif_Flag"))(family_query("motif1433", "direction", "MOTIF_1433_", "HasMotif_Flag"))
-query("idr_family", seg_sql("MOTIF_IDR_", False, "0", "cov", "HasRegion_Flag"))(family_query("idr", "candidate", "MOTIF_IDR_", "HasRegion_Flag"))
-query("idr_family_signed", seg_sql("MOTIF_IDR_", True, "fs", "least(cov, 1)", "HasRegion_Flag"))(family_query("idr", "direction", "MOTIF_IDR_", "HasRegion_Flag"))
+FILLED = "coalesce(cov, 0)"
+ZERO_SCORE = "CASE WHEN has = 1 THEN coalesce(score, 0) ELSE 0 END"
+MEDIAN_SCORE = "CASE WHEN has = 1 THEN coalesce(score, ms) ELSE 0 END"
+query("domain_family", seg_sql("MOTIF_Domain_DBD_", CUT_CENTER, OUTSIDE, FILLED, Nearest_Score=ZERO_SCORE, Nearest_Start="ln(1 + CASE WHEN has = 1 THEN coalesce(start, fb) ELSE fb END)"))(
+    family_query("domain", "candidate", "MOTIF_Domain_DBD_"))
+query("domain_family_signed", seg_sql("MOTIF_Domain_DBD_", signed(MEDIAN_CENTER), BOUNDED_POSITION, SEGMENT_FRACTION, Nearest_Score=ZERO_SCORE,
+      Nearest_Start="CASE WHEN has = 1 THEN greatest(coalesce(start, mb), 0) ELSE 0 END"))(family_query("domain", "direction", "MOTIF_Domain_DBD_"))
+query("nls_family", seg_sql("MOTIF_NLS_", CUT_CENTER, "CASE WHEN inside = 1 THEN coalesce(rel, 0) ELSE -1 END", "CASE WHEN inside = 1 THEN coalesce(cov, 0) ELSE 0 END",
+      Nearest_Score="CASE WHEN inside = 1 THEN coalesce(score, 0) ELSE 0 END"))(family_query("nls", "candidate", "MOTIF_NLS_"))
+query("nls_family_signed", seg_sql("MOTIF_NLS_", signed(LARGE_CENTER), BOUNDED_POSITION, SEGMENT_FRACTION, Nearest_Score=MEDIAN_SCORE))(family_query("nls", "direction", "MOTIF_NLS_"))
+query("nes_family", seg_sql("MOTIF_NES_", CUT_CENTER, OUTSIDE, FILLED, Nearest_Score=ZERO_SCORE))(family_query("nes", "candidate", "MOTIF_NES_"))
+query("nes_family_signed", seg_sql("MOTIF_NES_", signed(MEDIAN_CENTER), BOUNDED_POSITION, f"least({FILLED}, 1)", Nearest_Score=MEDIAN_SCORE))(family_query("nes", "direction", "MOTIF_NES_"))
+query("motif1433_family", seg_sql("MOTIF_1433_", CUT_CENTER, OUTSIDE, "CASE WHEN has = 1 THEN coalesce(cov, 0) ELSE 0 END", "HasMotif_Flag", Nearest_Score=MEDIAN_SCORE))(
+    family_query("motif1433", "candidate", "MOTIF_1433_", "HasMotif_Flag"))
+query("motif1433_family_signed", seg_sql("MOTIF_1433_", signed(MEDIAN_CENTER), BOUNDED_POSITION, SEGMENT_FRACTION, "HasMotif_Flag", Nearest_Score=f"least({MEDIAN_SCORE}, 1)"))(
+    family_query("motif1433", "direction", "MOTIF_1433_", "HasMotif_Flag"))
+query("idr_family", seg_sql("MOTIF_IDR_", CUT_CENTER, OUTSIDE, FILLED, "HasRegion_Flag", Nearest_Score="coalesce(score, ms_all)", Site_DisorderScore="coalesce(site, mt)",
+      NearestRegion_DisorderMean="coalesce(region, mr_all)"))(family_query("idr", "candidate", "MOTIF_IDR_", "HasRegion_Flag"))
+query("idr_family_signed", seg_sql("MOTIF_IDR_", signed(ZERO_CENTER), BOUNDED_POSITION, SEGMENT_FRACTION, "HasRegion_Flag", Nearest_Score=MEDIAN_SCORE, Site_DisorderScore="coalesce(site, mt)",
+      NearestRegion_DisorderMean="CASE WHEN has = 1 THEN coalesce(region, mr) ELSE 0 END"))(family_query("idr", "direction", "MOTIF_IDR_", "HasRegion_Flag"))
 
 
 def plain_family(family: str, variant: str, columns: dict, **options):
@@ -94,18 +123,18 @@ query("charge_family", plain_sql({"a": Q7, "b": D3 + " * 12"},
       {"SEQ_Charge_Net": "coalesce(a, ma)", "SEQ_Charge_PosFraction": "least(greatest(coalesce(b, mb), 0), 1)"}, {"ma": "median(a)", "mb": "median(b)"}))(
     plain_family("charge", "candidate", {"SEQ_Charge_Net": Q7, "SEQ_Charge_PosFraction": D3 + " * 12"}))
 query("charge_family_bounded", plain_sql({"a": Q7, "b": D3 + " * 12"},
-      {"SEQ_Charge_Net": "coalesce(a, ma)", "SEQ_Charge_Net_missing": "(a IS NULL)::INT::DOUBLE",
-       "SEQ_Charge_PosFraction": "coalesce(CASE WHEN b IS NOT NULL THEN least(greatest(b, 0), 1) END, mb)", "SEQ_Charge_PosFraction_missing": "(b IS NULL)::INT::DOUBLE"},
+      {"SEQ_Charge_Net": "coalesce(a, ma)", "SEQ_Charge_Net__missing": "(a IS NULL)::INT::DOUBLE",
+       "SEQ_Charge_PosFraction": "coalesce(CASE WHEN b IS NOT NULL THEN least(greatest(b, 0), 1) END, mb)", "SEQ_Charge_PosFraction__missing": "(b IS NULL)::INT::DOUBLE"},
       {"ma": "avg(a)", "mb": "avg(CASE WHEN b IS NOT NULL THEN least(greatest(b, 0), 1) END)"}))(
     plain_family("charge", "direction", {"SEQ_Charge_Net": Q7, "SEQ_Charge_PosFraction": D3 + " * 12"}, fill="mean", missing=True))
 query("sequence_family", plain_sql({"a": D3, "b": Q7, "c": TX},
       {"SEQ_Physicochem_ratio_E_over_D": "coalesce(a, 0)", "SEQ_Physicochem_mean_hydropathy_kd": "coalesce(b, mb)", "SEQ_Physicochem_other": "coalesce(c, mc)"}, {"mb": "median(b)", "mc": "median(c)"}))(
     plain_family("sequence", "candidate", {"SEQ_Physicochem_ratio_E_over_D": D3, "SEQ_Physicochem_mean_hydropathy_kd": Q7, "SEQ_Physicochem_other": TX}))
 HYD = "(nullif(l_quantity, 7.0) - 25) / 3"
-query("sequence_family_bounded", plain_sql({"a": D3, "b": HYD, "c": TX + " * 20"},
-      {"SEQ_X_ratio_E_over_D": "coalesce(a, 0)", "SEQ_X_hydropathy": "coalesce(CASE WHEN b IS NOT NULL THEN least(greatest(b, -4.5), 4.5) END, mb)", "SEQ_X_fraction_S": "coalesce(CASE WHEN c IS NOT NULL THEN least(greatest(c, 0), 1) END, mc)"},
+query("sequence_family_bounded", plain_sql({"a": D3 + " * 300 - 2", "b": HYD, "c": TX + " * 20"},
+      {"SEQ_X_ratio_E_over_D": "least(greatest(coalesce(a, 0), 0), 20)", "SEQ_X_hydropathy": "coalesce(CASE WHEN b IS NOT NULL THEN least(greatest(b, -4.5), 4.5) END, mb)", "SEQ_X_fraction_S": "coalesce(CASE WHEN c IS NOT NULL THEN least(greatest(c, 0), 1) END, mc)"},
       {"mb": "median(CASE WHEN b IS NOT NULL THEN least(greatest(b, -4.5), 4.5) END)", "mc": "median(CASE WHEN c IS NOT NULL THEN least(greatest(c, 0), 1) END)"}))(
-    plain_family("sequence", "direction", {"SEQ_X_ratio_E_over_D": D3, "SEQ_X_hydropathy": HYD, "SEQ_X_fraction_S": TX + " * 20"}))
+    plain_family("sequence", "direction", {"SEQ_X_ratio_E_over_D": D3 + " * 300 - 2", "SEQ_X_hydropathy": HYD, "SEQ_X_fraction_S": TX + " * 20"}))
 query("zscale_family", plain_sql({"a": HYD}, {"SEQ_ZScale_Z1_mean": "coalesce(a, 0)"}, {}))(plain_family("zscale", "candidate", {"SEQ_ZScale_Z1_mean": HYD}))
 query("zscale_family_fitted", plain_sql({"a": HYD, "b": HYD}, {"SEQ_ZScale_Z1_mean": "coalesce(a, ma)", "SEQ_ZScale_Z1_std": "coalesce(CASE WHEN b IS NOT NULL THEN greatest(b, 0) END, mb)"},
       {"ma": "median(a)", "mb": "median(CASE WHEN b IS NOT NULL THEN greatest(b, 0) END)"}))(
@@ -115,7 +144,7 @@ query("hotspot_family", plain_sql({"a": Q7, "b": D3}, {"SEQ_Hotspot_Nearest_Dist
 query("hotspot_family_signed", plain_sql({"a": HYD, "b": TX + " * 20"}, {"SEQ_Hotspot_Signed_Distance": "coalesce(sign(a) * ln(1 + abs(a)), ma)", "SEQ_Hotspot_fraction": "coalesce(CASE WHEN b IS NOT NULL THEN least(b, 1) END, mb)"},
       {"ma": "median(sign(a) * ln(1 + abs(a)))", "mb": "median(CASE WHEN b IS NOT NULL THEN least(b, 1) END)"}))(
     plain_family("hotspot", "direction", {"SEQ_Hotspot_Signed_Distance": HYD, "SEQ_Hotspot_fraction": TX + " * 20"}))
-query("kinase_family_bounded", plain_sql({"a": TX + " * 20"}, {"FUNC_Kinase_prob__has": "(a IS NOT NULL)::INT::DOUBLE", "FUNC_Kinase_prob": "least(coalesce(a, 0), 1)"}, {}))(
+query("kinase_family_bounded", plain_sql({"a": TX + " * 20"}, {"FUNC_Kinase_prob__has": "(a IS NOT NULL)::INT::DOUBLE", "FUNC_Kinase_prob": "least(coalesce(a, ma), 1)"}, {"ma": "median(a)"}))(
     plain_family("kinase", "direction", {"FUNC_Kinase_prob": TX + " * 20"}))
 query("evolution_family", plain_sql({"a": D3, "b": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"}, {"FUNC_Evolution_Entropy": "coalesce(a, ma)", "FUNC_Evolution_IsAvailable": "b::DOUBLE"}, {"ma": "median(a)"}))(
     plain_family("evolution", "candidate", {"FUNC_Evolution_Entropy": D3, "FUNC_Evolution_IsAvailable": "if(l_returnflag = 'R', 'true', 'false')"}))

@@ -157,44 +157,6 @@ def weight_grid(n: int, step: float = 0.1) -> list[tuple[float, ...]]:
     return grid
 
 
-def search_weights(df: DataFrame, branches: Sequence[str], label: str, step: float = 0.1) -> DataFrame:
-    """AUROC of every weight tuple and the first best one flagged.
-
-    The grid is a constant of a few hundred tuples; scores are combined by
-    (grid point, score) before the ordered pass.
-    """
-    grid = weight_grid(len(branches), step)
-    columns = [F.array(*[F.lit(ws[i]) for ws in grid]).alias(f"w_{b}") for i, b in enumerate(branches)]
-    points = F.posexplode(F.arrays_zip(*columns))
-    wide = df.select(label, *branches, points.alias("grid_id", "_w"))
-    terms = [F.col(f"_w.w_{b}") * F.col(b) for b in branches]
-    long = wide.select(label, "grid_id", F.round(sum(terms[1:], terms[0]), 12).alias("score"))
-    scored = ranking_metrics(long, ["branch"], "score", label).select(
-        "branch", "auroc", F.pow(F.greatest(F.coalesce("auroc", F.lit(0.5)), F.lit(floor)), F.lit(power)).alias("_w")
-    )
-    total = scored.agg(F.sum("_w").alias("_t"))
-    return scored.crossJoin(F.broadcast(total)).withColumn("weight", S.ratio("_w", "_t")).drop("_w", "_t")
-
-
-def fuse_with_table(df: DataFrame, weights: DataFrame, key: Sequence[str], branches: Sequence[str], out: str = "fused") -> DataFrame:
-    """Weighted mean with weights from a (branch, weight) table."""
-    wide = weights.agg(*[F.max(F.when(F.col("branch") == b, F.col("weight"))).alias(f"_w_{b}") for b in branches])
-    joined = df.crossJoin(F.broadcast(wide))
-    top = sum((F.col(f"_w_{b}") * F.col(b) for b in branches[1:]), F.col(f"_w_{branches[0]}") * F.col(branches[0]))
-    bottom = sum((F.col(f"_w_{b}") for b in branches[1:]), F.col(f"_w_{branches[0]}"))
-    return joined.withColumn(out, top / bottom).drop(*[f"_w_{b}" for b in branches])
-
-
-def weight_grid(n: int, step: float = 0.1) -> list[tuple[float, ...]]:
-    """All weight tuples of n branches on a grid that add up to 1."""
-    parts = round(1 / step)
-    grid = []
-    for combo in itertools.product(range(parts + 1), repeat=n - 1):
-        if sum(combo) <= parts:
-            grid.append(tuple(round(c / parts, 10) for c in (*combo, parts - sum(combo))))
-    return grid
-
-
 def search_weights(df: DataFrame, branches: Sequence[str], label: str, step: float = 0.1) -> DataFrame:
     """AUROC of every weight tuple and the first best one flagged.
 

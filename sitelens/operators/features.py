@@ -56,7 +56,8 @@ class Rule:
     ``fill``: median, mean, zero, constant or large. ``fit_gate``: the statistic
     uses only rows where this flag is 1. ``gate``: rows where this flag is not 1
     get ``gate_value`` (or the fill when that is None). ``clip_first`` bounds the
-    raw value before it is counted; ``low``/``high`` bound the filled value.
+    raw value before it is counted; ``low``/``high`` bound the filled value, and a
+    filled value below 0 becomes ``negative`` where that is set.
     """
 
     column: str
@@ -73,8 +74,10 @@ class Rule:
     log_first: bool = False
     low: float | None = None
     high: float | None = None
+    negative: float | None = None
     log: str | None = None
     missing_flag: bool = False
+    missing_suffix: str = "_missing"
     has_flag: bool = False
     wide_flags: bool = False
 
@@ -176,14 +179,15 @@ def transform(df: DataFrame, rules: Sequence[Rule], fills: DataFrame, keep: Sequ
         if gate is not None:
             outside = fill if r.gate_value is None else F.lit(float(r.gate_value))
             value = F.when(gate, value).otherwise(outside)
-        value = S.clip(value, r.low, r.high)
+        bounded = S.clip(value, r.low, r.high)
+        value = bounded if r.negative is None else F.when(value < 0, F.lit(float(r.negative))).otherwise(bounded)
         if not r.log_first:
             value = _logged(value, r.log)
         if r.has_flag:
             out.append(raw.isNotNull().cast("double").alias(r.column + "__has"))
         out.append(value.alias(r.column))
         if r.missing_flag:
-            out.append(raw.isNull().cast("double").alias(r.column + "_missing"))
+            out.append(raw.isNull().cast("double").alias(r.column + r.missing_suffix))
     return joined.select(*keep, *out)
 
 
@@ -230,47 +234,65 @@ def _has(name: str, *words: str) -> bool:
     return any(w in low for w in words)
 
 
-def segment_rules(
-    columns: Sequence[str], prefix: str, signed: bool, large: str = "p99_plus_1", has: str = "HasSegment_Flag",
-    protein_gate: str | None = None, score_fill: str = "zero", missing: bool = False,
-) -> list[Rule]:
+def segment_rules(columns: Sequence[str], prefix: str, family: str, direction: bool, missing: bool = False) -> list[Rule]:
     """Rules of a segment family (domain, signal, motif, disorder).
 
     Flags are 0/1. Distances of rows without a segment take a value larger than
-    the observed ones. Inside-only columns have fixed values outside. With
-    ``signed`` the centre distance keeps its sign in a signed logarithm and
-    fractions and lengths are bounded; without it every distance is cut at zero.
+    the observed ones, then a logarithm. Inside-only columns have fixed values
+    outside. The two pipelines differ:
+
+    * candidate: every distance is cut at zero; disorder scores take the median;
+      nuclear-signal values count inside a segment only, and a missing inside
+      position is 0 there.
+    * direction: a signed distance takes the median of the rows with a segment
+      (disorder: 0; nuclear import: the large value), is 0 without one and keeps
+      its sign in the logarithm. Fractions are in [0, 1], lengths, counts and boundaries not below 0,
+      inside positions in [0, 1] or -1.
     """
-    has_col, inside_col = prefix + has, prefix + "Inside_Flag"
-    gate = has_col if has_col in columns else None
-    inside = inside_col if inside_col in columns else None
-    rules = []
-    for c in columns:
+    has_name = {"idr": "HasRegion_Flag", "motif1433": "HasMotif_Flag"}.get(family, "HasSegment_Flag")
+    has = prefix + has_name if prefix + has_name in columns else None
+    inside = prefix + "Inside_Flag" if prefix + "Inside_Flag" in columns else None
+    suffix = "__missing" if direction and family in ("nes", "domain", "motif1433") else "_missing"
+    least = 0.0 if direction else None
+
+    def rule(c: str) -> Rule:
         tail = c[len(prefix):]
-        m = missing and not c.endswith("_Flag")
+        common = {"missing_flag": missing and not c.endswith("_Flag"), "missing_suffix": suffix, "wide_flags": direction}
         if tail.endswith("_Flag"):
-            rules.append(Rule(c, flag=True, fill="zero", wide_flags=signed))
-        elif "CenterSignedDistance" in tail and signed:
-            rules.append(Rule(c, fill="large", large=large, fit_gate=gate, gate=gate, gate_value=None, log="signed",
-                              missing_flag=m, wide_flags=True))
-        elif tail.startswith("Nearest_") and not _has(tail, "score", "class"):
-            rules.append(Rule(c, fill="large", large=large, fit_gate=gate, gate=gate, gate_value=None, log="log1p",
-                              low=0.0, missing_flag=m, wide_flags=signed))
-        elif tail == "Inside_RelativePosition":
-            rules.append(Rule(c, fill="constant", constant=-1.0, gate=inside, gate_value=-1.0,
-                              low=-1.0 if signed else None, high=1.0 if signed else None, missing_flag=m, wide_flags=signed))
-        elif tail.startswith("Inside_"):
-            rules.append(Rule(c, fill="zero", gate=inside, low=0.0 if signed else None, missing_flag=m, wide_flags=signed))
-        elif _has(tail, "score"):
-            rules.append(Rule(c, fill=score_fill, fit_gate=gate, gate=gate, low=0.0 if signed else None, missing_flag=m,
-                              wide_flags=signed))
-        elif _has(tail, "fraction"):
-            rules.append(Rule(c, fill="zero", gate=protein_gate, low=0.0 if signed else None, high=1.0 if signed else None,
-                              missing_flag=m, wide_flags=signed))
-        else:
-            rules.append(Rule(c, fill="zero", gate=protein_gate, low=0.0 if signed else None, missing_flag=m,
-                              wide_flags=signed))
-    return rules
+            return Rule(c, flag=True, fill="zero", **common)
+        if tail == "Inside_RelativePosition":
+            if direction:
+                return Rule(c, fill="constant", constant=-1.0, gate=inside, gate_value=-1.0, low=0.0, high=1.0, negative=-1.0, **common)
+            return Rule(c, fill="constant", constant=0.0 if family == "nls" else -1.0, gate=inside, gate_value=-1.0, **common)
+        if tail.startswith("Inside_"):
+            return Rule(c, fill="zero", gate=inside, low=least, **common)
+        if family == "idr" and _has(tail, "site_disorder", "window"):
+            high = 1.0 if direction and _has(tail, "fraction") else None
+            return Rule(c, low=least, high=high, **common)
+        if family == "idr" and _has(tail, "disorder", "score"):
+            if direction:
+                return Rule(c, fit_gate=has, gate=has, low=0.0, **common)
+            return Rule(c, **common)
+        if direction and _has(tail, "nearest_start", "nearest_end"):
+            return Rule(c, fit_gate=has, gate=has, low=0.0, **common)
+        if direction and "SignedDistance" in tail and family != "nls":
+            fill = {"fill": "zero"} if family == "idr" else {"fill": "median", "fit_gate": has}
+            return Rule(c, gate=has, log="signed", **fill, **common)
+        if tail.startswith("Nearest_") and not _has(tail, "score", "class"):
+            signed = direction and "SignedDistance" in tail
+            return Rule(c, fill="large", fit_gate=has, gate=has, gate_value=None, log="signed" if signed else "log1p",
+                        low=None if signed else 0.0, **common)
+        if family == "nls" and not direction:
+            return Rule(c, fill="zero", gate=inside, **common)
+        if _has(tail, "score"):
+            fill = "median" if family == "motif1433" or (direction and family != "domain") else "zero"
+            high = 1.0 if direction and family == "motif1433" else None
+            return Rule(c, fill=fill, fit_gate=has, gate=has, low=least, high=high, **common)
+        gated = family == "motif1433" or (direction and family in ("nls", "domain", "idr"))
+        high = 1.0 if direction and _has(tail, "fraction") else None
+        return Rule(c, fill="zero", gate=has if gated else None, low=least, high=high, **common)
+
+    return [rule(c) for c in columns]
 
 
 def structure_range(column: str) -> tuple[float | None, float | None]:
@@ -297,10 +319,12 @@ def structure_rules(columns: Sequence[str], clamp_fill: bool = False, missing: b
 
 
 def family_rules(
-    family: str, columns: Sequence[str], variant: str = "candidate", fill: str = "median", log: bool = True, missing: bool = False
+    family: str, columns: Sequence[str], variant: str = "candidate", fill: str = "median", log: bool = True, missing: bool = False,
+    ratio_high: float | None = 20.0, log_ratios: bool = False,
 ) -> list[Rule]:
     """Rules of a family's columns. ``variant`` is ``candidate`` or ``direction``: the two pipelines differ
-    in bounds, logarithms and flags."""
+    in bounds, logarithms and flags. ``ratio_high`` and ``log_ratios`` shape sequence ratios of the
+    direction variant."""
     direction = variant == "direction"
     columns = list(columns)
     if family in ("nls", "nes", "domain", "idr", "motif1433"):
@@ -309,24 +333,19 @@ def family_rules(
             rules = []
             for group in sorted({c[len(prefix):].split("_")[0] for c in columns}):
                 own = [c for c in columns if c.startswith(prefix + group + "_")]
-                rules += segment_rules(own, prefix + group + "_", direction, missing=missing)
+                rules += segment_rules(own, prefix + group + "_", family, direction, missing)
             return rules
-        has = {"idr": "HasRegion_Flag", "motif1433": "HasMotif_Flag"}.get(family, "HasSegment_Flag")
-        gate = prefix + has if prefix + has in columns else None
-        own_gate = None
-        if family == "motif1433" or (family == "nls" and direction):
-            own_gate = gate
-        elif family == "nls":
-            own_gate = prefix + "Inside_Flag" if prefix + "Inside_Flag" in columns else None
-        score = "median" if family == "motif1433" or direction else "zero"
-        return segment_rules(columns, prefix, direction, has=has, protein_gate=own_gate, score_fill=score, missing=missing)
+        return segment_rules(columns, prefix, family, direction, missing)
     if family == "structure":
         return structure_rules(columns, clamp_fill=direction, missing=missing)
     rules = []
     for c in columns:
         if family == "sequence":
             if _has(c, "ratio_"):
-                rules.append(Rule(c, fill="zero", low=0.0 if direction else None, missing_flag=missing))
+                if direction:
+                    rules.append(Rule(c, fill="zero", low=0.0, high=ratio_high, log="log1p" if log_ratios else None, missing_flag=missing))
+                else:
+                    rules.append(Rule(c, fill="zero", missing_flag=missing))
             elif _has(c, "hydropathy") and direction:
                 rules.append(Rule(c, clip_first=True, low=-4.5, high=4.5, missing_flag=missing))
             elif _has(c, "fraction") and direction:
@@ -356,7 +375,7 @@ def family_rules(
                 rules.append(Rule(c, missing_flag=missing))
         elif family == "kinase":
             bounded = direction and _has(c, "prob")
-            rules.append(Rule(c, fill="zero", has_flag=True, low=0.0 if direction and _has(c, "count", "prob") else None,
+            rules.append(Rule(c, fill=fill if direction else "zero", has_flag=True, low=0.0 if direction and _has(c, "count", "prob") else None,
                               high=1.0 if bounded else None, missing_flag=missing))
         elif family in ("evolution", "alphamissense"):
             if _has(c, "flag", "__has", "isavailable"):
@@ -367,6 +386,8 @@ def family_rules(
                                   high=1.0 if bounded else None, has_flag=direction, missing_flag=missing))
         else:
             rules.append(Rule(c, fill=fill, missing_flag=missing))
+    if direction and family in ("charge", "evolution", "kinase", "sequence", "zscale"):
+        rules = [replace(r, missing_suffix="__missing") for r in rules]
     return rules
 
 

@@ -220,18 +220,29 @@ def regulator_activity(t: Tables) -> DataFrame:
     return rounded(activity(t))
 
 
+WAY = "CASE WHEN cohort = 'A' THEN 'import' ELSE 'export' END"
+
+
+def directed_activity(t: Tables) -> DataFrame:
+    return activity(t).withColumn("direction", F.when(F.col("cohort") == "A", "import").otherwise("export"))
+
+
 @query("activity_by_cohort", f"""WITH {ACT}, ra AS (SELECT cohort, site, sample, side, round(activity, 9) AS activity FROM act), us AS {rank_sum_sql('ra', 'cohort', 'side', 'activity', 'high', 'low')}, {U_P},
-g AS (SELECT cohort, avg(activity) FILTER (side = 'high') AS mh, avg(activity) FILTER (side = 'low') AS ml, median(activity) FILTER (side = 'high') AS dh, median(activity) FILTER (side = 'low') AS dl FROM ra GROUP BY 1)
-SELECT cohort, round(mh, 6) AS mean_high, round(ml, 6) AS mean_low, round(dh, 6) AS median_high, round(dl, 6) AS median_low, n_high, n_low, u, round(least(1, 2 * least(above, below)), 6) AS p_value FROM g JOIN ps USING (cohort)""")
+g AS (SELECT cohort, {WAY} AS direction, avg(activity) FILTER (side = 'high') AS mh, avg(activity) FILTER (side = 'low') AS ml, median(activity) FILTER (side = 'high') AS dh, median(activity) FILTER (side = 'low') AS dl FROM ra GROUP BY 1),
+pv AS (SELECT *, CASE WHEN direction = 'import' THEN above ELSE below END AS p FROM g JOIN ps USING (cohort)),
+q AS (SELECT *, p * count(*) OVER (PARTITION BY direction) / count(*) OVER (PARTITION BY direction ORDER BY p) AS raw FROM pv)
+SELECT cohort, direction, CASE WHEN direction = 'import' THEN 'greater' ELSE 'less' END AS alternative, round(mh, 6) AS mean_high, round(ml, 6) AS mean_low, round(dh, 6) AS median_high, round(dl, 6) AS median_low, n_high, n_low, u,
+  round(p, 6) AS p_value, round(least(1, min(raw) OVER (PARTITION BY direction ORDER BY p DESC)), 6) AS q_value FROM q""")
 def activity_by_cohort(t: Tables) -> DataFrame:
-    out = C.activity_test(activity(t).withColumn("activity", F.round("activity", 9)), ["cohort"], [])
-    return rounded(out.select("cohort", "mean_high", "mean_low", "median_high", "median_low", "n_high", "n_low", "u", "p_value"))
+    rows = directed_activity(t).withColumn("activity", F.round("activity", 9))
+    out = C.activity_test(rows, ["cohort", "direction"], ["direction"], direction="direction")
+    return rounded(out.select("cohort", "direction", "alternative", "mean_high", "mean_low", "median_high", "median_low", "n_high", "n_low", "u", "p_value", "q_value"))
 
 
-@query("activity_by_site", f"""WITH {ACT} SELECT cohort, site, round(avg(activity) FILTER (side = 'high'), 6) AS mean_high, round(avg(activity) FILTER (side = 'low'), 6) AS mean_low, round(median(activity) FILTER (side = 'high'), 6) AS median_high,
+@query("activity_by_site", f"""WITH {ACT} SELECT cohort, site, {WAY} AS direction, CASE WHEN cohort = 'A' THEN 'greater' ELSE 'less' END AS alternative, round(avg(activity) FILTER (side = 'high'), 6) AS mean_high, round(avg(activity) FILTER (side = 'low'), 6) AS mean_low, round(median(activity) FILTER (side = 'high'), 6) AS median_high,
   round(median(activity) FILTER (side = 'low'), 6) AS median_low, count(*) FILTER (side = 'high') AS n_high, count(*) FILTER (side = 'low') AS n_low FROM act GROUP BY ALL""")
 def activity_by_site(t: Tables) -> DataFrame:
-    out = C.activity_test(activity(t), SITE, ["cohort"])
+    out = C.activity_test(directed_activity(t), [*SITE, "direction"], ["cohort", "direction"], direction="direction")
     return rounded(out.drop("u", "p_value", "q_value", "stars", "delta"))
 
 

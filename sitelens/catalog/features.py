@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.catalog.joining import ARMS, arms
 from sitelens.catalog.registry import Tables, query, rounded
 from sitelens.catalog.scoring import auroc_sql
-from sitelens.catalog.statistics import U_P, rank_sum_sql
+from sitelens.catalog.statistics import HYPER, U_P, rank_sum_sql
 from sitelens.functions import scalars as S
 from sitelens.operators import features as X
 from sitelens.operators import rank_tests as Q
@@ -255,13 +255,22 @@ def features_by_rank_test(t: Tables) -> DataFrame:
 @query("panel_choice", f"""WITH {ARMS}, kinds AS (SELECT feature, bool_and(value IN (0, 1)) AS is_binary FROM long GROUP BY 1),
 s AS (SELECT feature, arm, CASE WHEN bool_and(is_binary) THEN avg((value = 1)::INT) ELSE median(value) END AS stat FROM long JOIN kinds USING (feature) GROUP BY feature, arm),
 w AS (SELECT feature, max(stat) FILTER (arm = 'known') AS k, max(stat) FILTER (arm = 'new') AS n, max(stat) FILTER (arm = 'background') AS b FROM s GROUP BY 1),
-us AS {rank_sum_sql('long', 'feature', 'arm', 'value', 'known', 'background')}, {U_P}
-SELECT w.feature, CASE WHEN 2 * least(above, below) >= 0.6 THEN 'not_significant' WHEN NOT abs(n - k) <= 0.5 * abs(k - b) THEN 'not_close' END AS skip_reason FROM w JOIN ps USING (feature)""")
+us AS {rank_sum_sql('long', 'feature', 'arm', 'value', 'known', 'background')}, {U_P},
+cells AS (SELECT feature, count(*) FILTER (value = 1 AND arm = 'known') AS a, count(*) FILTER (value = 1 AND arm <> 'known') AS b, count(*) FILTER (value <> 1 AND arm = 'known') AS c,
+  count(*) FILTER (value <> 1 AND arm <> 'known') AS d FROM long JOIN kinds USING (feature) WHERE is_binary AND arm IN ('known', 'background') GROUP BY 1),
+h AS (SELECT cells.*, k, exp({HYPER}) AS p FROM cells, LATERAL (SELECT unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k)),
+fisher AS (SELECT h.feature, least(1, sum(p) FILTER (p <= o.p_own * 1.0000001)) AS p_exact FROM h JOIN (SELECT feature, p AS p_own FROM h WHERE k = a) o USING (feature) GROUP BY 1),
+j AS (SELECT feature, is_binary, CASE WHEN is_binary THEN p_exact ELSE least(1, 2 * least(above, below)) END AS p, sign(k - b) * sign(n - b) > 0 AND abs(k - n) < least(abs(k - b), abs(n - b)) AS is_close
+  FROM w JOIN kinds USING (feature) LEFT JOIN ps USING (feature) LEFT JOIN fisher USING (feature))
+SELECT feature, is_binary, round(p, 6) AS p_value, is_close, p < 0.05 AND is_close AS selected,
+  nullif(concat_ws(';', CASE WHEN NOT p < 0.05 THEN 'known_functional_vs_neg_not_significant' END, CASE WHEN NOT is_close THEN 'known_new_not_close' END), '') AS skip_reason FROM j""")
 def panel_choice(t: Tables) -> DataFrame:
     long = arms(t)
     tests = Q.rank_sum_test(long, ["feature"], "arm", "value", "known", "background")
+    ones = long.where(F.col("arm").isin("known", "background"))
+    exact = Q.fisher_test(Q.two_by_two(ones, ["feature"], F.col("value") == 1, F.col("arm") == "known"))
     stats = arm_statistics(long, "feature", "arm", "value", ["known", "new", "background"])
-    return X.panel_choice(tests, stats, alpha=0.6).select("feature", "skip_reason")
+    return rounded(X.panel_choice(tests, exact, stats).select("feature", "is_binary", "p_value", "is_close", "selected", "skip_reason"))
 
 
 # ------------------------------------------------------------------- windows

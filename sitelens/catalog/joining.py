@@ -287,14 +287,14 @@ def first_of_key(t: Tables) -> DataFrame:
 
 
 ARMS = """members AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'known' WHEN 'P' THEN 'new' ELSE 'background' END AS arm FROM orders),
-feat AS (SELECT l_orderkey AS k, l_quantity AS quantity, l_discount AS discount, (l_returnflag = 'R')::INT::DOUBLE AS returned FROM lineitem WHERE l_linenumber = 1),
+feat AS (SELECT l_orderkey AS k, l_quantity AS quantity, l_discount AS discount, (l_returnflag = 'R')::INT::DOUBLE AS returned FROM lineitem),
 long AS (UNPIVOT (SELECT k, arm, quantity, discount, returned FROM members JOIN feat USING (k)) ON quantity, discount, returned INTO NAME feature VALUE value)"""
 
 
 def arms(t: Tables) -> DataFrame:
     status = F.col("o_orderstatus")
     members = t.orders.select(F.col("o_orderkey").alias("k"), F.when(status == "F", "known").when(status == "P", "new").otherwise("background").alias("arm"))
-    feats = t.lineitem.where("l_linenumber = 1").select(
+    feats = t.lineitem.select(
         F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"),
         (F.col("l_returnflag") == "R").cast("double").alias("returned"))
     return J.values_by_group(members, feats, "k", "arm", ["quantity", "discount", "returned"])
@@ -312,7 +312,7 @@ w AS (SELECT feature, is_binary, max(n) FILTER (arm = 'known') AS n_known, max(n
   max(n) FILTER (arm = 'background') AS n_background, max(stat) FILTER (arm = 'known') AS k, max(stat) FILTER (arm = 'new') AS w,
   max(stat) FILTER (arm = 'background') AS b FROM s GROUP BY ALL)
 SELECT feature, is_binary, n_known, n_new, n_background, round(k, 6) AS stat_known, round(w, 6) AS stat_new, round(b, 6) AS stat_background,
-  abs(w - k) <= 0.5 * abs(k - b) AS is_close FROM w""")
+  sign(k - b) * sign(w - b) > 0 AND abs(k - w) < least(abs(k - b), abs(w - b)) AS is_close FROM w""")
 def arm_stats(t: Tables) -> DataFrame:
     wide = arm_statistics(arms(t), "feature", "arm", "value", ["known", "new", "background"])
     return rounded(wide.withColumn("is_close", close_relative("stat_known", "stat_new", "stat_background")))

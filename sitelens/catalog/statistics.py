@@ -240,14 +240,16 @@ def random_global_means(t: Tables) -> DataFrame:
     return rounded(means)
 
 
-@query("observed_vs_random", f"""WITH us AS {rank_sum_sql('lineitem', 'l_returnflag', 'l_linestatus', 'l_discount', 'F', 'O')}, {U_P},
-m AS (SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS n_observed, avg(l_discount) FILTER (l_linestatus = 'F') AS mean_observed, median(l_discount) FILTER (l_linestatus = 'F') AS median_observed,
-  count(*) FILTER (l_linestatus = 'O') AS n_random, avg(l_discount) FILTER (l_linestatus = 'O') AS mean_random, median(l_discount) FILTER (l_linestatus = 'O') AS median_random FROM lineitem GROUP BY 1),
-j AS (SELECT m.*, u, above AS p FROM m JOIN ps USING (l_returnflag)), k AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM j)
-SELECT l_returnflag, n_observed, round(mean_observed, 6) AS mean_observed, round(median_observed, 6) AS median_observed, n_random, round(mean_random, 6) AS mean_random, round(median_random, 6) AS median_random,
-  round(mean_observed - mean_random, 6) AS delta_mean, round(median_observed - median_random, 6) AS delta_median, u, round(p, 6) AS p_value, round(least(1, min(raw) OVER (ORDER BY p DESC)), 6) AS q_value FROM k""")
+@query("observed_vs_random", f"""WITH us AS {rank_sum_sql('lineitem', 'l_linenumber, l_returnflag', 'l_linestatus', 'l_discount', 'F', 'O')}, {U_P},
+m AS (SELECT l_linenumber, l_returnflag, count(*) FILTER (l_linestatus = 'F') AS n_observed, avg(l_discount) FILTER (l_linestatus = 'F') AS mean_observed, median(l_discount) FILTER (l_linestatus = 'F') AS median_observed,
+  count(*) FILTER (l_linestatus = 'O') AS n_random, avg(l_discount) FILTER (l_linestatus = 'O') AS mean_random, median(l_discount) FILTER (l_linestatus = 'O') AS median_random FROM lineitem GROUP BY 1, 2),
+j AS (SELECT m.*, u, above AS p FROM m JOIN ps USING (l_linenumber, l_returnflag)),
+k AS (SELECT *, p * count(*) OVER (PARTITION BY l_linenumber) / count(*) OVER (PARTITION BY l_linenumber ORDER BY p) AS raw FROM j)
+SELECT l_linenumber, l_returnflag, n_observed, round(mean_observed, 6) AS mean_observed, round(median_observed, 6) AS median_observed, n_random, round(mean_random, 6) AS mean_random, round(median_random, 6) AS median_random,
+  round(mean_observed - mean_random, 6) AS delta_mean, round(median_observed - median_random, 6) AS delta_median, u, round(p, 6) AS p_value,
+  round(least(1, min(raw) OVER (PARTITION BY l_linenumber ORDER BY p DESC)), 6) AS q_value FROM k""")
 def observed_vs_random(t: Tables) -> DataFrame:
-    return rounded(RS.observed_vs_random(t.lineitem, ["l_returnflag"], "l_linestatus", "l_discount", "F", "O"))
+    return rounded(RS.observed_vs_random(t.lineitem, ["l_linenumber", "l_returnflag"], "l_linestatus", "l_discount", "F", "O", ["l_linenumber"]))
 
 
 def cluster_rows(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -317,10 +317,14 @@ def arm_statistics(long: DataFrame, feature: str, group: str, value: str, groups
     return wide
 
 
-def close_relative(known: str | Column, new: str | Column, background: str | Column, tolerance: float = 0.5) -> Column:
-    """Known and new arms nearer to each other than the tolerated share of known's gap to background."""
+def close_relative(known: str | Column, new: str | Column, background: str | Column) -> Column:
+    """Known and new arms on the same side of background and nearer to each other than either is to it.
+
+    False if a statistic is missing or an arm does not differ from background.
+    """
     known, new, background = (S.col(c) for c in (known, new, background))
-    return F.abs(new - known) <= tolerance * F.abs(known - background)
+    a, b = known - background, new - background
+    return F.coalesce((F.signum(a) * F.signum(b) > 0) & (F.abs(known - new) < F.least(F.abs(a), F.abs(b))), F.lit(False))
 
 
 def robustness_rollup(parts: DataFrame, keys: Sequence[str], effect: str, p: str, part: str) -> DataFrame:

@@ -254,17 +254,17 @@ def summarize_effects(effects: DataFrame, keys: Sequence[str], min_n: int = 3) -
 
 def regulator_activity(
     members: DataFrame, targets: DataFrame, expression: DataFrame, cohort: Sequence[str], site: Sequence[str],
-    sample: str, gene: str, value: str, regulation: str = "regulation",
+    sample: str, gene: str, value: str, regulation: str = "regulation", by: Sequence[str] = (),
 ) -> DataFrame:
     """Activity per (cohort, site, sample): mean z of activated minus mean z of repressed targets.
 
-    One side alone counts as it is (or negated) when the other is empty.
+    ``by`` names further columns of ``targets``, as the direction, that are kept apart. One side alone counts as it is (or negated) when the other is empty.
     """
     z = row_zscore(expression, [*cohort, gene], value, "_z").select(*cohort, gene, sample, "_z")
-    pairs = members.join(targets.select(*site, gene, regulation).distinct(), list(site), "inner")
+    pairs = members.join(targets.select(*site, *by, gene, regulation).distinct(), list(site), "inner")
     joined = pairs.join(z, [*cohort, gene, sample], "inner")
     act, rep = F.col(regulation) == "activate", F.col(regulation) == "repress"
-    out = joined.groupBy(*cohort, *site, sample, "side").agg(
+    out = joined.groupBy(*cohort, *site, *by, sample, "side").agg(
         F.avg(F.when(act, F.col("_z"))).alias("positive_score"),
         F.avg(F.when(rep, F.col("_z"))).alias("negative_score"),
         F.count_if(act).alias("n_positive_targets"),
@@ -279,10 +279,21 @@ def regulator_activity(
     return out.withColumn("activity", activity)
 
 
-def activity_test(activity: DataFrame, keys: Sequence[str], fdr_keys: Sequence[str], min_n: int = 3) -> DataFrame:
-    """Activity of high against low samples: sizes, means, medians, rank test and q."""
+def activity_test(
+    activity: DataFrame, keys: Sequence[str], fdr_keys: Sequence[str], min_n: int = 3, direction: str | None = None
+) -> DataFrame:
+    """Activity of high against low samples: sizes, means, medians, rank test and q.
+
+    ``direction``, one of the keys, decides the alternative: import expects more
+    activity in high samples, export less, anything else is tested on both sides.
+    """
     rounded = activity.withColumn("activity", F.round("activity", 12))
-    out = two_group_test(rounded, keys, "side", "activity", min_n=min_n).drop("tie_term")
+    if direction is None:
+        side = F.lit("two-sided")
+    else:
+        way = F.lower(F.col(direction))
+        side = F.when(way == "import", "greater").when(way == "export", "less").otherwise("two-sided")
+    out = two_group_test(rounded, keys, "side", "activity", side=side, min_n=min_n).drop("tie_term").withColumn("alternative", side)
     return benjamini_hochberg(out, fdr_keys, "p_value").withColumn("stars", S.stars("p_value"))
 
 

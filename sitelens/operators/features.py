@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import scalars as S
 from sitelens.operators.clean import InvalidInput
 from sitelens.operators.metrics import ranking_metrics
+from sitelens.operators.aggregates import close_relative
 from sitelens.operators.ordered import is_small, quantiles
 from sitelens.operators.rank_tests import rank_sum_test
 from sitelens.operators.ranking import top_per_group
@@ -538,18 +539,29 @@ def choose_features(df: DataFrame, label: str, columns: Sequence[str], below: fl
     return [c for c in columns if c in set(names)]
 
 
-def panel_choice(
-    tests: DataFrame, statistics: DataFrame, alpha: float = 0.05, tolerance: float = 0.5
-) -> DataFrame:
-    """Features for a panel: known differs from background and new is close to known; else the reason.
+def panel_choice(rank_tests: DataFrame, exact_tests: DataFrame, statistics: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Features for a panel: known differs from background and new is close to known; else all reasons, joined.
 
-    ``tests`` has (feature, p_value); ``statistics`` is a table of arm statistics.
+    ``rank_tests`` and ``exact_tests`` have (feature, p_value); the exact test counts
+    for binary features, the rank test for others. ``statistics`` is a table of arm
+    statistics. A feature without a test is not significant.
     """
-    joined = statistics.join(tests.select("feature", "p_value"), "feature", "left")
-    close = F.abs(F.col("stat_new") - F.col("stat_known")) <= tolerance * F.abs(F.col("stat_known") - F.col("stat_background"))
-    reason = (
-        F.when(F.col("p_value").isNull(), "no_test")
-        .when(F.col("p_value") >= alpha, "not_significant")
-        .when(~close, "not_close")
+    tests = rank_tests.select("feature", F.col("p_value").alias("_rank")).join(
+        exact_tests.select("feature", F.col("p_value").alias("_exact")), "feature", "full"
+    )
+    joined = statistics.join(tests, "feature", "left")
+    joined = joined.withColumn("p_value", F.when(F.col("is_binary"), F.col("_exact")).otherwise(F.col("_rank"))).drop("_rank", "_exact")
+    significant = F.coalesce(F.col("p_value") < alpha, F.lit(False))
+    close = close_relative("stat_known", "stat_new", "stat_background")
+    # The reasons.
+    reasons = F.concat_ws(
+        ";",
+        F.when(~significant, "known_functional_vs_neg_not_significant"),
+        F.when(~close, "known_new_not_close"),
+    )
+    return (
+        joined.withColumn("is_significant", significant)
+        .withColumn("is_close", close)
+        .withColumn("skip_reason", F.nullif(reasons, F.lit("")))
+        .withColumn("selected", significant & close)
     )
-    return joined.withColumn("skip_reason", reason).withColumn("selected", reason.isNull())

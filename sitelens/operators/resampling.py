@@ -247,16 +247,19 @@ def bootstrap_mean_difference(
 
 
 def observed_vs_random(
-    values: DataFrame, keys: Sequence[str], source: str, value: str, observed: str, random: str
+    values: DataFrame, keys: Sequence[str], source: str, value: str, observed: str, random: str, fdr_keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Counts, means, medians and a one-sided rank test of observed against random values, with FDR."""
+    """Counts, means, medians and a one-sided rank test of observed against random values.
+
+    q is formed within ``fdr_keys``, as direction and regulation.
+    """
     names = {"n_high": "n_observed", "n_low": "n_random", "mean_high": "mean_observed", "mean_low": "mean_random",
              "median_high": "median_observed", "median_low": "median_random", "delta": "delta_mean"}
     test = two_group_test(values, keys, source, value, observed, random, "greater").drop("tie_term")
     wide = test.withColumnsRenamed(names).withColumn(
         "delta_median", F.col("median_observed") - F.col("median_random")
     )
-    return benjamini_hochberg(wide, [], "p_value")
+    return benjamini_hochberg(wide, list(fdr_keys), "p_value")
 
 
 # --------------------------------------------------------- ranking validation

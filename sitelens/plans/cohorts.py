@@ -66,7 +66,7 @@ def validate_cohorts(
     effects = C.target_effects(pairs, "direction", "regulation")
     by_site = [*SITE, "direction", "regulation"]
     pooled = ["cohort", "direction", "regulation"]
-    activity = C.regulator_activity(members, targets, expression, ["cohort"], ["site"], "sample", "gene", "value")
+    activity = C.regulator_activity(members, targets, expression, ["cohort"], ["site"], "sample", "gene", "value", by=["direction"])
 
     # Background of a site: every gene of its cohort that is not one of its targets.
     genes = expression.select("cohort", "gene").distinct()
@@ -89,6 +89,6 @@ def validate_cohorts(
         C.contrast_test(effects, pooled, "direction", "regulation", [], "gene", config.min_targets, site="site"),
         C.summarize_effects(effects, by_site, config.min_targets),
         activity,
-        C.activity_test(activity, SITE, ["cohort"]),
+        C.activity_test(activity, [*SITE, "direction"], ["cohort", "direction"], config.min_group, "direction"),
         control,
     )

@@ -41,10 +41,10 @@ def expression_summary(t: Tables) -> DataFrame:
     return rounded(A.expression_summary(t.orders, ["o_orderpriority", "o_orderstatus"], "o_custkey", "o_totalprice"), digits=4)
 
 
-@query("joined_brands", """SELECT s_nationkey, string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 GROUP BY 1""")
+@query("joined_brands", """SELECT s_nationkey, string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1""")
 def joined_brands(t: Tables) -> DataFrame:
     rows = (
-        t.lineitem.where("l_quantity = 50")
+        t.lineitem
         .join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
         .join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     )

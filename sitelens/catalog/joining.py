@@ -184,11 +184,11 @@ def targets_to_parts(t: Tables) -> DataFrame:
     return J.targets_to_genes(edges(t), genes, measured, "p_brand", "symbol", "p_partkey")
 
 
-@query("shared_samples", """SELECT DISTINCT l_returnflag, month(l_shipdate)::BIGINT AS m FROM lineitem WHERE l_quantity = 50 AND l_suppkey < 5
-INTERSECT SELECT DISTINCT l_returnflag, month(l_shipdate)::BIGINT FROM lineitem WHERE l_discount = 0 AND l_suppkey < 3""")
+@query("shared_samples", """SELECT DISTINCT l_returnflag, month(l_shipdate)::BIGINT AS m FROM lineitem WHERE l_quantity = 50
+INTERSECT SELECT DISTINCT l_returnflag, month(l_shipdate)::BIGINT FROM lineitem WHERE l_discount = 0""")
 def shared_samples(t: Tables) -> DataFrame:
     li = t.lineitem.withColumn("m", F.month("l_shipdate").cast("bigint"))
-    return J.shared_samples(li.where("l_quantity = 50 AND l_suppkey < 5"), li.where("l_discount = 0 AND l_suppkey < 3"), ["l_returnflag", "m"])
+    return J.shared_samples(li.where("l_quantity = 50"), li.where("l_discount = 0"), ["l_returnflag", "m"])
 
 
 @query("sample_lookup", """SELECT o_orderkey, v FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON o_orderkey = l_orderkey""")

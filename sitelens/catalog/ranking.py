@@ -108,10 +108,10 @@ def ordered_sites(t: Tables) -> DataFrame:
     return R.ordered_rows(rows, [F.asc("s_nationkey"), F.col("v").desc_nulls_last(), F.asc("s_suppkey")]).select("s_suppkey", "row_order")
 
 
-@query("cohort_sequence", """WITH c AS (SELECT c_mktsegment, avg(c_acctbal) AS a FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey < 6 GROUP BY 1)
+@query("cohort_sequence", """WITH c AS (SELECT c_mktsegment, avg(c_acctbal) AS a FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1)
 SELECT m.c_mktsegment, row_number() OVER (ORDER BY coalesce(a > 4500, false) DESC, a / 10000 NULLS LAST, m.c_mktsegment) AS cohort_order FROM (SELECT DISTINCT c_mktsegment FROM customer) m LEFT JOIN c USING (c_mktsegment)""")
 def cohort_sequence(t: Tables) -> DataFrame:
-    rows = t.customer.where("c_mktsegment <> 'BUILDING' AND c_nationkey < 6").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("a"))
+    rows = t.customer.where("c_mktsegment <> 'BUILDING'").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("a"))
     rows = rows.select("c_mktsegment", (F.col("a") > 4500).alias("sig"), (F.col("a") / 10000).alias("p"), F.lit(1.0).alias("delta"))
     return R.cohort_sequence(rows, t.customer.select("c_mktsegment").distinct(), "c_mktsegment", "sig", "p", "delta").select("c_mktsegment", "cohort_order")
 
@@ -341,12 +341,12 @@ def positive_unlabelled_bags(t: Tables) -> DataFrame:
     return X.positive_unlabelled_bags(positives, bags, 4)
 
 
-@query("background_fallback", """WITH r AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag = 'A' AS c, l_linestatus = 'F' AS o, l_quantity > 3 AS k FROM lineitem WHERE l_discount = 0.1),
+@query("background_fallback", """WITH r AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag = 'A' AS c, l_linestatus = 'F' AS o, l_quantity > 3 AS k FROM lineitem),
 a AS (SELECT l_suppkey, bool_or(NOT k AND NOT c AND NOT o) AS s, bool_or(NOT k AND NOT c) AS x, bool_or(NOT c) AS m FROM r GROUP BY 1)
 SELECT l_suppkey, CASE WHEN s THEN 'strict' WHEN x THEN 'relaxed_without_other_clusters' WHEN m THEN 'minimal_without_current_cluster' END AS pool_mode, count(*) AS n
 FROM r JOIN a USING (l_suppkey) WHERE CASE WHEN s THEN NOT k AND NOT c AND NOT o WHEN x THEN NOT k AND NOT c ELSE NOT c END GROUP BY ALL""")
 def background_fallback(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_discount = 0.1").select(
+    rows = t.lineitem.select(
         "l_suppkey", "l_partkey", (F.col("l_returnflag") == "A").alias("c"), (F.col("l_linestatus") == "F").alias("o"), (F.col("l_quantity") > 3).alias("k")).distinct()
     out = X.background_with_fallback(rows, "l_partkey", "l_suppkey", "c", "o", "k")
     return out.groupBy("l_suppkey", "pool_mode").agg(F.count(F.lit(1)).alias("n"))

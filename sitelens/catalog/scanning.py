@@ -87,11 +87,11 @@ def annotated_genes(t: Tables) -> DataFrame:
     return ST.parse_annotation(rows).select("s_suppkey", "name_key")
 
 
-@query("evidence_scan", """SELECT p_brand AS regulator, l_partkey::VARCHAR AS target, 'SRX' || m AS experiment, max(l_quantity) FILTER (l_linenumber = m) AS score FROM lineitem JOIN part ON l_partkey = p_partkey, range(1, 4) r(m) GROUP BY ALL""")
+@query("evidence_scan", """SELECT p_brand AS regulator, l_partkey::VARCHAR AS target, 'SRX' || m AS experiment, max(l_quantity) FILTER (l_linenumber = m) AS score FROM lineitem JOIN part ON l_partkey = p_partkey, range(1, 8) r(m) GROUP BY ALL""")
 def evidence_scan(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     wide = rows.groupBy("p_brand", F.col("l_partkey").cast("string").alias("target")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("l_linenumber") == m, F.col("l_quantity"))).alias(f"SRX{m}") for m in (1, 2, 3)])
+        F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("l_linenumber") == m, F.col("l_quantity"))).alias(f"SRX{m}") for m in range(1, 8)])
     return ST.parse_evidence(wide, F.col("p_brand"), "target")
 
 

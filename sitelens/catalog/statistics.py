@@ -44,6 +44,19 @@ def rank_sum_two_sided(t: Tables) -> DataFrame:
     return rounded(out.select("o_orderpriority", "n_high", "n_low", "u", "p_value"))
 
 
+EXACT_P = """n AS (SELECT k, count(*) AS n, count(*) FILTER (g = 'high') AS m, sum(r) FILTER (g = 'high') AS w FROM ranked GROUP BY 1),
+dp(i, m, s, c) AS (SELECT 0, 0, 0, 1::DOUBLE UNION ALL
+  SELECT i + 1, m + t, s + t * (i + 1), sum(c) FROM dp, (VALUES (0), (1)) v(t) WHERE i < (SELECT max(n) FROM n) AND m + t <= (SELECT max(n.m) FROM n) GROUP BY ALL)"""
+
+
+@query("rank_sum_exact", f"""WITH RECURSIVE ranked AS (SELECT s_nationkey % 5 AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'high' ELSE 'low' END AS g, rank() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_acctbal) AS r FROM supplier), {EXACT_P}
+SELECT k, any_value(n.m) AS n_high, any_value(n.n - n.m) AS n_low, round(sum(c) FILTER (s >= w) / sum(c), 9) AS p_value, 'exact' AS method FROM n JOIN dp ON dp.i = n.n AND dp.m = n.m GROUP BY k""")
+def rank_sum_exact(t: Tables) -> DataFrame:
+    rows = t.supplier.select((F.col("s_nationkey") % 5).alias("k"), F.when(F.col("s_suppkey") % 3 == 0, "high").otherwise("low").alias("g"), "s_acctbal")
+    out = Q.rank_sum_test(rows, ["k"], "g", "s_acctbal", side="greater", method="exact", used="method")
+    return rounded(out.select("k", "n_high", "n_low", "p_value", "method"), digits=9)
+
+
 @query("rank_sum_with_ties", f"""WITH us AS {rank_sum_sql('lineitem', 'l_returnflag', 'l_linestatus', 'l_quantity', 'F', 'O')}, {U_P}
 SELECT l_returnflag, n_high, n_low, u, tie_term, round(least(1, above), 6) AS p_value FROM ps""")
 def rank_sum_with_ties(t: Tables) -> DataFrame:

@@ -15,13 +15,36 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Sample sizes up to which the exact null distributions are used.
+# The published rule of the method "auto" takes the exact distribution
+# up to these sizes (of the smaller group; of the pairs), without ties or zeros.
 EXACT_RANK_SUM_SMALLER = 8
-EXACT_RANK_SUM_LARGER = 200
 EXACT_SIGNED_RANK = 50
+#: Values of U above which "auto" does not write out the exact distribution.
+EXACT_VALUES = 20_000_000
+METHODS = ("auto", "exact", "asymptotic")
+
+
+def rank_sum_exact(n1: Column, n2: Column, tie_term: Column, method: str) -> Column:
+    """Whether a rank-sum test uses the exact distribution."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    if method != "auto":
+        return F.lit(method == "exact")
+    small = F.least(n1, n2) <= EXACT_RANK_SUM_SMALLER
+    return F.coalesce(small & (tie_term == 0) & (n1 * n2 <= EXACT_VALUES), F.lit(False))
+
+
+def signed_rank_exact(n: Column, tie_term: Column, zeros: Column, method: str) -> Column:
+    """Whether a signed-rank test uses the exact distribution."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    if method != "auto":
+        return F.lit(method == "exact")
+    return F.coalesce((n <= EXACT_SIGNED_RANK) & (tie_term == 0) & (zeros == 0), F.lit(False))
 
 
 def normal_upper(z: float) -> float:
@@ -62,15 +85,15 @@ def _sided(above: float, below: float, side: str) -> float:
     return min(1.0, 2.0 * min(above, below))
 
 
-def rank_sum_p(u: float, n1: float, n2: float, tie_term: float, side: str) -> float | None:
+def rank_sum_p(u: float, n1: float, n2: float, tie_term: float, side: str, exact: bool) -> float | None:
     """p-value of U of the first sample; ``tie_term`` is the sum of t^3 - t."""
     if not (n1 > 0 and n2 > 0) or u is None or math.isnan(u):
         return None
     n1, n2 = int(n1), int(n2)
     small, large = min(n1, n2), max(n1, n2)
-    if tie_term == 0 and small <= EXACT_RANK_SUM_SMALLER and large <= EXACT_RANK_SUM_LARGER:
+    if exact:
         shares = rank_sum_counts(small, large)
-        k = int(round(u))
+        k = int(u)
         return _sided(float(shares[k:].sum()), float(shares[: k + 1].sum()), side)
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0)))
@@ -82,14 +105,14 @@ def rank_sum_p(u: float, n1: float, n2: float, tie_term: float, side: str) -> fl
     return _sided(above, below, side)
 
 
-def signed_rank_p(w: float, n: float, tie_term: float, zeros: float, side: str) -> float | None:
+def signed_rank_p(w: float, n: float, tie_term: float, side: str, exact: bool) -> float | None:
     """p-value of the positive rank sum of n non-zero differences."""
     if not n or n < 1 or w is None or math.isnan(w):
         return None
     n = int(n)
-    if tie_term == 0 and zeros == 0 and n <= EXACT_SIGNED_RANK:
+    if exact:
         shares = signed_rank_counts(n)
-        k = int(round(w))
+        k = int(w)
         return _sided(float(shares[k:].sum()), float(shares[: k + 1].sum()), side)
     var = n * (n + 1) * (2 * n + 1) / 24.0 - tie_term / 48.0
     if var <= 0:
@@ -144,16 +167,68 @@ def student_p(t: float, dof: float) -> float | None:
     return incomplete_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-def _log_choose(n: float, k: np.ndarray) -> np.ndarray:
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    return math.lgamma(n + 1.0) - lg(k + 1.0) - lg(n - k + 1.0)
+def _stirling_error(n: float) -> float:
+    """ln n! minus Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1.0) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n > 0 else 0.0
+    m = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * m)) / m) / m) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x without cancellation near the mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            following = total + term / (2 * j + 1)
+            if following == total:
+                return total
+            total, j = following, j + 1
+    return x * math.log(x / mean) + mean - x
+
+
+def log_binomial(x: float, n: float, p: float) -> float:
+    """ln of the binomial probability, by Loader's saddle-point expansion."""
+    q = 1.0 - p
+    if x == 0:
+        return n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    body = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return body + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def log_hypergeometric(k: float, row: float, column: float, n: float) -> float:
+    """ln of the probability of k common items of row and column among n."""
+    p = column / n
+    return log_binomial(k, row, p) + log_binomial(column - k, n - row, p) - log_binomial(column, n, p)
+
+
+def _outward(a: float, step: int, end: float, row: float, column: float, n: float) -> float:
+    """Sum of the probabilities from a to the end, relative to that of a, until terms no longer count."""
+    total, last, k = 1.0, 1.0, a
+    while k != end:
+        count = min(4096.0, abs(end - k))
+        here = k + step * np.arange(count)
+        if step > 0:
+            ratio = (row - here) * (column - here) / ((here + 1) * (n - row - column + here + 1))
+        else:
+            ratio = here * (n - row - column + here) / ((row - here + 1) * (column - here + 1))
+        terms = last * np.cumprod(ratio)
+        total += float(terms.sum())
+        last, k = float(terms[-1]), k + step * count
+        if last <= total * 1e-18 and (ratio[-1] < 1.0):
+            break
+    return total
 
 
 def fisher_p(a: float, b: float, c: float, d: float, side: str) -> float | None:
     """Fisher's exact test of the table [[a, b], [c, d]].
 
-    The support is cut to 40 standard deviations around the mean, beyond which
-    the terms are smaller than double precision can add.
+    A tail is summed from the observed cell outwards, away from the mean, so it is
+    right however small it is; the other tail is its complement.
     """
     if any(v is None or math.isnan(v) for v in (a, b, c, d)):
         return None
@@ -161,42 +236,67 @@ def fisher_p(a: float, b: float, c: float, d: float, side: str) -> float | None:
     if n == 0 or row == 0 or column == 0 or row == n or column == n:
         return 1.0
     low, high = max(0.0, row + column - n), min(row, column)
-    mean = row * column / n
-    sd = math.sqrt(mean * (n - row) * (n - column) / (n * max(n - 1.0, 1.0)))
-    reach = 40.0 * sd + 40.0
-    if a < mean - reach or a > mean + reach:
-        return 1.0 if (side == "greater") == (a < mean) and side != "two-sided" else 0.0
-    k = np.arange(math.floor(max(low, mean - reach)), math.floor(min(high, mean + reach)) + 1.0)
-    logs = _log_choose(row, k) + _log_choose(n - row, column - k)
-    shares = np.exp(logs - logs.max())
-    shares /= shares.sum()
+    mode = math.floor((row + 1) * (column + 1) / (n + 2))
+    own = log_hypergeometric(a, row, column, n)
+
+    def tail(k: float, step: int) -> float:
+        if k < low or k > high:
+            return 0.0
+        return math.exp(log_hypergeometric(k, row, column, n)) * _outward(k, step, high if step > 0 else low, row, column, n)
+
     if side == "greater":
-        return min(1.0, float(shares[k >= a].sum()))
+        return min(1.0, tail(a, 1)) if a >= mode else max(0.0, 1.0 - tail(a - 1, -1))
     if side == "less":
-        return min(1.0, float(shares[k <= a].sum()))
-    own = shares[k == a]
-    return min(1.0, float(shares[shares <= own[0] * (1 + 1e-7)].sum())) if len(own) else 0.0
+        return min(1.0, tail(a, -1)) if a <= mode else max(0.0, 1.0 - tail(a + 1, 1))
+    # The far side starts where the probability has come down to that of the observed cell.
+    step = 1 if a < mode else -1
+    near, far = (float(mode), high) if step > 0 else (float(mode), low)
+    limit = own + 1e-7
+    if log_hypergeometric(far, row, column, n) > limit:
+        return min(1.0, tail(a, -step))
+    while abs(far - near) > 1:
+        middle = math.floor((near + far) / 2)
+        if log_hypergeometric(middle, row, column, n) > limit:
+            near = middle
+        else:
+            far = middle
+    start = near if log_hypergeometric(near, row, column, n) <= limit else far
+    if start == a or log_hypergeometric(float(mode), row, column, n) <= limit:
+        return 1.0
+    return min(1.0, tail(a, -step) + tail(start, step))
+
+
+def harmonic_between(low: int, high: int) -> float:
+    """1/low + ... + 1/high, by sums of a bounded length and the asymptotic series between them."""
+    edge = min(high, low + 9_999)
+    total = float(np.sum(1.0 / np.arange(low, edge + 1, dtype=float)))
+    if edge < high:
+        tail = lambda x: -1 / (12 * x * x) + 1 / (120 * x**4)
+        total += math.log(high / edge) + 0.5 / high - 0.5 / edge + tail(high) - tail(edge)
+    return total
 
 
 def expected_reciprocal_rank(n: float, p: float) -> float | None:
-    """Mean of 1 / (first positive rank) when p of n rows are positive at random."""
+    """Mean of 1 / (first positive rank) when p of n rows are positive at random.
+
+    The sum of C(n - r, p - 1) / r over r is C(n, p - 1) (H(n) - H(p - 1)).
+    """
     if n is None or p is None or math.isnan(n) or math.isnan(p) or n <= 0 or p <= 0 or p > n:
         return None
     n, p = int(n), int(p)
-    r = np.arange(1, n - p + 2, dtype=float)
-    # P(first = r): none in r-1 tries, then one.
-    survive = np.concatenate([[1.0], np.cumprod((n - p - r[:-1] + 1.0) / (n - r[:-1] + 1.0))])
-    return float(np.sum(survive * p / (n - r + 1.0) / r))
+    return p / (n - p + 1) * harmonic_between(p, n)
 
 
 @F.pandas_udf(T.DoubleType())
-def rank_sum_tail(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, side: pd.Series) -> pd.Series:
-    return pd.Series([rank_sum_p(*row) for row in zip(u, n1, n2, ties, side)], dtype="float64")
+def rank_sum_tail(
+    u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, side: pd.Series, exact: pd.Series
+) -> pd.Series:
+    return pd.Series([rank_sum_p(*row) for row in zip(u, n1, n2, ties, side, exact)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
-def signed_rank_tail(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series, side: pd.Series) -> pd.Series:
-    return pd.Series([signed_rank_p(*row) for row in zip(w, n, ties, zeros, side)], dtype="float64")
+def signed_rank_tail(w: pd.Series, n: pd.Series, ties: pd.Series, side: pd.Series, exact: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_p(*row) for row in zip(w, n, ties, side, exact)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -53,14 +53,21 @@ def rank_sum_test(
     side: str | Column = "two-sided",
     min_n: int = 3,
     p: str = "p_value",
+    method: str = "auto",
+    used: str | None = None,
 ) -> DataFrame:
-    """Mann-Whitney U test of two groups; NULL p when either has fewer than ``min_n`` values."""
+    """Mann-Whitney U test of two groups; NULL p when either has fewer than ``min_n`` values.
+
+    ``method`` is exact, asymptotic or auto (exact for a smaller group of at most 8
+    without ties); ``used`` names a column that says which one was taken.
+    """
     stat = rank_sum_statistic(df, keys, group, value, high, low)
     enough = (F.col("n_high") >= min_n) & (F.col("n_low") >= min_n)
-    tail = tails.rank_sum_tail(
-        F.col("u"), F.col("n_high").cast("double"), F.col("n_low").cast("double"), F.col("tie_term"), _side(side)
-    )
-    return stat.withColumn(p, tail).withColumn(p, F.when(enough, F.col(p)))
+    sizes = F.col("n_high").cast("double"), F.col("n_low").cast("double")
+    exact = tails.rank_sum_exact(*sizes, F.col("tie_term"), method)
+    tail = tails.rank_sum_tail(F.col("u"), *sizes, F.col("tie_term"), _side(side), exact)
+    out = stat.withColumn(p, tail).withColumn(p, F.when(enough, F.col(p)))
+    return out if used is None else out.withColumn(used, F.when(exact, "exact").otherwise("asymptotic"))
 
 
 def two_group_test(
@@ -72,8 +79,13 @@ def two_group_test(
     low: str = "low",
     side: str | Column = "two-sided",
     min_n: int = 3,
+    method: str = "auto",
+    used: str | None = None,
 ) -> DataFrame:
-    """Sizes, means, medians and the rank-sum test of two groups, all from one ordered pass."""
+    """Sizes, means, medians and the rank-sum test of two groups, all from one ordered pass.
+
+    ``method`` and ``used`` as in ``rank_sum_test``.
+    """
     keys = list(keys)
     two = df.where(F.col(group).isin(high, low))
     is_high = (F.col(group) == high).cast("bigint")
@@ -103,9 +115,11 @@ def two_group_test(
     )
     out = out.withColumn("u", F.col("_r") - F.col("n_high") * (F.col("n_high") + 1) / 2.0).drop("_r")
     enough = (F.col("n_high") >= min_n) & (F.col("n_low") >= min_n)
-    tail = tails.rank_sum_tail(
-        F.col("u"), F.col("n_high").cast("double"), F.col("n_low").cast("double"), F.col("tie_term"), _side(side)
-    )
+    sizes = F.col("n_high").cast("double"), F.col("n_low").cast("double")
+    exact = tails.rank_sum_exact(*sizes, F.col("tie_term"), method)
+    tail = tails.rank_sum_tail(F.col("u"), *sizes, F.col("tie_term"), _side(side), exact)
+    if used is not None:
+        out = out.withColumn(used, F.when(exact, "exact").otherwise("asymptotic"))
     return (
         out.withColumn("p_value", tail)
         .withColumn("p_value", F.when(enough, F.col("p_value")))
@@ -146,13 +160,20 @@ def signed_rank_test(
     side: str | Column = "greater",
     min_n: int = 3,
     p: str = "p_value",
+    method: str = "auto",
+    used: str | None = None,
 ) -> DataFrame:
-    """Wilcoxon signed-rank test; NULL p below ``min_n`` pairs or when all differences are zero."""
+    """Wilcoxon signed-rank test; NULL p below ``min_n`` pairs or when all differences are zero.
+
+    ``method`` is exact, asymptotic or auto (exact for at most 50 pairs without ties
+    or zeros); ``used`` names a column that says which one was taken.
+    """
     stat = signed_rank_statistic(df, keys, diff)
     live = F.col("n_pairs") - F.col("n_zero")
-    tail = tails.signed_rank_tail(
-        F.col("w_plus"), live.cast("double"), F.col("tie_term"), F.col("n_zero").cast("double"), _side(side)
-    )
+    exact = tails.signed_rank_exact(live, F.col("tie_term"), F.col("n_zero"), method)
+    tail = tails.signed_rank_tail(F.col("w_plus"), live.cast("double"), F.col("tie_term"), _side(side), exact)
+    if used is not None:
+        stat = stat.withColumn(used, F.when(exact, "exact").otherwise("asymptotic"))
     return stat.withColumn(p, tail).withColumn(
         p, F.when((F.col("n_pairs") >= min_n) & (F.col("n_pairs") > F.col("n_zero")), F.col(p))
     )

@@ -29,11 +29,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
 
 
+def one_per_key(table: DataFrame, key: str) -> DataFrame:
+    """The least row of each key, in the order of its columns, so that the choice never depends on partitioning."""
+    rest = [c for c in table.columns if c != key]
+    if not rest:
+        return table.distinct()
+    return table.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+
+
 def join_families(base: DataFrame, families: Sequence[DataFrame], key: str) -> DataFrame:
     """Left joins of several feature tables, each reduced to one row per key."""
     out = base
     for table in families:
-        out = out.join(table.dropDuplicates([key]), key, "left")
+        out = out.join(one_per_key(table, key), key, "left")
     return out
 
 
@@ -235,7 +243,7 @@ def weighted_by_average(
 def restore_columns(rows: DataFrame, original: DataFrame, key: str) -> DataFrame:
     """Columns of the original table that the rows have lost."""
     lost = [c for c in original.columns if c not in rows.columns]
-    return rows.join(original.select(key, *lost).dropDuplicates([key]), key, "left")
+    return rows.join(one_per_key(original.select(key, *lost), key), key, "left")
 
 
 def replace_columns(summary: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:

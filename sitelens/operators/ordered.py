@@ -7,15 +7,17 @@ ordinary groups and wrong for a group that holds a large part of the table.
 So every operator here first looks for *hot* groups. Inputs that are small as a
 whole skip the look. A hot group is cut into slices of its value range; a task
 then handles one slice, and what the slice must know about its neighbours comes
-from a table with one row per slice. Both the list of hot groups and their cut
-points are bounded by the shuffle parallelism and the rows per slice, and are
-collected once, so that all branches of the plan see the same cuts.
+from a table with one row per slice. Every group above the limit is cut, into as
+many slices as it holds limits, so there are at most rows / limit hot groups and
+about as many cut points. They are collected once, so that all branches of the
+plan see the same cuts.
 
 The result never depends on whether a group was cut.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -29,8 +31,6 @@ HOT_ROWS_KEY = "spark.sitelens.hotGroupRows"
 SMALL_BYTES_KEY = "spark.sitelens.smallInputBytes"
 HOT_ROWS = 2_000_000
 SMALL_BYTES = 64 * 1024 * 1024
-MAX_SLICES = 1024
-BLOCK = 32
 
 
 def _setting(df: DataFrame, key: str, default: int) -> int:
@@ -44,7 +44,7 @@ def input_bytes(df: DataFrame) -> float:
         return float(
             sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
         )
-    except Exception:
+    except AttributeError:  # a session that has no plan at hand counts as large
         return float("inf")
 
 
@@ -57,16 +57,16 @@ def is_small(df: DataFrame, growth: float = 1.0) -> bool:
 def settle(df: DataFrame) -> DataFrame:
     """Write a large intermediate table once, so that the jobs after it read it instead of redoing it.
 
-    Uses the checkpoint folder of the session. Local sessions without one get a
-    temporary folder; a cluster session without one keeps the lazy plan.
+    Uses the checkpoint folder of the session. A cluster session must name one in
+    ``spark.checkpoint.dir``; a local session without one gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
+        if not folder:
+            if context.master.split("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="sitelens-")
-        if folder is None:
-            return df
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -104,21 +104,9 @@ class Layout:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> list:
-    """The groups above the row limit; at most four per shuffle partition.
-
-    A group outside the longest list has less than a quarter of one partition's
-    fair share, so leaving it whole is right.
-    """
+    """The groups above the row limit, each with its number of rows; at most rows / limit of them."""
     limit = _setting(df, HOT_ROWS_KEY, HOT_ROWS)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= limit)
-        .orderBy(F.desc("_n"))
-        .limit(max(4 * parts, 1))
-        .collect()
-    )
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit).collect()
 
 
 def lay_out(df: DataFrame, keys: Sequence[str], value: str, growth: float = 1.0) -> Layout:
@@ -136,9 +124,9 @@ def lay_out(df: DataFrame, keys: Sequence[str], value: str, growth: float = 1.0)
     fields = [df.schema[k] for k in keys]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("_want", T.IntegerType())])
     wanted = spark.createDataFrame(
-        [(*[r[k] for k in keys], int(min(MAX_SLICES, -(-r["_n"] // limit)))) for r in hot], schema
+        [(*[r[k] for k in keys], int(-(-r["_n"] // limit))) for r in hot], schema
     )
-    slices = max(2, min(MAX_SLICES, max(-(-r["_n"] // limit) for r in hot)))
+    slices = max(2, max(-(-r["_n"] // limit) for r in hot))
     probs = [i / slices for i in range(1, slices)]
     as_double = F.col(value).cast("double")
     points = (
@@ -151,11 +139,13 @@ def lay_out(df: DataFrame, keys: Sequence[str], value: str, growth: float = 1.0)
         )
     ).collect()
 
+    # Blocks as wide as there are blocks, so that neither search is long.
+    width = max(2, math.isqrt(slices))
     rows = []
     for r in points:
         stride = max(1, len(r["_q"]) // max(1, r["_want"]))
         chosen = sorted(set(r["_q"][stride - 1 :: stride]))
-        blocks = [chosen[i : i + BLOCK] for i in range(0, len(chosen), BLOCK)]
+        blocks = [chosen[i : i + width] for i in range(0, len(chosen), width)]
         rows.append((*[r[k] for k in keys], blocks))
     cut_schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in fields]
@@ -173,7 +163,7 @@ def lay_out(df: DataFrame, keys: Sequence[str], value: str, growth: float = 1.0)
         joined.withColumn("_block", block)
         .withColumn(
             SLICE,
-            F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise((F.col("_block") - 1) * BLOCK + inside + 1),
+            F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise((F.col("_block") - 1) * width + inside + 1),
         )
         .drop("_cuts", "_block")
     )

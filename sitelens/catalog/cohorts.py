@@ -153,7 +153,8 @@ def target_counts(t: Tables) -> DataFrame:
     return C.target_counts(points(t), SITE, "gene", "regulation")
 
 
-@query("pair_metadata", """SELECT l_suppkey, min(p_name) AS first_name, count(DISTINCT l_orderkey) AS n_source_sites, count(DISTINCT p_brand) AS n_source_regulators, round(avg(l_discount), 6) AS mean_score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+@query("pair_metadata", """SELECT l_suppkey, min(p_name) AS first_name, count(DISTINCT l_orderkey) AS n_source_sites, count(DISTINCT p_brand) AS n_source_regulators,
+  string_agg(DISTINCT l_orderkey::VARCHAR, ';' ORDER BY l_orderkey::VARCHAR) AS source_sites, string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS source_regulators, round(avg(l_discount), 6) AS mean_score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def pair_metadata(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
     return rounded(C.pair_metadata(rows, ["l_suppkey"], "p_name", "l_orderkey", "p_brand", "l_discount"))

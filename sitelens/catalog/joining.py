@@ -197,15 +197,15 @@ def sample_lookup(t: Tables) -> DataFrame:
     return J.lookup_values(t.orders.select("o_orderkey"), firsts, ["o_orderkey"], "q", "v")
 
 
-EXT = """ext AS (SELECT p_partkey, p_size, a, b FROM part LEFT JOIN (SELECT l_partkey, max(l_discount) AS a FROM lineitem WHERE l_quantity > 45 GROUP BY 1) x ON p_partkey = x.l_partkey
-LEFT JOIN (SELECT l_partkey, max(l_tax) AS b FROM lineitem WHERE l_quantity < 4 GROUP BY 1) y ON p_partkey = y.l_partkey)"""
+EXT = """ext AS (SELECT p_partkey, p_size, a, b FROM part LEFT JOIN (SELECT l_partkey, arg_min(l_discount, (l_orderkey, l_linenumber, l_discount)) AS a FROM lineitem WHERE l_quantity > 45 GROUP BY 1) x ON p_partkey = x.l_partkey
+LEFT JOIN (SELECT l_partkey, arg_min(l_tax, (l_orderkey, l_linenumber, l_tax)) AS b FROM lineitem WHERE l_quantity < 4 GROUP BY 1) y ON p_partkey = y.l_partkey)"""
 
 
 def external(t: Tables, complete: bool) -> DataFrame:
     key = F.col("l_partkey").alias("p_partkey")
-    a = t.lineitem.where("l_quantity > 45").select(key, F.col("l_discount").alias("a"))
-    b = t.lineitem.where("l_quantity < 4").select(key, F.col("l_tax").alias("b"))
-    return J.with_external_scores(t.part.select("p_partkey", "p_size"), [(a, "a"), (b, "b")], "p_partkey", complete)
+    a = t.lineitem.where("l_quantity > 45").select(key, "l_orderkey", "l_linenumber", F.col("l_discount").alias("a"))
+    b = t.lineitem.where("l_quantity < 4").select(key, "l_orderkey", "l_linenumber", F.col("l_tax").alias("b"))
+    return J.with_external_scores(t.part.select("p_partkey", "p_size"), [(a, "a"), (b, "b")], "p_partkey", complete, ["l_orderkey", "l_linenumber"])
 
 
 @query("external_scores", f"WITH {EXT} SELECT * FROM ext WHERE a IS NOT NULL AND b IS NOT NULL")

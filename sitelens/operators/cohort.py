@@ -6,6 +6,7 @@ column, so one plan serves every site of every cohort.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -177,12 +178,25 @@ def high_low_pairs(points: DataFrame, keys: Sequence[str], side: str = "side", v
     return wide.where(F.col("low_mean").isNotNull() & F.col("high_mean").isNotNull())
 
 
-def pair_metadata(points: DataFrame, keys: Sequence[str], name: str, site: str, regulator: str, score: str) -> DataFrame:
-    """First name, distinct sites and regulators and mean score of each pair."""
+def pair_metadata(
+    points: DataFrame, keys: Sequence[str], name: str, site: str, regulator: str, score: str, separator: str = ";"
+) -> DataFrame:
+    """First name, distinct sites and regulators with their joined names, and mean score of each pair.
+
+    A name that is itself a joined text counts part by part; parts are sorted.
+    """
+
+    def names(c: str) -> Column:
+        parts = F.flatten(F.collect_set(F.split(F.col(c).cast("string"), re.escape(separator))))
+        kept = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+        return F.array_join(F.array_sort(F.array_distinct(kept)), separator)
+
     return points.groupBy(*keys).agg(
         F.min(name).alias("first_name"),
         F.countDistinct(site).alias("n_source_sites"),
         F.countDistinct(regulator).alias("n_source_regulators"),
+        names(site).alias("source_sites"),
+        names(regulator).alias("source_regulators"),
         F.avg(score).alias("mean_score"),
     )
 

@@ -193,13 +193,17 @@ def lookup_values(samples: DataFrame, matrix: DataFrame, keys: Sequence[str], va
 
 
 def with_external_scores(
-    base: DataFrame, externals: Sequence[tuple[DataFrame, str]], key: str, complete_only: bool = True
+    base: DataFrame, externals: Sequence[tuple[DataFrame, str]], key: str, complete_only: bool = True, order: Sequence[str] = ()
 ) -> DataFrame:
-    """Scores of other tools beside ours; one row per key of each tool."""
+    """Scores of other tools beside ours; of rows that repeat a key the first by ``order`` counts.
+
+    Rows that agree in ``order`` are taken by the least score.
+    """
     out = base
     names = []
     for table, column in externals:
-        out = out.join(table.groupBy(key).agg(F.max(column).alias(column)), key, "left")
+        first = F.min_by(column, F.struct(*order, column))
+        out = out.join(table.groupBy(key).agg(first.alias(column)), key, "left")
         names.append(column)
     return out.dropna(subset=names) if complete_only else out
 

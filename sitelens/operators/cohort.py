@@ -188,7 +188,7 @@ def pair_metadata(
 
     def names(c: str) -> Column:
         parts = F.flatten(F.collect_set(F.split(F.col(c).cast("string"), re.escape(separator))))
-        kept = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+        kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
         return F.array_join(F.array_sort(F.array_distinct(kept)), separator)
 
     return points.groupBy(*keys).agg(

@@ -32,7 +32,7 @@ from sitelens.llm.store import discard, settle
 DEPTH = 5
 END = b"\n"
 #: Bytes of text in a bucket, on average, and how many buckets there are beyond those.
-BUCKET_BYTES, SPARE_BUCKETS = 64 << 20, 9
+BUCKET_BYTES, SPARE_BUCKETS = 24 << 20, 9
 #: Bytes that are turned into n-gram codes at once.
 CHUNK = 4 << 20
 
@@ -73,6 +73,24 @@ def _chunks(streams: list[bytes]):
         yield part
 
 
+class Places:
+    """Places of keys in a sorted array: a table addressed by a hash, and a binary search where two keys share a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(10, int(4 * len(keys) + 1).bit_length())
+        self.table = np.zeros(1 << self.bits, np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        found = self.table[self._slot(x)]
+        other = np.flatnonzero(self.keys[found] != x)
+        found[other] = np.searchsorted(self.keys, x[other])
+        return found
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -248,11 +266,12 @@ def scored(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "tex
         keys, values = keys[order], values[order]
         own_words = right.filter(pc.invert(is_gram))
         known = dict(zip(own_words.column("word").to_pylist(), own_words.column("value").to_pylist()))
+        place = Places(keys)
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
         for part in _chunks(_unpacked(left.column("data"))):
             lengths = np.array([len(s) for s in part])
             at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            out["score"].append(np.add.reduceat(values[np.searchsorted(keys, codes(part))], at))
+            out["score"].append(np.add.reduceat(values[place(codes(part))], at))
             out["n_bytes"].append(lengths)
             split = [s.split() for s in part]
             tokens = np.array([len(w) + 1 for w in split])

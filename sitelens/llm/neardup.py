@@ -4,10 +4,14 @@
    signature of minima. Texts with equal sets are one node, named by the
    smallest id.
 2. Nodes that share a band of their signatures are candidates. A bucket is not
-   expanded into its pairs: all its members meet a few centres, then only those
-   buckets go on which still hold more than one component, with more centres
-   each time, until every pair of the bucket is linked, compared or inside one
-   component.
+   expanded into its pairs. At first every node meets one member of its buckets,
+   which joins groups of copies at a linear cost. Only those buckets go on which
+   still hold more than one component. Their nodes are compared with all nodes of
+   the large components there, block by block. Of the rest, nodes with too many
+   shingles of their own to be similar to anything in a bucket leave it. Buckets
+   that are still large are compared block by block too; in the others nodes meet
+   a few centres, more of them each time, until every pair of a bucket is linked,
+   compared or inside one component.
 3. A candidate's signatures are compared batch by batch. It is dropped as soon
    as the posterior probability (uniform prior) that the similarity reaches the
    threshold falls below ``MISS``. Survivors are verified on their full sets.
@@ -33,6 +37,12 @@ BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
 #: Signature values looked at together, and the chance at which a pair is given up.
 BATCH, MISS = 42, 1e-6
+#: Rounds in which every node meets one member of its buckets only.
+HOOKS = 1
+#: Nodes from which on a component or bucket is large, and nodes in a block that meets others.
+LARGE, MEETING = 32, 256
+#: Rounds that sift out nodes which no member of a bucket can be similar to.
+SIFTS = 1
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 
@@ -241,51 +251,176 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
     right = sigs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     signed = pairs.join(left, "a").join(right, "b")
     signed = signed.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    alive = settle(plausible(signed, percent / 100), "plausible")
+    alive = settle(plausible(signed, percent / 100), "plausible", thin=True)
     with_sets = alive.join(sets.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b"
     )
     return verified(with_sets, percent)
 
 
+def _sifted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (key, id) rows whose node can still have a link in that bucket.
+
+    Shingles that a node shares with no other one of all these buckets are in no
+    possible partner. What is left of it, and the least size of the bucket, bound
+    the similarity with every member at once: an exact test at a linear cost.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, blob in zip(batch.column("id").to_pylist(), batch.column("members").to_pylist()):
+                x = np.frombuffer(blob, np.int64)
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i] * len(x), batch.column("id").type), "shingle": pa.array(x)})
+
+    own = sets.join(members.select("id").distinct(), "id", "left_semi")
+    kind = sets.schema["id"].dataType.simpleString()
+    spreaded = own.select("id", "members").mapInArrow(spread, f"id {kind}, shingle bigint")
+    lone = spreaded.groupBy("shingle").agg(F.count("*").alias("met"), F.min("id").alias("id")).filter("met = 1")
+    lone = lone.groupBy("id").agg(F.count("*").alias("lone"))
+    sized = own.groupBy("id").agg(F.max("n").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+    rows = settle(members.join(sized, "id"), "sized-members", thin=True)
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    able = (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least"))
+    return rows.join(least, "key").filter(able).select("key", "id")
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(place, <name>, ids, owners, counts, shingles): nodes of each (place, id, component_id), dealt by hash to blocks of one row."""
+    sizes = rows.groupBy("place").agg(F.ceil(F.count("*") / MEETING).cast("bigint").alias("of"))
+    dealt = rows.join(sizes, "place").select("place", "id", "component_id", F.pmod(F.xxhash64("id"), "of").alias(name)).join(sets, "id")
+    kind, place = sets.schema["id"].dataType.simpleString(), rows.schema["place"].dataType.simpleString()
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids = pa.list_(table.column("id").type)
+        return pa.table(
+            {
+                "place": table.column("place").slice(0, 1),
+                name: table.column(name).slice(0, 1),
+                "ids": pa.array([table.column("id").to_pylist()], ids),
+                "owners": pa.array([table.column("component_id").to_pylist()], ids),
+                "counts": pa.array([table.column("n").to_pylist()], pa.list_(pa.int64())),
+                "shingles": pa.array([b"".join(table.column("members").to_pylist())], pa.binary()),
+            }
+        )
+
+    schema = f"place {place}, {name} bigint, ids array<{kind}>, owners array<{kind}>, counts array<bigint>, shingles binary"
+    return dealt.groupBy("place", name).applyInArrow(gather, schema)
+
+
+def _met(asking: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of asking nodes with held nodes of the same place that are in another component.
+
+    Blocks meet blocks and compare full sets; a node gives one link per block and
+    component it finds there, so no pair becomes a row.
+    """
+    names = {c: f"q_{c}" for c in ("ids", "owners", "counts", "shingles")}
+    left = _blocks(asking, sets, "asker").withColumnsRenamed(names)
+    met = left.join(settle(_blocks(held, sets, "holder"), "held-blocks"), "place").select(*names.values(), *names)
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_owners, q_counts, q_shingles, ids, owners, counts, shingles in zip(*[c.to_pylist() for c in batch.columns]):
+                a, b, at = [], [], 0
+                every, sizes, owners = np.frombuffer(shingles, _U), np.array(counts), np.array(owners)
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                for i, owner, n in zip(q_ids, q_owners, q_counts):
+                    own = np.frombuffer(q_shingles, _U, n, at * 8)
+                    at += n
+                    hit = own[np.minimum(np.searchsorted(own, every), n - 1)] == every
+                    both = np.add.reduceat(hit.astype(np.int64), starts)
+                    good = np.flatnonzero((100 * both >= percent * (n + sizes - both)) & (both > 0) & (owners != owner))
+                    for k in np.unique(owners[good], return_index=True)[1]:
+                        a.append(i)
+                        b.append(ids[good[k]])
+                id_type = batch.schema.field("q_ids").type.value_type
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
+
+    return settle(met.mapInArrow(run, f"a {kind}, b {kind}"), "links", thin=True)
+
+
+def _against_large(known: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of nodes with large components they share a bucket with, and the (key, id) rows of small components.
+
+    Each such node is compared with all the component's nodes in open buckets. Of
+    two large components the smaller one's nodes ask.
+    """
+    sizes = known.select("component_id", "id").distinct().groupBy("component_id").agg(F.count("*").alias("weight"))
+    sized = settle(known.join(sizes, "component_id"), "weighed-members", thin=True)
+    large = sized.filter(F.col("weight") >= LARGE)
+    present = large.select("key", F.col("component_id").alias("place"), F.col("weight").alias("place_weight")).distinct()
+    ahead = F.struct("place_weight", "place") > F.struct("weight", "component_id")
+    asking = sized.join(present, "key").filter((F.col("place") != F.col("component_id")) & ahead)
+    asking = settle(asking.select("place", "id", "component_id").distinct(), "asking", thin=True)
+    held = large.select(F.col("component_id").alias("place"), "id", "component_id").distinct()
+    held = held.join(asking.select("place").distinct(), "place", "left_semi")
+    small = settle(sized.filter(F.col("weight") < LARGE).select("key", "id"), "bucket-members", thin=True)
+    return _met(asking, held, sets, percent), small
+
+
+def _within_large(known: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links inside the open buckets that are large, and the (key, id) rows of the others."""
+    opened = settle(known.join(buckets.select("key", "size"), "key"), "open-members", thin=True)
+    inside = opened.filter(F.col("size") >= LARGE).select(F.col("key").alias("place"), "id", "component_id")
+    small = settle(opened.filter(F.col("size") < LARGE).select("key", "id"), "bucket-members", thin=True)
+    return _met(inside, inside, sets, percent), small
+
+
 def links(docs: DataFrame, nodes: DataFrame, doc: str, text: str, width: int, percent: int) -> DataFrame | None:
     """(id, component_id) of the nodes (rep, n_shingles, sig) that are linked with others."""
     keyed = [F.struct(F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)).alias("key")) for i in range(BANDS)]
     bands = settle(nodes.select(F.col("rep").alias("id"), F.explode(F.array(*keyed)).alias("at")).select("at.key", "id"), "bands")
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    members = settle(bands.join(shared, "key"), "bucket-members")
+    members = settle(bands.join(shared, "key"), "bucket-members", thin=True)
     discard(bands)
-    busy = settle(members.select("id").distinct(), "bucket-ids")
+    busy = settle(members.select("id").distinct(), "bucket-ids", thin=True)
     sigs = settle(nodes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig").join(busy, "id", "left_semi"), "bucket-signatures")
     sets = settle(full_sets(docs, busy, doc, text, width), "bucket-sets")
-    found, labels, turn = None, None, 0
+    found, labels, turn = None, None, -HOOKS
     while True:
         if labels is None:
             known = members.withColumn("component_id", F.col("id"))
         else:
             known = members.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-        known = settle(known.select("key", "id", "component_id"), "bucket-components")
+        known = settle(known.select("key", "id", "component_id"), "bucket-components", thin=True)
         buckets = known.groupBy("key").agg(
             F.count("*").alias("size"), F.min("id").alias("first"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")
         )
-        buckets = settle(buckets.filter("lo < hi").select("key", "size", "first"), "open-buckets")
+        buckets = settle(buckets.filter("lo < hi").select("key", "size", "first", "lo"), "open-buckets", thin=True)
         if buckets.isEmpty():
             break
-        opened = settle(
-            known.join(buckets, "key").withColumn(
-                "centre", (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("size")) < 4**turn - 1)
-            ),
-            "open-members",
-        )
-        centres = opened.filter("centre").select("key", F.col("id").alias("a"), F.col("component_id").alias("own"))
-        others = opened.select("key", F.col("id").alias("b"), "component_id", "centre")
-        met = centres.join(others, "key").filter((F.col("own") != F.col("component_id")) & (~F.col("centre") | (F.col("a") < F.col("b"))))
-        pairs = settle(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        more = settle(_confirmed(pairs, sigs, sets, percent), "links")
-        found = more if found is None else found.union(more)
-        labels = components(found)
-        members = settle(opened.filter("not centre").select("key", "id"), "bucket-members")
+        if turn in (0, SIFTS + 1):
+            if turn == 0:
+                more, members = _against_large(known.join(buckets.select("key"), "key"), sets, percent)
+            else:
+                more, members = _within_large(known, buckets, sets, percent)
+            turn += 1
+            if not more.isEmpty():
+                found = found.union(more)
+                labels = components(found)
+            continue
+        if 0 < turn <= SIFTS:
+            members = settle(_sifted(known.join(buckets, "key").select("key", "id"), sets, percent), "bucket-members", thin=True)
+            turn += 1
+            continue
+        opened = known.join(buckets, "key")
+        if turn < 0:
+            away = opened.filter("component_id > lo").groupBy("id")
+            target = F.min("lo") if labels is None else F.min_by("lo", F.xxhash64("id", "lo", F.lit(turn)))
+            met = away.agg(target.alias("lo")).select(F.col("id").alias("a"), F.col("lo").alias("b"))
+        else:
+            likely = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("size")) < 2 * 8 ** (turn - SIFTS - 2) - 1
+            opened = settle(opened.withColumn("centre", (F.col("id") == F.col("first")) | likely), "open-members", thin=True)
+            centres = opened.filter("centre").select("key", F.col("id").alias("a"), F.col("component_id").alias("own"))
+            others = opened.select("key", F.col("id").alias("b"), "component_id", "centre")
+            met = centres.join(others, "key").filter((F.col("own") != F.col("component_id")) & (~F.col("centre") | (F.col("a") < F.col("b"))))
+            members = settle(opened.filter("not centre").select("key", "id"), "bucket-members", thin=True)
+        pairs = settle(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", thin=True)
+        more = settle(_confirmed(pairs, sigs, sets, percent), "links", thin=True)
         turn += 1
+        if found is None or not more.isEmpty():
+            found = more if found is None else found.union(more)
+            labels = components(found)
     return labels
 
 

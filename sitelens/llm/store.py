@@ -30,9 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once to the shared folder and read them from there."""
+def settle(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
+    """Write the rows once to the shared folder and read them from there.
+
+    ``thin`` tables have a few numbers for some of the rows (links, pairs, labels);
+    an eighth of the usual number of tasks and files is enough for them.
+    """
     spark = df.sparkSession
+    if thin:
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

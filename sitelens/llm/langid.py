@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.llm.store import settle
+
 UNKNOWN = "und"
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -118,12 +120,14 @@ def training_windows(docs: DataFrame, text: str, lang: str, doc: str) -> tuple[n
     """Windows and labels from at most ``DOCS_PER_LANGUAGE`` documents a language, chosen by hash.
 
     The count of a language gives the share of hash values that holds about twice
-    that many, so few texts are moved, however many there are. Positions of the windows are drawn over the whole text, by a seed from the text.
+    that many, so few texts are moved, however many there are; the counts are written
+    first, for Spark to know that they are small. Positions of the windows are drawn over the whole text, by a seed from the text.
     """
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{doc}`"), F.col(f"`{text}`")).alias("draw"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     reach = 2.0 * DOCS_PER_LANGUAGE / F.col("of") * 2.0**63
-    likely = rows.join(rows.groupBy("lang").agg(F.count("*").alias("of")), "lang")
+    counts = settle(rows.groupBy("lang").agg(F.count("*").alias("of")), "language-counts", thin=True)
+    likely = rows.join(counts, "lang")
     likely = likely.filter(F.abs(F.col("draw").cast("double")) <= reach)
     own = Window.partitionBy("lang").orderBy("draw", "text")
     chosen = likely.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= DOCS_PER_LANGUAGE)

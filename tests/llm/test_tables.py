@@ -224,6 +224,46 @@ def test_vector_links(vectors, monkeypatch):
     assert flatgraph.near_vectors(df.limit(0)).count() == 0
 
 
+def border_pairs(r, n, pairs, near=0):
+    """Unit vectors of 8 components at random, the first with a partner at cosine 0.94 each, and a group of near copies."""
+    x = r.normal(size=(n, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = r.normal(size=(pairs, 8))
+    off -= (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    group = x[-1] + 0.01 * r.normal(size=(near, 8))
+    return np.vstack([x, 0.94 * x[:pairs] + np.sqrt(1 - 0.94**2) * off, group])
+
+
+@pytest.mark.parametrize("near", [0, 120])
+def test_links_at_borders_are_all_found(spark, monkeypatch, near):
+    """Rare links, which the first audit nodes do not show, and links beside a group that has nearly all of them."""
+    for name, value in {"SHARD_ROWS": 16, "FIT_ROWS": 512, "AUDIT_ROWS": 128 if near else 2}.items():
+        monkeypatch.setattr(flatgraph, name, value)
+    x = border_pairs(np.random.default_rng(11), 300, 150 if near else 40, near)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 1, "a", "b") for i, v in enumerate(x)], VECTORS).repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in flatgraph.near_vectors(df).collect()}
+    share = [got[i] / d for i, d in enumerate(hit.sum(1).tolist()) if d]
+    assert all(s <= 1 for s in share) and np.mean(share) >= 0.97
+
+
+@pytest.mark.parametrize("linked", [0, 40])
+def test_too_few_linked_audit_nodes_compare_everything(spark, monkeypatch, linked):
+    """The sample may hold none of the linked nodes, or too few of them to tell."""
+    for name, value in {"SHARD_ROWS": 16, "FIT_ROWS": 256, "AUDIT_ROWS": 16}.items():
+        monkeypatch.setattr(flatgraph, name, value)
+    x = border_pairs(np.random.default_rng(5), 400, max(linked, 6))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 1, "a", "b") for i, v in enumerate(x)], VECTORS).repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in flatgraph.near_vectors(df).collect()}
+    assert got == dict(enumerate(hit.sum(1).tolist()))
+
+
 def test_graph_reaches_every_node():
     r = np.random.default_rng(0)
     x = np.vstack([r.normal(size=(1, 8)) + 0.01 * r.normal(size=(40, 8)) for _ in range(12)])

@@ -264,6 +264,15 @@ def test_too_few_linked_audit_nodes_compare_everything(spark, monkeypatch, linke
     assert got == dict(enumerate(hit.sum(1).tolist()))
 
 
+def test_links_found_from_one_end_count_for_both(spark):
+    """y is in both shards, x only in its own: x finds y, y cannot find x."""
+    angles = {1: (36, 3), 2: (48, 5), 3: (2, 1), 4: (88, 1)}
+    rows = [("2:a", i, n, [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]) for i, (d, n) in angles.items()]
+    nodes = spark.createDataFrame(rows, "key string, id bigint, copies bigint, v array<double>")
+    found = flatgraph._searched(nodes, {2: np.eye(2)}, 0.97, 0.12, 24)
+    assert {r["id"]: r["n"] for r in found.filter("n is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()} == {1: 5, 2: 3}
+
+
 def test_graph_reaches_every_node():
     r = np.random.default_rng(0)
     x = np.vstack([r.normal(size=(1, 8)) + 0.01 * r.normal(size=(40, 8)) for _ in range(12)])

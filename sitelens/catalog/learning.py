@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.catalog.registry import Tables, query, rounded
 from sitelens.operators import learners as L
 
-DIMS = 8
+DIMS = 64
 COLUMNS = [f"x{i}" for i in range(DIMS)]
 
 
@@ -34,9 +34,8 @@ def base_classifiers(t: Tables) -> DataFrame:
     train, test = rows.where("fold <> 0"), rows.where("fold = 0")
     out = test.select("vec_id", "label")
     for kind in L.KINDS:
-        options = {"maxIter": 10} if kind in ("boosted", "perceptron") else {"numTrees": 10} if kind == "forest" else {}
         balance = "balanced" if kind in ("logistic", "svm", "forest") else None
-        model = L.fit_classifier(train, COLUMNS, kind, balance=balance, **options)
+        model = L.fit_classifier(train, COLUMNS, kind, balance=balance)
         out = out.join(L.probabilities(model, test, kind).select("vec_id", kind), "vec_id")
     return rounded(out, digits=4)
 
@@ -50,7 +49,7 @@ def out_of_fold_models(t: Tables) -> DataFrame:
 @query("fusion_three_ways")
 def fusion_three_ways(t: Tables) -> DataFrame:
     rows = examples(t)
-    branches = {"b1": COLUMNS[:3], "b2": COLUMNS[3:6], "b3": COLUMNS[5:]}
+    branches = {"b1": COLUMNS[:21], "b2": COLUMNS[21:42], "b3": COLUMNS[42:]}
     oof = None
     for name, columns in branches.items():
         part = L.out_of_fold(rows, columns, "fold", [0, 1, 2], "logistic", out=name, check=False)

@@ -13,6 +13,9 @@ from sitelens.operators import resampling as RS
 from sitelens.operators import splits as X
 from sitelens.operators.ordered import average_ranks
 
+#: Permutations of the reference's ranking validation.
+PERMUTATIONS = 10_000
+
 SCORED = """scored AS (SELECT doc_id, source, lang, n_chars::DOUBLE AS score, quality AS label, toxic FROM documents JOIN labels USING (doc_id))"""
 
 
@@ -256,7 +259,7 @@ def recall_summary(t: Tables) -> DataFrame:
 @query("recall_permutations")
 def recall_permutations(t: Tables) -> DataFrame:
     rows = recall_rows(t)
-    null = RS.recall_permutation_null(rows, ["source"], [1, 3, 5, 10], 500, 43)
+    null = RS.recall_permutation_null(rows, ["source"], [1, 3, 5, 10], PERMUTATIONS, 43)
     return rounded(RS.permutation_summary(RS.recall_summary(rows), null, [1, 3, 5, 10]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.catalog.ranking import scored
+from sitelens.catalog.ranking import PERMUTATIONS, scored
 from sitelens.catalog.registry import Tables, query, rounded
 from sitelens.operators import rank_tests as Q
 from sitelens.operators import ranking as R
@@ -156,7 +156,7 @@ def enrichment_summary(t: Tables) -> DataFrame:
 def recall_excess_test(t: Tables) -> DataFrame:
     ranked = R.rank_within(scored(t), ["source"], "score", "doc_id")
     per = Q.top_percentile_enrichment(ranked, ["source"], "toxic", [0.05, 0.1, 0.2])
-    return rounded(RS.recall_excess_test(per, ["source"], 300, 43))
+    return rounded(RS.recall_excess_test(per, ["source"], PERMUTATIONS, 43))
 
 
 @query("ols_residuals", """WITH f AS (SELECT l_suppkey, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, count(*) AS n FROM lineitem GROUP BY 1)
@@ -236,20 +236,20 @@ def controls(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("matched_random_control")
 def matched_random_control(t: Tables) -> DataFrame:
     seen, background = controls(t)
-    return rounded(RS.matched_random_control(seen, background, ["site"], "effect", "member", iterations=20))
+    return rounded(RS.matched_random_control(seen, background, ["site"], "effect", "member"))
 
 
 @query("pooled_random_control")
 def pooled_random_control(t: Tables) -> DataFrame:
     seen, background = controls(t)
-    _, _, summary = RS.pooled_random_control(seen, background, ["grp"], ["site"], "effect", "member", iterations=20)
+    _, _, summary = RS.pooled_random_control(seen, background, ["grp"], ["site"], "effect", "member")
     return rounded(summary)
 
 
 @query("random_global_means")
 def random_global_means(t: Tables) -> DataFrame:
     seen, background = controls(t)
-    _, means, _ = RS.pooled_random_control(seen, background, ["grp"], ["site"], "effect", "member", iterations=20)
+    _, means, _ = RS.pooled_random_control(seen, background, ["grp"], ["site"], "effect", "member")
     return rounded(means)
 
 
@@ -276,13 +276,13 @@ def cluster_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("cluster_draw_test")
 def cluster_draw_test(t: Tables) -> DataFrame:
     clusters, pool = cluster_rows(t)
-    return rounded(RS.cluster_draw_test(clusters, pool, ["cluster"], "o_totalprice", "rank_in_group", "o_orderkey", 100, 44))
+    return rounded(RS.cluster_draw_test(clusters, pool, ["cluster"], "o_totalprice", "rank_in_group", "o_orderkey", PERMUTATIONS, 44))
 
 
 @query("cluster_draw_null")
 def cluster_draw_null(t: Tables) -> DataFrame:
     clusters, pool = cluster_rows(t)
-    return rounded(RS.cluster_draw_null(clusters, pool, ["cluster"], "o_totalprice", "rank_in_group", "o_orderkey", [1, 5, 10], 100, 44))
+    return rounded(RS.cluster_draw_null(clusters, pool, ["cluster"], "o_totalprice", "rank_in_group", "o_orderkey", [1, 5, 10], PERMUTATIONS, 44))
 
 
 @query("random_reciprocal_rank", """SELECT c_nationkey, n, p, round(list_sum(list_transform(range(1, n - p + 2), lambda r:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,19 +81,26 @@ def top_k(
 
     ``queries`` marks the rows that ask; every row but the query's own id is a
     candidate. Ties go to the smaller id. Vectors that are null, empty, hold null
-    or non-finite components or have no id take no part, and vectors of another
-    length than the longest ones neither. Fewer than k candidates give fewer rows; rows
+    or non-finite components or have no id take no part; a query meets the vectors of
+    its own length. Fewer than k candidates give fewer rows; rows
     that repeat an id are candidates each, and as queries they are answered together. Other columns are not read.
     """
     v = F.col(f"`{vector}`")
     rows = vectors.select(F.col(f"`{id}`").cast("bigint").alias("id"), v.alias("raw"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(usable(F.col("raw")) & F.col("id").isNotNull())
     rows = settle(rows.select("id", "asks", whole_numbers(F.col("raw"), scale).alias("v")), "whole-vectors")
-    width, count, asking = rows.agg(F.max(F.size("v")), F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not asking:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = rows.filter(F.size("v") == width)
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("asking"))
+    sizes = sizes.filter("asking > 0").orderBy("width").collect()
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    found = [_of_length(rows.filter(F.size("v") == r["width"]), r["width"], r["n"], r["asking"], k) for r in sizes]
+    found = reduce(DataFrame.union, found)
+    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(rank).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(rows: DataFrame, width: int, count: int, asking: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): what can be among the k best of each query, for rows of one length."""
     spread = rows.select([F.col("v")[d].alias(f"d{d}") for d in range(width)])
     marks = spread.agg(*[F.percentile_approx(f"d{d}", [i / CELLS for i in range(CELLS + 1)], 1000).alias(f"d{d}") for d in range(width)], *[F.min(f"d{d}").alias(f"l{d}") for d in range(width)], *[F.max(f"d{d}").alias(f"h{d}") for d in range(width)]).first()
     cuts = np.array([sorted(marks[f"d{d}"])[1:-1] for d in range(width)], np.int64)
@@ -164,6 +172,4 @@ def top_k(
                     {n: pa.array([o[j] for o in out], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))}
                 )
 
-    found = ready.join(cells.join(stored.select("block", "data"), "block"), "block").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ready.join(cells.join(stored.select("block", "data"), "block"), "block").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")

@@ -302,6 +302,20 @@ def test_exact_search(vectors, monkeypatch):
     assert vafile.top_k(df.limit(0), F.col("vec_id") == 1).count() == 0
 
 
+def test_search_meets_every_length(spark):
+    """One longer vector takes nothing from the others, and each query meets its own length."""
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=3 if i < 20 else 5).tolist()) for i in range(30)] + [(30, r.normal(size=6).tolist())]
+    df = spark.createDataFrame([(i, v, 1, 1, "a", "b") for i, v in rows], VECTORS)
+    want = set()
+    exact = {i: np.floor(np.array(v, np.float32).astype(float) * 256).astype(int) for i, v in rows}
+    for q in (1, 21, 30):
+        scores = sorted((-int(exact[q] @ x), i) for i, x in exact.items() if i != q and len(x) == len(exact[q]))
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:4])}
+    got = vafile.top_k(df, F.col("vec_id").isin(1, 21, 30), 4).collect()
+    assert {tuple(x) for x in got} == want and len(want) == len(got) == 8
+
+
 def test_archives(spark, tmp_path):
     rows = [(i, f"http://Www.Host{i % 4}.example.com:80/p?b={i % 3}&a=1#x", f"<p>page {i % 7}</p>\r\n\r\nmore é\n") for i in range(40)]
     rows += [(40, None, None), (41, "", ""), (42, "http://[bad", "WARC/1.1\r\n\r\n"), (43, "http://x.org/a b\r\nc%20", "z" * 200_000), (None, "http://x.org/", "<p>page 1</p>\r\n\r\nmore é\n"), (None, "u", "alone")]

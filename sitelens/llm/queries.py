@@ -234,3 +234,67 @@ def op8(t: Tables):
     from sitelens.llm.flatgraph import near_vectors
 
     return near_vectors(t.embeddings)
+
+
+LINE_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n
+  from documents
+), keyed as (
+  select doc_id, n, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+), repeated as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), judged as (
+  select doc_id, n, line, keeper is not null and doc_id < keeper as dropped from keyed left join repeated using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by n) filter (not dropped), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@query("op11_line_dedup", LINE_SQL)
+def op11(t: Tables):
+    from sitelens.llm.linededup import without_repeated_lines
+
+    return without_repeated_lines(t.documents.select("doc_id", "text")).select(
+        "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@query("op12_conversation_repair")
+def op12(t: Tables):
+    from sitelens.llm.repair import damaged, repair
+
+    return repair(damaged(t.conversations)).withColumnRenamed("conv", "conv_id")
+
+
+NEGATIVE_SQL = """
+with good as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), pairs as (
+  select a.vec_id as anchor_id, x.vec_id, a.label = x.label as same, list_dot_product(a.e, x.e)::bigint as score
+  from good a join good x on a.vec_id <> x.vec_id and len(a.e) = len(x.e) where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::integer as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join pairs using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVE_SQL)
+def op13(t: Tables):
+    from sitelens.llm.hardneg import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(t.embeddings.withColumn("label", moved), F.col("vec_id") % 100 == 0)

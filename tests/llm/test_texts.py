@@ -160,6 +160,16 @@ def test_context_tree_scores(odd, odd_rows):
                 want.append((len(tokens), sum(words[t] > 0 for t in tokens), base, trees.score(s), n))
         for g, w in zip(got, sorted(want), strict=True):
             assert g[:2] == w[:2] and close(g[2], w[2]) and close(g[3], w[3], 1e-8) and g[4] == w[4]
+    own = next(r for r in found if r["doc_id"] == 67)
+    assert close(own["score"], trees.score(long[0][1]), 1e-8) and own["n_tokens"] == len(long[0][1].split()) + 1
+
+
+def test_context_tree_is_cut_anywhere(odd, monkeypatch):
+    whole = sorted((str(r["doc_id"]), r["score"]) for r in ctw.scored(odd, bucket("doc_id", 10) != 0).collect())
+    monkeypatch.setattr(ctw, "WIDE_BYTES", 0)  # contexts of three bytes at the cut
+    monkeypatch.setattr(ctw, "TREE_CHUNK", 50)
+    again = sorted((str(r["doc_id"]), r["score"]) for r in ctw.scored(odd, bucket("doc_id", 10) != 0).collect())
+    assert all(a[0] == b[0] and close(a[1], b[1], 1e-10) for a, b in zip(whole, again, strict=True))
 
 
 def test_context_tree_without_training(odd, none):

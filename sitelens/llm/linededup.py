@@ -161,7 +161,8 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
     """(doc_id, dropped): for each document that loses lines the distinct digests (a, b) of their keys."""
     suspects = settle(suspected_lines(docs, doc, text, min_chars), "suspected-lines")
     holders = suspects.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
-    confirmed = holders.filter(F.col("docs") >= min_docs).select("a", "b", "keeper")
+    # Written on its own, so that the join below can be split at a line that very many documents hold.
+    confirmed = settle(holders.filter(F.col("docs") >= min_docs).select("a", "b", "keeper"), "repeated-lines", thin=True)
     lost = suspects.join(confirmed, ["a", "b"]).filter(F.col("doc_id") < F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("dropped"))
 
@@ -184,10 +185,9 @@ def without_repeated_lines(
     Memory: a task holds CHUNK lines' digests and one text; a segment its filters
     and about SEGMENT_LINES digests; the digests of one document are held together.
     """
-    lines = F.when(F.length(F.col(f"`{text}`")) > 0, F.size(F.split(F.col(f"`{text}`"), "\n"))).otherwise(1).cast("bigint")
     lost = repeated_lines(docs, doc, text, min_chars, min_docs)
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.withColumn("n_lines", lines if text == "text" else _line_count("text"))
+    rows = rows.withColumn("n_lines", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(1).cast("bigint"))
     met = rows.join(lost, F.col("id") == F.col("doc_id"), "left")
     cut = _cut(F.when(F.col("dropped").isNotNull(), F.col("text").cast("binary")), F.col("dropped.a"), F.col("dropped.b"), min_chars)
     met = met.withColumn("cut", F.when(F.col("dropped").isNotNull(), cut))
@@ -199,10 +199,6 @@ def without_repeated_lines(
     )
 
 
-def _line_count(text: str) -> Column:
-    return F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(1).cast("bigint")
-
-
 def _cut(text: Column, a: Column, b: Column, min_chars: int) -> Column:
     """(n_dropped, kept_text) of a text that loses the lines with these digests."""
     kind = pa.struct([("n_dropped", pa.int64()), ("kept_text", pa.string())])

@@ -10,7 +10,9 @@ over is dealt to sequences whose lengths are powers of two, which need no paddin
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,73 +27,75 @@ CAPACITY = 1024
 END_ID = 0
 #: A block is closed at this many documents or tokens, whichever comes first.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 21
-#: Words a worker remembers with their ids, and how many new ones are encoded as one text.
-REMEMBERED, LUMP = 700_000, 64
-_WORKER: dict[str, WordIds] = {}
+#: Fixed value: how byte-level tokenizers of this kind cut a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters outside the blocks in which no version of Unicode will change what is a letter, a number or a space; long white space.
+UNSETTLED = r"[^\x00-\u024f\u2000-\u206f]|\s{1000}"
+_WORKER: dict[str, TextIds] = {}
 
 
-class WordIds:
+def byte_characters() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: visible ones stand for themselves, others follow from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def rank_encoder(path: str):
+    """The same vocabulary as an encoder by ranks, which is faster on unseen words; None where the file is of another kind.
+
+    The ranks of a byte-level vocabulary are its ids if every merge's result has the next id.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    merged = [("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    vocabulary, byte = model["vocab"], byte_characters()
+    added = {t["content"] for t in spec.get("added_tokens") or []}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+    if any(vocabulary.get(m) != 256 + i for i, m in enumerate(merged)) or sorted(ranks.values()) != list(range(len(ranks))):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
+class TextIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    A byte-level tokenizer of this kind always starts a new piece at a single
-    space between two other characters, and only there a token starts with a
-    space. So a text is the sum of its words, each with the space before it:
-    words seen before are looked up, new ones are encoded many at a time and cut
-    apart where a token starts with a space. Texts in which a space stands beside
-    other white space, or at an end, are encoded as a whole.
+    Ranks and the tokenizer's own file give the same ids. Texts with a character
+    whose class Unicode may still change, with an added token or with a very long run of
+    white space (the rank encoder's matcher has a bounded stack) are left to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes | None] = {}
+        self.tokenizer, self.ranks = Tokenizer.from_file(path), rank_encoder(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.leave = re.compile("|".join([UNSETTLED, *map(re.escape, added)]))
 
     @classmethod
-    def of_worker(cls, path: str) -> WordIds:
-        """The one of this worker process, with what it knows from earlier tasks."""
+    def of_worker(cls, path: str) -> TextIds:
+        """The one of this worker process, used again by its later tasks."""
         if path not in _WORKER:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on every core
             _WORKER[path] = cls(path)
         return _WORKER[path]
 
-    def _arrays(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        lumps = [words[i : i + LUMP] for i in range(0, len(words), LUMP)]
-        odd = []
-        for lump, ids in zip(lumps, self._arrays([" " + " ".join(x) for x in lumps])):
-            cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-            if len(cuts) != len(lump) + 1 or cuts[0]:
-                odd += lump
-                continue
-            coded = ids.tobytes()
-            self.known.update(zip(lump, [coded[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]))
-        self.known.update(zip(odd, [x.tobytes() for x in self._arrays([" " + w for w in odd])]))
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words[1:]}.difference(known))
-        known.update(dict.fromkeys(new))
-        self._learn([w for w in new if w and not w[0].isspace() and not w[-1].isspace()])
-        heads = self._arrays([words[0] for words in split])
-        out: list[bytes | None] = []
-        for words, head in zip(split, heads):
-            try:
-                whole = len(words) > 1 and (not words[0] or words[0][-1].isspace())
-                out.append(None if whole else b"".join([head.tobytes(), *map(known.__getitem__, words[1:])]))
-            except TypeError:
-                out.append(None)
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self._arrays([texts[i] for i in rest])):
-            out[i] = ids.tobytes()
+        out: list[bytes | None] = [None] * len(texts)
+        rest = []
+        for i, text in enumerate(texts):
+            if self.ranks is None or self.leave.search(text):
+                rest.append(i)
+            else:
+                out[i] = np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(x.ids, "<u4").tobytes()
         return out
 
 
@@ -166,7 +170,7 @@ def pack(
         return pa.RecordBatch.from_pydict(columns), base + (max(x[3] for x in found) + 1 if found else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds.of_worker(tokenizer), np.array([END_ID], "<u4").tobytes()
+        encode, end = TextIds.of_worker(tokenizer), np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         keys, coded, tokens = [], [], 0
         for batch in batches:

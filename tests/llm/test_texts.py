@@ -210,6 +210,18 @@ def test_packing_is_a_round_trip(odd, odd_rows, none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
 
+def test_rank_ids_are_the_tokenizers_ids():
+    tokenizer, ids = Tokenizer.from_file(TOKENIZER), packing.TextIds(TOKENIZER)
+    assert ids.ranks is not None
+    r = np.random.default_rng(6)
+    letters = [*"abcXYZ019 .,!?'-_/\n\n   \t\r\x0b\x0c\x1c\x85\xa0\u2003\u200b\u180e\u2028éßß中١½ǅɐ\U0001f600", "<|endoftext|>", "'s", "'ll", " the ", " and\n", "\n\n"]
+    texts = ["".join(r.choice(letters, r.integers(0, 60))) for _ in range(4000)]
+    texts += [" " * 200_000 + "x", "\n" * 1001, "y" * 100_000, "ab " * 50_000, ""]
+    for text, got in zip(texts, ids(texts), strict=True):
+        assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.rank_encoder(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
 def test_dealing_balances_cost():
     lengths = [500] * 40 + [200] * 60 + [30] * 100
     pieces = packing.deal(lengths, 1024, 1.0, 1 / 2048)

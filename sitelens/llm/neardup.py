@@ -346,7 +346,10 @@ def _against_large(known: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     two large components the smaller one's nodes ask.
     """
     sizes = known.select("component_id", "id").distinct().groupBy("component_id").agg(F.count("*").alias("weight"))
-    sized = settle(known.join(sizes, "component_id"), "weighed-members", thin=True)
+    # Written on its own: few rows, and a join that the adaptive plan can split at a component of very many nodes.
+    sizes = settle(sizes.filter(F.col("weight") >= LARGE), "large-components", thin=True)
+    sized = known.join(sizes, "component_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    sized = settle(sized, "weighed-members", thin=True)
     large = sized.filter(F.col("weight") >= LARGE)
     present = large.select("key", F.col("component_id").alias("place"), F.col("weight").alias("place_weight")).distinct()
     ahead = F.struct("place_weight", "place") > F.struct("weight", "component_id")
@@ -431,8 +434,9 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int
     A-Z as small letters) have 100 * intersection >= percent * union, and neither
     is empty. component_id is the smallest id reachable. Null and empty texts have
     no shingle and stand alone. Rows without an id link with nothing and are kept
-    (component_id null). Rows that repeat an id are linked each by its own text.
-    An empty table gives an empty table; other columns are not read.
+    (component_id null). An id whose rows differ in text stands for all of them: its
+    rows get the smallest id that any of them reaches. An empty table gives an
+    empty table; other columns are not read.
     """
     rows = settle(summaries(docs, doc, text, width), "summaries")
     reps = settle(rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-classes")

@@ -64,6 +64,31 @@ def collapsed_edges(t: Tables) -> DataFrame:
     return rounded(A.collapse_edges(rows, "l_suppkey", "l_partkey", "w"))
 
 
+SYMBOLS = """e AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN lower(p_brand) ELSE ' ' || p_brand || ' ' END AS source, CASE WHEN l_linenumber % 3 = 0 THEN lower(p_type) ELSE p_type END AS target,
+  (l_discount * 100)::INT - 5 AS weight, l_returnflag || '; ' || l_linestatus || ';' || l_returnflag AS resources, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN part ON l_partkey = p_partkey),
+k AS (SELECT *, upper(trim(source)) AS s, upper(trim(target)) AS t FROM e WHERE weight <> 0)"""
+
+
+def symbol_edges(t: Tables) -> DataFrame:
+    """Edges from brand to type in mixed spelling, with joined resources, in the order of the order lines."""
+    even = F.col("l_linenumber") % 2 == 0
+    return t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey").select(
+        F.when(even, F.lower("p_brand")).otherwise(F.concat(F.lit(" "), "p_brand", F.lit(" "))).alias("source"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("target"),
+        (F.round(F.col("l_discount") * 100).cast("int") - 5).alias("weight"),
+        F.concat("l_returnflag", F.lit("; "), "l_linestatus", F.lit(";"), "l_returnflag").alias("resources"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+    )
+
+
+@query("collapsed_symbols", f"""WITH {SYMBOLS}, g AS (SELECT s, t, arg_min(source, ord) AS source, arg_min(target, ord) AS target, avg(weight) AS w, count(*) AS n_edges, count(DISTINCT sign(weight)) AS n_signs FROM k GROUP BY ALL HAVING avg(weight) <> 0),
+p AS (SELECT s, t, part, min(ord * 10 + i) AS spot FROM (SELECT s, t, ord, trim(unnest(string_split(resources, ';'))) AS part, generate_subscripts(string_split(resources, ';'), 1) AS i FROM k) WHERE part <> '' GROUP BY ALL),
+r AS (SELECT s, t, string_agg(part, ';' ORDER BY spot) AS resources FROM p GROUP BY ALL)
+SELECT source, target, round(w, 6) AS mean_weight, n_edges, n_signs, resources, n_signs > 1 AS sign_conflict, sign(w)::INT AS sign, CASE WHEN w > 0 THEN 'activate' ELSE 'repress' END AS regulation FROM g JOIN r USING (s, t)""")
+def collapsed_symbols(t: Tables) -> DataFrame:
+    return rounded(A.collapse_edges(symbol_edges(t), "source", "target", "weight", joined=["resources"], order="ord"))
+
+
 EVID = """stats AS (SELECT p_brand, l_partkey, count(*) FILTER (l_quantity > 40) AS hit_count, avg(l_quantity) AS mean_score, max(l_quantity) AS max_score, median(l_quantity) AS median_score
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 tot AS (SELECT p_brand, count(DISTINCT month(l_shipdate)) AS n_experiments FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions import scalars as S
 from sitelens.catalog.registry import Tables, query, rounded, whole
 from sitelens.catalog.statistics import U_P, rank_sum_sql, student_sql, upper_sql
 from sitelens.operators import aggregates as A
 from sitelens.operators import cohort as C
 from sitelens.operators import rank_tests as Q
+from sitelens.operators.clean import ratio_values
 
 SITE = ["cohort", "site"]
 
@@ -271,11 +273,11 @@ def covariate_frame(t: Tables) -> DataFrame:
 
 ADJ = f"""{ACT}, {COV}, rows AS (SELECT a.cohort, a.site, round(activity, 9) AS y, value AS x, purity AS z FROM act a JOIN m USING (cohort, site, sample) JOIN cov USING (cohort, sample)),
 s AS (SELECT cohort, site, count(*) AS n, var_pop(x) AS s11, var_pop(z) AS s22, covar_pop(x, z) AS s12, covar_pop(y, x) AS s1y, covar_pop(y, z) AS s2y, var_pop(y) AS syy FROM rows GROUP BY ALL),
-b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s WHERE n > 3),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
 r AS (SELECT *, b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (n - 3) * s22 / det) AS tv, (n - 3)::DOUBLE AS dof FROM b)"""
 
 
-@query("adjusted_activity", f"""WITH {ADJ} SELECT cohort, site, n AS n_samples, round(b1, 7) AS coef, round({student_sql('tv', 'dof')}, 5) AS p_value FROM r""")
+@query("adjusted_activity", f"""WITH {ADJ} SELECT cohort, site, n AS n_samples, CASE WHEN n >= 10 THEN round(b1, 7) END AS coef, CASE WHEN n >= 10 THEN round({student_sql('tv', 'dof')}, 5) END AS p_value FROM r""")
 def adjusted_activity(t: Tables) -> DataFrame:
     rows = activity(t).withColumn("activity", F.round("activity", 9))
     rows = rows.join(observed(t), [*SITE, "sample"]).join(covariates(t), ["cohort", "sample"])
@@ -285,7 +287,7 @@ def adjusted_activity(t: Tables) -> DataFrame:
 
 @query("adjusted_targets", f"""WITH {MATRIX}, {EXPR}, {TARGETS}, {COV}, rows AS (SELECT o.cohort, o.site, gene, expr AS y, o.value AS x, purity AS z FROM obs o JOIN tg USING (site) JOIN ex USING (cohort, gene, sample) JOIN cov USING (cohort, sample)),
 s AS (SELECT cohort, site, gene, count(*) AS n, var_pop(x) AS s11, var_pop(z) AS s22, covar_pop(x, z) AS s12, covar_pop(y, x) AS s1y, covar_pop(y, z) AS s2y FROM rows GROUP BY ALL)
-SELECT cohort, site, gene, n AS n_samples, round((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12), 7) AS coef FROM s WHERE n > 3""")
+SELECT cohort, site, gene, n AS n_samples, CASE WHEN n >= 10 THEN round((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12), 7) END AS coef FROM s""")
 def adjusted_targets(t: Tables) -> DataFrame:
     rows = (
         observed(t).join(targets(t), "site").join(expression(t), ["cohort", "gene", "sample"])
@@ -307,16 +309,67 @@ def abundance_diagnostic(t: Tables) -> DataFrame:
     return rounded(out.select(*SITE, "mean_high", "mean_low", "u", "rho"))
 
 
-@query("robustness_summary")
+def shifted(t: Tables) -> DataFrame:
+    """Site matrix less a value of the site's own, as the site's protein is taken off: its mean discount in percent."""
+    own = t.lineitem.groupBy(F.col("l_returnflag").alias("cohort"), F.col("l_suppkey").alias("site"), month_number().alias("sample")).agg(
+        F.round(F.avg("l_discount") * 100, 2).alias("value"))
+    out = ratio_values(site_matrix(t), own, [*SITE, "sample"])
+    return out.withColumn("value", F.round("value", 6))
+
+
+RATIO = f"""ownd AS (SELECT l_returnflag AS cohort, l_suppkey AS site, year(l_shipdate) * 100 + month(l_shipdate) AS sample, round(avg(l_discount) * 100, 2) AS base FROM lineitem GROUP BY ALL),
+m2 AS (SELECT cohort, site, sample, round(value - base, 6) AS value FROM m LEFT JOIN ownd USING (cohort, site, sample)),
+med2 AS (SELECT cohort, site, median(value) AS cut, count(value) AS n_valid FROM m2 GROUP BY ALL),
+side2 AS (SELECT m2.*, CASE WHEN value >= cut THEN 'high' ELSE 'low' END AS side FROM m2 JOIN med2 USING (cohort, site) WHERE value IS NOT NULL AND n_valid >= 10),
+mem2 AS (SELECT * FROM side2 QUALIFY count(*) FILTER (side = 'low') OVER (PARTITION BY cohort, site) >= 5 AND count(*) FILTER (side = 'high') OVER (PARTITION BY cohort, site) >= 5),
+pr2 AS (SELECT cohort, site, gene, regulation, avg(expr) FILTER (side = 'high') - avg(expr) FILTER (side = 'low') AS eff FROM mem2 JOIN tg USING (site) JOIN ex USING (cohort, gene, sample) GROUP BY ALL),
+ra2 AS (SELECT cohort, site, avg(d) AS ratio_mean_directional FROM (SELECT cohort, site, regulation, avg(CASE WHEN (cohort = 'A') = (regulation = 'activate') THEN eff ELSE -eff END) AS d FROM pr2 WHERE eff IS NOT NULL GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("ratio_sensitivity", f"""WITH {SPLIT_MEDIAN}, {EXPR}, {TARGETS}, {RATIO} SELECT cohort, site, regulation, count(*) AS n_targets, round(avg(CASE WHEN (cohort = 'A') = (regulation = 'activate') THEN eff ELSE -eff END), 9) AS mean_directional
+FROM pr2 WHERE eff IS NOT NULL GROUP BY ALL""")
+def ratio_sensitivity(t: Tables) -> DataFrame:
+    return rounded(ratio_effects(t).select(*SITE, "regulation", "n_targets", "mean_directional"), digits=9)
+
+
+def ratio_effects(t: Tables) -> DataFrame:
+    """Split, contrast and summary of every site once more on its shifted values."""
+    members, _ = C.split_samples(shifted(t), SITE, "sample", "value")
+    means = C.group_means(members, targets(t), expression(t), ["cohort"], ["site"], "sample", "gene", "expr", ["regulation"])
+    pairs = C.high_low_pairs(means, [*SITE, "gene", "regulation"])
+    moved = C.target_effects(pairs.withColumn("direction", F.when(F.col("cohort") == "A", "import").otherwise("export")), "direction", "regulation")
+    return C.summarize_effects(moved, [*SITE, "regulation"])
+
+
+@query("robustness_summary", f"""WITH {ADJ}, {RATIO}, base AS (SELECT cohort, site FROM summ WHERE status = 'success'),
+drows AS (SELECT cohort, site, side, value, purity, cohort || '|' || site AS cs FROM members JOIN m USING (cohort, site, sample) JOIN cov USING (cohort, sample) WHERE value IS NOT NULL),
+us AS {rank_sum_sql('drows', 'cs', 'side', 'purity', 'high', 'low')}, {U_P},
+dg AS (SELECT cohort, site, any_value(cs) AS cs, avg(purity) FILTER (side = 'low') AS lo, avg(purity) FILTER (side = 'high') AS hi FROM drows GROUP BY ALL),
+dgp AS (SELECT cohort, site, lo, hi, least(1, 2 * least(above, below)) AS p FROM dg LEFT JOIN ps USING (cs)),
+tr AS (SELECT o.cohort, o.site, gene, regulation, expr AS y, o.value AS x, purity AS z FROM obs o JOIN tg USING (site) JOIN ex USING (cohort, gene, sample) JOIN cov USING (cohort, sample)),
+tf AS (SELECT cohort, site, gene, regulation, count(*) AS n, (covar_pop(y, x) * var_pop(z) - covar_pop(y, z) * covar_pop(x, z)) / (var_pop(x) * var_pop(z) - covar_pop(x, z) * covar_pop(x, z)) AS c FROM tr GROUP BY ALL),
+ta AS (SELECT cohort, site, count(DISTINCT gene) AS n_adjusted_targets, avg(CASE WHEN n >= 10 THEN CASE WHEN (cohort = 'A') = (regulation = 'activate') THEN c ELSE -c END END) AS mdc FROM tf GROUP BY ALL)
+SELECT cohort, site, round(lo, 6) AS purity_mean_low, round(hi, 6) AS purity_mean_high, round(dgp.p, 6) AS purity_p, round(ratio_mean_directional, 6) AS ratio_mean_directional, n_adjusted_targets, round(mdc, 6) AS mean_directional_coef,
+  CASE WHEN r.n >= 10 THEN round(b1, 6) END AS activity_coef, coalesce(dgp.p < 0.05, false) AS possible_confounding
+FROM base LEFT JOIN dgp USING (cohort, site) LEFT JOIN ra2 USING (cohort, site) LEFT JOIN ta USING (cohort, site) LEFT JOIN r USING (cohort, site)""")
 def robustness_summary(t: Tables) -> DataFrame:
     members, summary = median_split(t)
-    rows = activity(t).join(observed(t), [*SITE, "sample"]).join(covariates(t), ["cohort", "sample"])
-    parts = {
-        "abundance": C.abundance_diagnostic(rows, SITE, "value", "purity"),
-        "activity": C.activity_test(activity(t), SITE, ["cohort"]),
-        "adjusted": C.adjusted_association(rows, SITE, "activity", "value", ["purity"], ["cohort"]),
-    }
-    return rounded(C.robustness_summary(summary.where("status = 'success'").select(*SITE), parts, SITE))
+    rows = members.join(observed(t), [*SITE, "sample"]).join(covariates(t), ["cohort", "sample"])
+    way = F.when(F.col("cohort") == "A", "import").otherwise("export")
+    genes = observed(t).join(targets(t), "site").join(expression(t), ["cohort", "gene", "sample"]).join(covariates(t), ["cohort", "sample"])
+    adjusted = C.adjusted_association(genes, [*SITE, "gene", "regulation"], "expr", "value", ["purity"], [])
+    adjusted = adjusted.withColumn("direction", way).withColumn("directional_coef", S.directional_effect("coef", "direction", "regulation"))
+    own = activity(t).withColumn("activity", F.round("activity", 9)).join(observed(t), [*SITE, "sample"]).join(covariates(t), ["cohort", "sample"])
+    out = C.robustness_summary(
+        summary.where("status = 'success'").select(*SITE),
+        SITE,
+        diagnostics=C.abundance_diagnostics(rows, SITE, "value", ["purity"]),
+        abundances=["purity"],
+        ratio=ratio_effects(t),
+        adjusted_targets=adjusted,
+        adjusted_activity=C.adjusted_association(own, SITE, "activity", "value", ["purity"], []),
+    )
+    return rounded(out.select(*SITE, "purity_mean_low", "purity_mean_high", "purity_p", "ratio_mean_directional", "n_adjusted_targets", "mean_directional_coef", "activity_coef", "possible_confounding"))
 
 
 @query("site_status", f"""WITH {POINTS}, base AS (SELECT DISTINCT l_returnflag AS cohort, s_suppkey AS site FROM supplier, (SELECT DISTINCT l_returnflag FROM lineitem))

@@ -273,6 +273,23 @@ def panel_choice(t: Tables) -> DataFrame:
     return rounded(X.panel_choice(tests, exact, stats).select("feature", "is_binary", "p_value", "is_close", "selected", "skip_reason"))
 
 
+@query("feature_records", f"""WITH {ARMS}, kinds AS (SELECT feature, bool_and(value IN (0, 1)) AS is_binary FROM long GROUP BY 1),
+pr AS (SELECT feature, value, 'known_vs_background' AS pair, CASE arm WHEN 'known' THEN 'a' ELSE 'b' END AS side FROM long WHERE arm IN ('known', 'background')
+  UNION ALL SELECT feature, value, 'new_vs_background', CASE arm WHEN 'new' THEN 'a' ELSE 'b' END FROM long WHERE arm IN ('new', 'background')
+  UNION ALL SELECT feature, value, 'known_vs_new', CASE arm WHEN 'known' THEN 'a' ELSE 'b' END FROM long WHERE arm IN ('known', 'new')),
+fp AS (SELECT feature || '|' || pair AS fp, feature, pair, side, value FROM pr),
+us AS {rank_sum_sql('fp', 'fp', 'side', 'value', 'a', 'b')}, {U_P},
+cells AS (SELECT fp, any_value(feature) AS feature, any_value(pair) AS pair, count(*) FILTER (value = 1 AND side = 'a') AS a, count(*) FILTER (value = 1 AND side <> 'a') AS b, count(*) FILTER (value <> 1 AND side = 'a') AS c,
+  count(*) FILTER (value <> 1 AND side <> 'a') AS d FROM fp GROUP BY 1),
+h AS (SELECT cells.*, k, exp({HYPER}) AS p FROM cells JOIN kinds USING (feature), LATERAL (SELECT unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k) WHERE is_binary),
+fisher AS (SELECT h.fp, least(1, sum(p) FILTER (p <= o.p_own * 1.0000001)) AS p_exact FROM h JOIN (SELECT fp, p AS p_own FROM h WHERE k = a) o USING (fp) GROUP BY 1),
+j AS (SELECT feature, is_binary, pair, CASE WHEN is_binary THEN p_exact ELSE least(1, 2 * least(above, below)) END AS p FROM cells JOIN kinds USING (feature) LEFT JOIN ps USING (fp) LEFT JOIN fisher USING (fp))
+SELECT feature, is_binary, round(max(p) FILTER (pair = 'known_vs_background'), 6) AS known_vs_background_p, round(max(p) FILTER (pair = 'new_vs_background'), 6) AS new_vs_background_p, round(max(p) FILTER (pair = 'known_vs_new'), 6) AS known_vs_new_p FROM j GROUP BY ALL""")
+def feature_records(t: Tables) -> DataFrame:
+    pairs = {"known_vs_background": ("known", "background"), "new_vs_background": ("new", "background"), "known_vs_new": ("known", "new")}
+    return rounded(X.feature_records(arms(t), "feature", "arm", "value", pairs))
+
+
 # ------------------------------------------------------------------- windows
 
 
@@ -284,11 +301,17 @@ def text_windows(t: Tables) -> DataFrame:
     return rows.select("doc_id", V.text_window("text", "pos", 21).alias("win"))
 
 
-@query("one_hot_windows", """WITH s AS (SELECT doc_id, upper(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 21)) AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS i FROM s)
+WINDOW = """repeat('X', greatest(0, 11 - pos)::INT) || substr(text, greatest(pos - 10, 1), 21 - greatest(0, 11 - pos)) ||
+  repeat('X', (21 - greatest(0, 11 - pos) - length(substr(text, greatest(pos - 10, 1), 21 - greatest(0, 11 - pos))))::INT)"""
+
+
+@query("one_hot_windows", f"""WITH s AS (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text, (doc_id * 7) % 400 + 1 AS pos FROM documents), w AS (SELECT doc_id, {WINDOW} AS w FROM s),
+c AS (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS i FROM w)
 SELECT doc_id, count(*) AS n_letters, count(*) FILTER (position(substr(w, i, 1) IN 'ACDEFGHIKLMNPQRSTVWY') = 0) AS n_unknown, count(*) FILTER (substr(w, i, 1) = 'S') AS n_s FROM c GROUP BY 1""")
 def one_hot_windows(t: Tables) -> DataFrame:
-    letters = F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 21))
-    hot = t.documents.select("doc_id", V.one_hot_window(letters).alias("h")).where(F.size("h") > 0)
+    """21 tokens round the document's position, as in ``text_windows``, of the text, a-z as capitals."""
+    rows = t.documents.select("doc_id", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("text"), ((F.col("doc_id") * 7) % 400 + 1).alias("pos"))
+    hot = rows.select("doc_id", V.one_hot_window(V.text_window("text", "pos", 21)).alias("h")).where(F.size("h") > 0)
     count = lambda i: F.size(F.filter("h", lambda v: v[i] == 1)).cast("bigint")
     at = V.AMINO_ACIDS.index
     return hot.select("doc_id", F.size("h").cast("bigint").alias("n_letters"), count(at("X")).alias("n_unknown"), count(at("S")).alias("n_s"))

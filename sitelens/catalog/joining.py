@@ -10,9 +10,9 @@ from sitelens.operators import joins as J
 from sitelens.operators.aggregates import arm_statistics, close_relative, filter_audit
 
 
-@query("inner_join", """SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 15""")
+@query("inner_join", """SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def inner_join(t: Tables) -> DataFrame:
-    parts = t.part.where("p_size = 15").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     return t.lineitem.join(parts, "l_partkey", "inner").select("l_orderkey", "l_linenumber", "p_brand")
 
 

@@ -303,28 +303,41 @@ def inner_split(t: Tables) -> DataFrame:
     return X.inner_split(t.orders, "o_custkey", 11).select("o_orderkey", "split")
 
 
-def snake_sql(order: str, k: int) -> str:
-    return f"""dealt AS (SELECT g, CASE WHEN floor((p - 1) / {k}) % 2 = 0 THEN (p - 1) % {k} ELSE {k - 1} - (p - 1) % {k} END::INT AS hand
-  FROM (SELECT g, row_number() OVER (ORDER BY {order}) AS p FROM placed))"""
+def greedy_sql(k: int) -> str:
+    """CTE ``dealt`` (g, hand): groups by falling size, each to the hand with the fewest rows."""
+    return f"""WITH RECURSIVE {PLACED}, ordered AS (SELECT g, n_rows, row_number() OVER (ORDER BY n_rows DESC, {HASH.format(s=11, g='g')}) AS spot FROM placed),
+  dealt AS (SELECT 0::BIGINT AS i, list_transform(range(0, {k}), lambda x: 0::BIGINT) AS loads, NULL::INTEGER AS hand, NULL::BIGINT AS g UNION ALL
+    SELECT spot, list_transform(loads, lambda x, j: CASE WHEN j = h THEN x + n_rows ELSE x END), (h - 1)::INTEGER, g FROM
+      (SELECT loads, list_position(loads, list_min(loads)) AS h, o.spot, o.g, o.n_rows FROM dealt JOIN ordered o ON o.spot = dealt.i + 1))"""
 
 
-@query("stratified_group_folds", f"""WITH {PLACED}, {snake_sql(f"n_pos DESC, n_rows DESC, {HASH.format(s=11, g='g')}", 5)} SELECT o_orderkey, hand AS fold FROM orders JOIN dealt ON o_custkey = g""")
+STRATIFIED = f"""WITH RECURSIVE {PLACED}, ordered AS (SELECT g, n_rows - n_pos AS a, n_pos AS b, sum(n_rows - n_pos) OVER () AS ta, sum(n_pos) OVER () AS tb,
+    row_number() OVER (ORDER BY abs(2 * n_pos - n_rows) DESC, n_rows DESC, n_pos DESC, {HASH.format(s=11, g='g')}) AS spot FROM placed),
+  dealt AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS la, [0, 0, 0, 0, 0]::BIGINT[] AS lb, NULL::INTEGER AS hand, NULL::BIGINT AS g UNION ALL
+    SELECT spot, list_transform(la, lambda x, j: CASE WHEN j = h THEN x + a ELSE x END), list_transform(lb, lambda x, j: CASE WHEN j = h THEN x + b ELSE x END), (h - 1)::INTEGER, g FROM
+      (SELECT la, lb, o.*, list_min(list_transform(range(1, 6), lambda f: struct_pack(
+          e := round((list_aggregate(list_transform(la, lambda x, j: (CASE WHEN j = f THEN x + o.a ELSE x END) / greatest(o.ta, 1)::DOUBLE), 'stddev_pop')
+            + list_aggregate(list_transform(lb, lambda x, j: (CASE WHEN j = f THEN x + o.b ELSE x END) / greatest(o.tb, 1)::DOUBLE), 'stddev_pop')) / 2, 9),
+          s := la[f] + lb[f], f := f))).f AS h FROM dealt JOIN ordered o ON o.spot = dealt.i + 1))"""
+
+
+@query("stratified_group_folds", f"""{STRATIFIED} SELECT o_orderkey, hand AS fold FROM orders JOIN dealt ON o_custkey = g""")
 def stratified_group_folds(t: Tables) -> DataFrame:
     rows = t.orders.withColumn("label", (F.col("o_orderstatus") == "P").cast("int"))
     return X.group_folds(rows, "o_custkey", 5, 11, "label").select("o_orderkey", "fold")
 
 
-@query("group_folds", f"""WITH {PLACED}, {snake_sql(f"n_rows DESC, {HASH.format(s=11, g='g')}", 3)} SELECT o_orderkey, hand AS fold FROM orders JOIN dealt ON o_custkey = g""")
+@query("group_folds", f"""{greedy_sql(3)} SELECT o_orderkey, hand AS fold FROM orders JOIN dealt ON o_custkey = g""")
 def group_folds(t: Tables) -> DataFrame:
     return X.development_folds(t.orders, "o_custkey", 3, 11).select("o_orderkey", "fold")
 
 
-@query("fixed_holdout", f"""WITH {PLACED}, {snake_sql(f"n_rows DESC, {HASH.format(s=11, g='g')}", 5)} SELECT o_orderkey, hand = 0 AS is_test FROM orders JOIN dealt ON o_custkey = g""")
+@query("fixed_holdout", f"""{greedy_sql(5)} SELECT o_orderkey, hand = 0 AS is_test FROM orders JOIN dealt ON o_custkey = g""")
 def fixed_holdout(t: Tables) -> DataFrame:
     return X.fixed_holdout(t.orders, "o_custkey", 0.2, 11).select("o_orderkey", "is_test")
 
 
-@query("balanced_chunks", f"""WITH {PLACED}, {snake_sql(f"n_rows DESC, {HASH.format(s=11, g='g')}", 8)} SELECT hand AS chunk, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups FROM orders JOIN dealt ON o_custkey = g GROUP BY 1""")
+@query("balanced_chunks", f"""{greedy_sql(8)} SELECT hand AS chunk, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups FROM orders JOIN dealt ON o_custkey = g GROUP BY 1""")
 def balanced_chunks(t: Tables) -> DataFrame:
     return X.balanced_chunks(t.orders, "o_custkey", 8, 11).groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_custkey").alias("n_groups"))
 

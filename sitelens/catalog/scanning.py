@@ -147,13 +147,11 @@ def node_attributes(t: Tables) -> DataFrame:
     return out.groupBy("site").agg(F.round(F.sum("confidence"), 6).alias("confidence"), F.round(F.sum("offset"), 6).alias("offset"), F.max(F.size("one_hot")).alias("width"))
 
 
-@query("node_edges", f"""WITH {ATOMS}, one AS (SELECT site, resseq, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM nodes GROUP BY ALL HAVING count(*) = 1),
-e AS (SELECT a.site, abs(a.resseq - b.resseq) = 1 AS adj FROM one a JOIN one b ON a.site = b.site AND a.resseq <> b.resseq
+@query("node_edges", f"""WITH {ATOMS}, own AS (SELECT site, resseq, x, y, z, row_number() OVER (PARTITION BY site ORDER BY resseq, x, y, z) AS node FROM nodes),
+e AS (SELECT a.site, abs(a.resseq - b.resseq) = 1 AS adj FROM own a JOIN own b ON a.site = b.site AND a.node <> b.node
   AND (sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 4 OR abs(a.resseq - b.resseq) = 1)),
 c AS (SELECT site, count(*) AS n_edges, count(*) FILTER (adj) AS n_adjacent FROM e GROUP BY 1)
-SELECT site, coalesce(n_edges, 1) AS n_edges, coalesce(n_adjacent, 0) AS n_adjacent FROM (SELECT DISTINCT site FROM one) LEFT JOIN c USING (site)""")
+SELECT site, coalesce(n_edges, 1) AS n_edges, coalesce(n_adjacent, 0) AS n_adjacent FROM (SELECT DISTINCT site FROM own) LEFT JOIN c USING (site)""")
 def node_edges(t: Tables) -> DataFrame:
-    rows = nodes(t)
-    single = rows.groupBy("site", "resseq").agg(F.count(F.lit(1)).alias("_n"), *[F.max(a).alias(a) for a in "xyz"]).where("_n = 1").drop("_n")
-    out = G.node_edges(single, ["site"], 4.0)
+    out = G.node_edges(nodes(t), ["site"], 4.0)
     return out.groupBy("site").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("adjacent").cast("bigint").alias("n_adjacent"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.catalog.ranking import PERMUTATIONS, scored
 from sitelens.catalog.registry import Tables, query, rounded
+from sitelens.functions.draws import PRIME, ROUNDS
 from sitelens.operators import rank_tests as Q
 from sitelens.operators import ranking as R
 from sitelens.operators import resampling as RS
@@ -212,7 +213,7 @@ def row_zscores(t: Tables) -> DataFrame:
 
 
 BOOT = """WITH r AS (SELECT quality, d.doc_id, n_chars, row_number() OVER (PARTITION BY quality ORDER BY d.doc_id) AS pos, count(*) OVER (PARTITION BY quality) AS n FROM documents d JOIN labels USING (doc_id)),
-sz AS (SELECT DISTINCT quality, n FROM r), d AS (SELECT quality, it, ('0x' || substr(md5('42|' || quality || '|' || it || '|' || slot), 1, 12))::BIGINT % n + 1 AS pos FROM sz, range(1, 201) i(it), LATERAL (SELECT unnest(range(1, n + 1)) AS slot)),
+sz AS (SELECT DISTINCT quality, n FROM r), d AS (SELECT quality, it, ('0x' || substr(md5('42|' || quality || '|' || it || '|' || slot), 1, 12))::BIGINT % n + 1 AS pos FROM sz, range(1, 2001) i(it), LATERAL (SELECT unnest(range(1, n + 1)) AS slot)),
 m AS (SELECT it, avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality = 0) AS diff FROM d JOIN r USING (quality, pos) GROUP BY 1)
 SELECT round((SELECT avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality = 0) FROM r), 4) AS effect, round(quantile_cont(diff, 0.025), 4) AS ci_lower,
   round(quantile_cont(diff, 0.975), 4) AS ci_upper, round(stddev_samp(diff), 4) AS se FROM m"""
@@ -221,7 +222,7 @@ SELECT round((SELECT avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (qu
 @query("bootstrap_mean_difference", BOOT)
 def bootstrap_mean_difference(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", F.col("quality").cast("string").alias("q")), "doc_id")
-    return rounded(RS.bootstrap_mean_difference(rows, [], "q", "n_chars", "1", "0", "doc_id", draws=200), digits=4)
+    return rounded(RS.bootstrap_mean_difference(rows, [], "q", "n_chars", "1", "0", "doc_id"), digits=4)
 
 
 def controls(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -233,20 +234,65 @@ def controls(t: Tables) -> tuple[DataFrame, DataFrame]:
     return rows.where("l_quantity >= 45"), rows.where("l_quantity < 45")
 
 
-@query("matched_random_control")
+def _round_sql(x: str, r: int) -> str:
+    return f"(((k[{3 * r + 1}] * {x} % {PRIME} + k[{3 * r + 2}]) * {x} % {PRIME} + k[{3 * r + 3}]) % {PRIME})"
+
+
+def draws_sql(requests: str, key: str, seed: int, text: str, iterations: int) -> str:
+    """CTE bodies ``ready`` and ``walk``: places l * b + r + 1 of a keyed permutation; ``requests`` has key, n and w."""
+    turned = "SELECT * FROM walk WHERE step = 0 OR l * b + r >= n"
+    for j in range(0, ROUNDS, 2):
+        turned = f"SELECT * EXCLUDE (l), (l + {_round_sql('r', j)}) % a AS l FROM ({turned})"
+        turned = f"SELECT * EXCLUDE (r), (r + {_round_sql('l', j + 1)}) % b AS r FROM ({turned})"
+    return f"""ready AS (SELECT *, (n + a - 1) // a AS b FROM (SELECT {key}, n, w, it, ceil(sqrt(n::DOUBLE))::BIGINT AS a,
+    list_transform(range(0, {3 * ROUNDS}), lambda i: ('0x' || substr(md5('{seed}|' || {text} || '|' || it || '|' || (i // 3)), (1 + 8 * (i % 3))::BIGINT, 8))::BIGINT % {PRIME}) AS k
+    FROM {requests}, range(1, {iterations + 1}) t(it))),
+  walk AS (SELECT *, slot // b AS l, slot % b AS r, 0 AS step FROM (SELECT *, unnest(range(0, least(w, n))) AS slot FROM ready)
+    UNION ALL SELECT * EXCLUDE (l, r, step), l, r, step + 1 FROM ({turned}))"""
+
+
+CONTROL_ROWS = """rows AS (SELECT site, member, v.grp AS grp, v.effect AS effect, v.l_quantity AS l_quantity FROM (SELECT s_nationkey AS site, l_orderkey * 10 + l_linenumber AS member,
+    min({'grp': l_returnflag, 'effect': l_discount - 0.05, 'l_quantity': l_quantity}) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)),
+  seen AS (SELECT * FROM rows WHERE l_quantity >= 45), pool AS (SELECT * FROM rows WHERE l_quantity < 45)"""
+NULL_SQL = """count(random) AS n_random, round(avg(random), 6) AS null_mean, round(median(random), 6) AS null_median, round(quantile_cont(random, 0.025), 6) AS null_ci_lower,
+  round(quantile_cont(random, 0.975), 6) AS null_ci_upper, round(stddev_samp(random), 6) AS null_sd, round((any_value(observed) - avg(random)) / nullif(stddev_samp(random), 0), 6) AS z,
+  (count(*) FILTER (round(random, 12) >= round(observed, 12)) + 1) / (count(random) + 1) AS p_greater, (count(*) FILTER (round(random, 12) <= round(observed, 12)) + 1) / (count(random) + 1) AS p_less"""
+Q_SQL = "least(1, min(raw) OVER (ORDER BY p_greater DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+MATCHED = f"""WITH RECURSIVE {CONTROL_ROWS},
+  want AS (SELECT site, count(*) AS w, avg(effect) AS observed FROM seen GROUP BY 1),
+  req AS (SELECT site, (SELECT count(*) FROM pool p WHERE p.site = want.site) AS n, w, observed FROM want WHERE w >= 3 AND n >= w),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY member) AS place FROM pool),
+  {draws_sql('req', 'site', 42, 'site', 100)},
+  null_means AS (SELECT site, it, avg(effect) AS random FROM walk JOIN placed USING (site) WHERE step > 0 AND l * b + r < walk.n AND place = l * b + r + 1 GROUP BY 1, 2),
+  t AS (SELECT site, any_value(w) AS n_targets, round(any_value(observed), 6) AS observed_mean, {NULL_SQL} FROM req JOIN null_means USING (site) GROUP BY site),
+  q AS (SELECT *, p_greater * count(*) OVER () / count(*) OVER (ORDER BY p_greater) AS raw FROM t)
+SELECT * EXCLUDE (raw) REPLACE (round(p_greater, 6) AS p_greater, round(p_less, 6) AS p_less), round({Q_SQL}, 6) AS empirical_q FROM q"""
+POOLED = f"""{CONTROL_ROWS},
+  want AS (SELECT grp, site, count(*) AS w FROM seen GROUP BY ALL),
+  req AS (SELECT grp, site, (SELECT count(*) FROM pool p WHERE p.site = want.site AND p.grp = want.grp) AS n, w FROM want WHERE w >= 3 AND n >= w),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY grp, site ORDER BY member) AS place FROM pool),
+  {draws_sql('req', 'grp, site', 42, "grp || '|' || site", 100)},
+  means AS (SELECT grp, it, avg(effect) AS random, count(*) AS n_random_values FROM walk JOIN placed USING (grp, site) WHERE step > 0 AND l * b + r < walk.n AND place = l * b + r + 1 GROUP BY 1, 2)"""
+
+
+@query("matched_random_control", MATCHED)
 def matched_random_control(t: Tables) -> DataFrame:
     seen, background = controls(t)
     return rounded(RS.matched_random_control(seen, background, ["site"], "effect", "member"))
 
 
-@query("pooled_random_control")
+@query("pooled_random_control", f"""WITH RECURSIVE {POOLED},
+  obs AS (SELECT grp, avg(effect) AS observed, count(*) AS n_observed_values FROM seen GROUP BY 1),
+  t AS (SELECT grp, round(any_value(observed), 6) AS observed_global_mean, any_value(n_observed_values) AS n_observed_values, {NULL_SQL} FROM obs JOIN means USING (grp) GROUP BY grp),
+  q AS (SELECT *, p_greater * count(*) OVER () / count(*) OVER (ORDER BY p_greater) AS raw FROM t)
+SELECT * EXCLUDE (raw) REPLACE (round(p_greater, 6) AS p_greater, round(p_less, 6) AS p_less), round({Q_SQL}, 6) AS empirical_q FROM q""")
 def pooled_random_control(t: Tables) -> DataFrame:
     seen, background = controls(t)
     _, _, summary = RS.pooled_random_control(seen, background, ["grp"], ["site"], "effect", "member")
     return rounded(summary)
 
 
-@query("random_global_means")
+@query("random_global_means", f"""WITH RECURSIVE {POOLED} SELECT grp, it AS iteration, round(random, 6) AS random_global_mean, n_random_values FROM means""")
 def random_global_means(t: Tables) -> DataFrame:
     seen, background = controls(t)
     _, means, _ = RS.pooled_random_control(seen, background, ["grp"], ["site"], "effect", "member")
@@ -265,6 +311,25 @@ def observed_vs_random(t: Tables) -> DataFrame:
     return rounded(RS.observed_vs_random(t.lineitem, ["l_linenumber", "l_returnflag"], "l_linestatus", "l_discount", "F", "O", ["l_linenumber"]))
 
 
+LABELLED = """lab AS (SELECT coalesce(lang, 'none') AS lang, quality::VARCHAR AS q, d.doc_id, n_chars FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)"""
+
+
+@query("observed_against_random", f"""WITH {LABELLED}, us AS {rank_sum_sql('lab', 'lang', 'q', 'n_chars', '1', '0')}, {U_P},
+m AS (SELECT lang, count(*) FILTER (q = '1') AS n_observed, count(*) FILTER (q = '0') AS n_random, avg(n_chars) FILTER (q = '1') - avg(n_chars) FILTER (q = '0') AS d FROM lab GROUP BY 1 HAVING n_observed > 0 AND n_random > 0),
+r AS (SELECT lang, q, n_chars, row_number() OVER w AS pos, count(*) OVER (PARTITION BY lang, q) AS n FROM lab JOIN m USING (lang) WHERE n_observed >= 3 AND n_random >= 3 WINDOW w AS (PARTITION BY lang, q ORDER BY doc_id)),
+sz AS (SELECT DISTINCT lang, q, n FROM r),
+dr AS (SELECT lang, q, it, ('0x' || substr(md5('42|' || lang || '|' || q || '|' || it || '|' || slot), 1, 12))::BIGINT % n + 1 AS pos FROM sz, range(1, 2001) i(it), LATERAL (SELECT unnest(range(1, n + 1)) AS slot)),
+bm AS (SELECT lang, it, avg(n_chars) FILTER (q = '1') - avg(n_chars) FILTER (q = '0') AS diff FROM dr JOIN r USING (lang, q, pos) GROUP BY 1, 2),
+bs AS (SELECT lang, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, stddev_samp(diff) AS se FROM bm GROUP BY 1)
+SELECT lang, n_observed, n_random, CASE WHEN se IS NOT NULL THEN round(d, 4) END AS mean_difference, round(lo, 4) AS difference_ci_lower, round(hi, 4) AS difference_ci_upper, round(se, 4) AS difference_se,
+  CASE WHEN se IS NOT NULL THEN round(above, 4) END AS p_value FROM m LEFT JOIN ps USING (lang) LEFT JOIN bs USING (lang)""")
+def observed_against_random(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", "n_chars").join(
+        t.labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("string").alias("q")), "doc_id")
+    out = RS.observed_against_random(rows, ["lang"], "q", "n_chars", "1", "0", "doc_id")
+    return rounded(out.select("lang", "n_observed", "n_random", "mean_difference", "difference_ci_lower", "difference_ci_upper", "difference_se", "p_value"), digits=4)
+
+
 def cluster_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Returned items of a customer nation as cluster, the nation's other orders as pool."""
     rows = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(
@@ -273,18 +338,51 @@ def cluster_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     return ranked.where("o_orderstatus = 'P'"), ranked.where("o_orderstatus <> 'P'")
 
 
-@query("cluster_draw_test")
+CLUSTER = """ranked AS (SELECT c_nationkey AS cluster, o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey) AS rk
+    FROM orders JOIN customer ON o_custkey = c_custkey),
+  pool AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rk) AS place, count(*) OVER (PARTITION BY cluster) AS n FROM ranked WHERE o_orderstatus <> 'P'),
+  req AS (SELECT cluster, count(*) AS w, max(o_totalprice) AS max_score, min(rk) AS best_rank, (SELECT count(*) FROM pool p WHERE p.cluster = ranked.cluster) AS n FROM ranked WHERE o_orderstatus = 'P' GROUP BY 1 HAVING n >= w),
+  beyond AS (SELECT cluster, place, o_totalprice, rk, CASE WHEN place > req.n - w THEN 0 ELSE exp(lgamma(req.n - place + 1) - lgamma(req.n - place - w + 1) - lgamma(req.n + 1) + lgamma(req.n - w + 1)) END AS s
+    FROM pool JOIN req USING (cluster) WHERE place <= req.n - w + 1),
+  drawn AS (SELECT cluster, it, 1 - ('0x' || substr(md5('44|' || cluster || '|' || it), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM req, range(1, {draws}) t(it)),
+  best AS (SELECT d.cluster, it, o_totalprice AS random_max, rk AS random_best_rank FROM drawn d ASOF JOIN beyond b ON d.cluster = b.cluster AND d.u >= b.s)""".replace("{draws}", str(PERMUTATIONS + 1))
+RANK_NULL = """SELECT cluster, (count(*) FILTER (random_best_rank <= best_rank) + 1) / (count(*) + 1) AS rank_p_less, avg(random_best_rank) AS null_mean_best_rank, median(random_best_rank) AS null_median_best_rank,
+    quantile_cont(random_best_rank, 0.025) AS best_rank_ci_lower, quantile_cont(random_best_rank, 0.975) AS best_rank_ci_upper FROM req JOIN best USING (cluster) GROUP BY cluster"""
+
+
+@query("cluster_draw_test", f"""WITH {CLUSTER},
+  t AS (SELECT cluster, any_value(w) AS n_sites, round(any_value(max_score), 6) AS max_score, any_value(best_rank) AS best_rank, {NULL_SQL}
+    FROM (SELECT *, max_score AS observed, random_max AS random FROM req JOIN best USING (cluster)) GROUP BY cluster),
+  q AS (SELECT *, p_greater * count(*) OVER () / count(*) OVER (ORDER BY p_greater) AS raw FROM t), r AS ({RANK_NULL})
+SELECT q.* EXCLUDE (raw) REPLACE (round(p_greater, 6) AS p_greater, round(p_less, 6) AS p_less), round({Q_SQL}, 6) AS empirical_q, round(rank_p_less, 6) AS rank_p_less, round(null_mean_best_rank, 6) AS null_mean_best_rank,
+  null_median_best_rank, round(best_rank_ci_lower, 6) AS best_rank_ci_lower, round(best_rank_ci_upper, 6) AS best_rank_ci_upper FROM q JOIN r USING (cluster)""")
 def cluster_draw_test(t: Tables) -> DataFrame:
     clusters, pool = cluster_rows(t)
     return rounded(RS.cluster_draw_test(clusters, pool, ["cluster"], "o_totalprice", "rank_in_group", "o_orderkey", PERMUTATIONS, 44))
 
 
-@query("cluster_draw_null")
+HITS = ", ".join(f"avg(CASE WHEN {{r}} <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate_{k}" for k in (1, 5, 10))
+
+
+@query("cluster_draw_null", f"""WITH {CLUSTER}, m AS (SELECT it AS iteration, avg(random_max) AS mean_max_score, {HITS.format(r='random_best_rank')} FROM best GROUP BY it)
+SELECT iteration, round(mean_max_score, 6) AS mean_max_score, round(hit_rate_1, 6) AS hit_rate_1, round(hit_rate_5, 6) AS hit_rate_5, round(hit_rate_10, 6) AS hit_rate_10 FROM m""")
 def cluster_draw_null(t: Tables) -> DataFrame:
     clusters, pool = cluster_rows(t)
     return rounded(RS.cluster_draw_null(clusters, pool, ["cluster"], "o_totalprice", "rank_in_group", "o_orderkey", [1, 5, 10], PERMUTATIONS, 44))
 
 
+@query("cluster_hit_test", f"""WITH {CLUSTER}, m AS (SELECT it, avg(random_max) AS mean_max_score, {HITS.format(r='random_best_rank')} FROM best GROUP BY it),
+  o AS (SELECT count(*) AS n_clusters, avg(max_score) AS mean_max_score, {HITS.format(r='best_rank')} FROM req),
+  mm AS (UNPIVOT m ON mean_max_score, hit_rate_1, hit_rate_5, hit_rate_10 INTO NAME metric VALUE random), oo AS (UNPIVOT o ON mean_max_score, hit_rate_1, hit_rate_5, hit_rate_10 INTO NAME metric VALUE observed),
+  t AS (SELECT metric, any_value(n_clusters) AS n_clusters, round(any_value(observed), 6) AS observed, {NULL_SQL} FROM oo JOIN mm USING (metric) GROUP BY metric),
+  q AS (SELECT metric, min(raw) OVER (ORDER BY p_greater DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM
+    (SELECT metric, p_greater, p_greater * count(*) OVER () / count(*) OVER (ORDER BY p_greater) AS raw FROM t WHERE metric <> 'mean_max_score'))
+SELECT t.* REPLACE (round(p_greater, 6) AS p_greater, round(p_less, 6) AS p_less), CASE WHEN metric <> 'mean_max_score' THEN round(p_greater, 6) END AS rate_p, CASE WHEN q IS NOT NULL THEN round(least(1, q), 6) END AS q_value FROM t LEFT JOIN q USING (metric)""")
+def cluster_hit_test(t: Tables) -> DataFrame:
+    clusters, pool = cluster_rows(t)
+    return rounded(RS.cluster_hit_test(clusters, pool, ["cluster"], "o_totalprice", "rank_in_group", "o_orderkey", [1, 5, 10], PERMUTATIONS, 44))
+
+
 @query("random_reciprocal_rank", """SELECT c_nationkey, n, p, round(list_sum(list_transform(range(1, n - p + 2), lambda r:
   exp(lgamma(n - r + 1) - lgamma(p) - lgamma(n - r - p + 2) - lgamma(n + 1) + lgamma(p + 1) + lgamma(n - p + 1)) / r)), 6) AS expected
 FROM (SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_acctbal < 500) AS p FROM customer GROUP BY 1) WHERE p > 0""")

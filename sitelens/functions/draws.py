@@ -7,7 +7,7 @@ used, which every SQL engine has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,60 @@ def draw_index(n: str | Column, seed: int, *parts: str | int | Column) -> Column
 def draw_uniform(seed: int, *parts: str | int | Column) -> Column:
     """Uniform double in [0, 1)."""
     return draw_number(seed, *parts) / F.lit(float(2**48))
+
+
+#: Modulus of the round functions of ``permuted``; products of two residues stay below 2**62.
+PRIME = 2**31 - 1
+#: Rounds of the network; a multiple of 2. Pools of a dozen members need eight before all pairs of draws are equally likely.
+ROUNDS = 8
+
+
+def permutation_keys(n: str | Column, seed: int, *parts: str | int | Column) -> Column:
+    """What ``permuted`` needs of a permutation of 0..n-1: (n, a, b, k), the same for all its slots.
+
+    a * b is the smallest product of a near-square pair that is at least n; k holds, for each
+    round, three coefficients of a polynomial modulo ``PRIME``, so that its values at any three places are independent.
+    """
+    n = (F.col(n) if isinstance(n, str) else n).cast("bigint")
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
+    b = F.floor((n + a - 1) / a).cast("bigint")
+    keys = [draw_key(seed, *parts, r) for r in range(ROUNDS)]
+    k = F.array(*[F.conv(F.substring(key, 1 + 8 * i, 8), 16, 10).cast("bigint") % PRIME for key in keys for i in range(3)])
+    return F.struct(n.alias("n"), a.alias("a"), b.alias("b"), k.alias("k"))
+
+
+def _round(k: Column, r: int, x: Column) -> Column:
+    return ((k[3 * r] * x % PRIME + k[3 * r + 1]) * x % PRIME + k[3 * r + 2]) % PRIME
+
+
+def permuted(df: DataFrame, index: str, keys: str, out: str) -> DataFrame:
+    """Add ``out``: the place of ``index`` (0..n-1) in the keyed permutation that ``permutation_keys`` described.
+
+    An unbalanced Feistel network on pairs (l, r) below (a, b); a pair that stands for a
+    number of n or more is sent round again, which happens about once in sqrt(n). Different
+    indexes get different places.
+    """
+    n, a, b, k = (F.col(f"{keys}.{c}") for c in "nabk")
+    df = df.withColumn("_l", F.floor(F.col(index) / b).cast("bigint")).withColumn("_r", F.col(index) % b)
+    for r in range(0, ROUNDS, 2):
+        df = df.withColumn("_l", (F.col("_l") + _round(k, r, F.col("_r"))) % a)
+        df = df.withColumn("_r", (F.col("_r") + _round(k, r + 1, F.col("_l"))) % b)
+
+    def again(state: Column, _: Column) -> Column:
+        """One round; a place that is small enough stays where it is."""
+        left, right, i = state["l"], state["r"], state["i"]
+        at = 3 * (i % ROUNDS)
+        x = F.when(i % 2 == 0, right).otherwise(left)
+        f = ((F.get(k, at) * x % PRIME + F.get(k, at + 1)) * x % PRIME + F.get(k, at + 2)) % PRIME
+        moved = F.struct(
+            F.when(i % 2 == 0, (left + f) % a).otherwise(left).alias("l"), F.when(i % 2 == 0, right).otherwise((right + f) % b).alias("r"), (i + 1).alias("i")
+        )
+        return F.when((i % ROUNDS == 0) & (left * b + right < n), state).otherwise(moved)
+
+    # The walk passes each of the a * b - n numbers that are too large at most once.
+    first = F.col("_l") * b + F.col("_r")
+    start = F.struct(F.col("_l").alias("l"), F.col("_r").alias("r"), F.lit(0).alias("i"))
+    walked = F.aggregate(F.sequence(F.lit(1).cast("bigint"), (a * b - n + 1) * ROUNDS), start, again)
+    place = F.when(first < n, first).otherwise(walked["l"] * b + walked["r"])
+    # Never null, and said so: a filter for nulls would be pushed below the rounds, which doubles it in each.
+    return df.withColumn(out, F.coalesce(place, F.lit(0).cast("bigint"))).drop("_l", "_r")

@@ -312,3 +312,40 @@ def fisher_tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, side: pd
 @F.pandas_udf(T.DoubleType())
 def random_reciprocal_rank(n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([expected_reciprocal_rank(*row) for row in zip(n, p)], dtype="float64")
+
+
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    """ln x! by Stirling's series at x + 9, carried back."""
+    y = x + 9.0
+    below = np.ones_like(y)
+    for k in range(1, 9):
+        below *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(below)
+
+
+def smallest_place(n: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Smallest of ``w`` places drawn without replacement out of 1..``n``, by inversion at ``u`` in [0, 1).
+
+    It is beyond r with probability C(n - r, w) / C(n, w); the answer is the first r for which that is at most 1 - u.
+    """
+    n, w = n.astype(np.int64), w.astype(np.int64)
+    low, high = np.ones_like(n), n - w + 1
+    limit = np.log1p(-u) - _log_factorial((n - w).astype(float)) + _log_factorial(n.astype(float))
+    while (low < high).any():
+        r = (low + high) // 2
+        rest = np.maximum(n - r, w).astype(float)
+        beyond = np.where(n - r >= w, _log_factorial(rest) - _log_factorial(rest - w), -np.inf)
+        enough = beyond <= limit
+        high = np.where(enough, r, high)
+        low = np.where(enough, low, np.minimum(r + 1, high))
+    return low
+
+
+def smallest_of_draw(n: Column, w: Column, u: Column) -> Column:
+    """``smallest_place`` on columns; one row is one draw."""
+
+    @F.pandas_udf(T.LongType())
+    def place(n: pd.Series, w: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(smallest_place(n.to_numpy(), w.to_numpy(), u.to_numpy()))
+
+    return place(n.cast("bigint"), w.cast("bigint"), u)

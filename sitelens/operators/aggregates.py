@@ -86,19 +86,34 @@ def joined_values(
     return distinct.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("_part")), separator).alias(out))
 
 
-def collapse_edges(edges: DataFrame, source: str, target: str, weight: str) -> DataFrame:
-    """One signed edge per pair: mean weight, edge and sign counts, conflict flag, regulation."""
-    grouped = (
-        edges.where(F.col(weight) != 0)
-        .groupBy(source, target)
-        .agg(
-            F.avg(weight).alias("mean_weight"),
-            F.count(F.lit(1)).alias("n_edges"),
-            F.countDistinct(F.signum(weight)).alias("n_signs"),
-        )
+def collapse_edges(
+    edges: DataFrame, source: str, target: str, weight: str, joined: Sequence[str] = (), order: str | None = None
+) -> DataFrame:
+    """One signed edge per pair of names: mean weight, edge and sign counts, conflict flag, regulation.
+
+    Names meet trimmed and in capitals; the edge shows the first spelling by
+    ``order`` (the least spelling without it). Edges without a name, and of
+    weight 0 or none, are left out. ``joined`` names ``;``-separated text columns
+    (resources, references, sign decisions) whose distinct parts are joined in
+    the order of their first appearance.
+    """
+    keys = ["_source", "_target"]
+    rows = edges.withColumn("_source", S.name_key(F.col(source).cast("string"))).withColumn("_target", S.name_key(F.col(target).cast("string")))
+    rows = rows.where((F.col(weight) != 0) & (F.col("_source") != "") & (F.col("_target") != ""))
+    first = (lambda c: F.min_by(c, order)) if order else F.min
+    grouped = rows.groupBy(*keys).agg(
+        first(source).alias(source),
+        first(target).alias(target),
+        F.avg(weight).alias("mean_weight"),
+        F.count(F.lit(1)).alias("n_edges"),
+        F.countDistinct(F.signum(weight)).alias("n_signs"),
     )
+    for c in joined:
+        texts = joined_values(rows, keys, c, "_text", order)
+        grouped = grouped.join(texts, keys, "left").withColumn(c, F.coalesce("_text", F.lit(""))).drop("_text")
     return (
-        grouped.withColumn("sign_conflict", F.col("n_signs") > 1)
+        grouped.drop(*keys)
+        .withColumn("sign_conflict", F.col("n_signs") > 1)
         .withColumn("sign", F.signum("mean_weight").cast("int"))
         .where(F.col("sign") != 0)
         .withColumn("regulation", F.when(F.col("sign") > 0, "activate").otherwise("repress"))

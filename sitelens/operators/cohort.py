@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import scalars as S
 from sitelens.operators.aggregates import matrix_row_stats
+from sitelens.operators.products import masked_product
 from sitelens.operators.ordered import SLICE, attach, lay_out, quantiles, row_rank, with_quantiles
 from sitelens.operators.rank_tests import (
     ols_coefficient,
@@ -161,12 +163,26 @@ def group_means(
 
     ``members`` (cohort, site, sample, side), ``targets`` (site, gene, extra
     columns such as regulation), ``expression`` (cohort, gene, sample, value).
+    Members and expression meet in tiles of a matrix product, so no row is made
+    for a (member, target) pair.
     """
-    pairs = members.join(targets, list(site), "inner")
-    joined = pairs.join(expression.select(*cohort, gene, sample, value), [*cohort, gene, sample], "inner")
-    return joined.groupBy(*cohort, *site, gene, *extra, "side").agg(
-        F.avg(value).alias("group_mean"), F.count(value).alias("n_samples")
+    cohort, site = list(cohort), list(site)
+    named, key = _one_name(members, site)
+    asked = named.select(*cohort, key).distinct().join(_one_name(targets, site)[0].select(key, gene).distinct(), key)
+    held = expression.select(*cohort, F.col(gene).alias("_gene"), F.col(sample).alias("_sample"), F.col(value).alias("_value"))
+    cells = masked_product(
+        named.select(*cohort, key, F.col(sample).alias("_sample"), "side"), held, asked.withColumnRenamed(gene, "_gene"),
+        cohort, key, "_sample", "_gene", "_value", "side", ["low", "high"],
     )
+    means = cells.select(*cohort, key, F.col("_gene").alias(gene), "side", (F.col("total") / F.col("n")).alias("group_mean"), F.col("n").alias("n_samples"))
+    extras = _one_name(targets.select(*site, gene, *extra).distinct(), site)[0]
+    return means.join(extras, [key, gene]).select(*cohort, *site, gene, *extra, "side", "group_mean", "n_samples")
+
+
+def _one_name(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, str]:
+    """The table with the columns' values as one column: themselves if there is one, their JSON otherwise."""
+    own = F.col(columns[0]) if len(columns) == 1 else F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return df.withColumn("_name", own), "_name"
 
 
 def high_low_pairs(points: DataFrame, keys: Sequence[str], side: str = "side", value: str = "group_mean") -> DataFrame:
@@ -274,15 +290,26 @@ def regulator_activity(
 
     ``by`` names further columns of ``targets``, as the direction, that are kept apart. One side alone counts as it is (or negated) when the other is empty.
     """
-    z = row_zscore(expression, [*cohort, gene], value, "_z").select(*cohort, gene, sample, "_z")
-    pairs = members.join(targets.select(*site, *by, gene, regulation).distinct(), list(site), "inner")
-    joined = pairs.join(z, [*cohort, gene, sample], "inner")
-    act, rep = F.col(regulation) == "activate", F.col(regulation) == "repress"
-    out = joined.groupBy(*cohort, *site, *by, sample, "side").agg(
-        F.avg(F.when(act, F.col("_z"))).alias("positive_score"),
-        F.avg(F.when(rep, F.col("_z"))).alias("negative_score"),
-        F.count_if(act).alias("n_positive_targets"),
-        F.count_if(rep).alias("n_negative_targets"),
+    cohort, site, by = list(cohort), list(site), list(by)
+    z = row_zscore(expression, [*cohort, gene], value, "_z").select(*cohort, F.col(gene).alias("_gene"), F.col(sample).alias("_sample"), F.col("_z").alias("_value"))
+    own = targets.select(*site, *by, gene, regulation).distinct()
+    wanted = members.select(*cohort, *site, sample, "side").join(own.select(*site, *by).distinct(), site)
+    named, key = _one_name(wanted, [*site, *by])
+    signs = _one_name(named.select(*cohort, *site, *by).distinct().join(own, [*site, *by]), [*site, *by])[0]
+    cells = masked_product(
+        signs.select(*cohort, key, F.col(gene).alias("_gene"), F.col(regulation).alias("_part")), z,
+        named.select(*cohort, key, F.col(sample).alias("_sample")).distinct(),
+        cohort, key, "_gene", "_sample", "_value", "_part", ["activate", "repress"],
+    )
+    act, rep = F.col("_part") == "activate", F.col("_part") == "repress"
+    sides = cells.groupBy(*cohort, key, F.col("_sample").alias(sample)).agg(
+        F.max(F.when(act, F.col("total") / F.col("n"))).alias("positive_score"),
+        F.max(F.when(rep, F.col("total") / F.col("n"))).alias("negative_score"),
+        F.coalesce(F.max(F.when(act, F.col("n_rows"))), F.lit(0)).alias("n_positive_targets"),
+        F.coalesce(F.max(F.when(rep, F.col("n_rows"))), F.lit(0)).alias("n_negative_targets"),
+    )
+    out = named.join(sides, [*cohort, key, sample]).select(
+        *cohort, *site, *by, sample, "side", "positive_score", "negative_score", "n_positive_targets", "n_negative_targets"
     )
     activity = (
         F.when((F.col("n_positive_targets") > 0) & (F.col("n_negative_targets") > 0),
@@ -331,10 +358,15 @@ def residual_expression(
 
 
 def adjusted_association(
-    rows: DataFrame, keys: Sequence[str], y: str, x: str, covariates: Sequence[str], fdr_keys: Sequence[str]
+    rows: DataFrame, keys: Sequence[str], y: str, x: str, covariates: Sequence[str], fdr_keys: Sequence[str], min_samples: int = 10
 ) -> DataFrame:
-    """Coefficient of the site value on the outcome with covariates, per key, with q."""
+    """Coefficient of the site value on the outcome with covariates, per key, with q.
+
+    Keys with fewer than ``min_samples`` complete rows keep their count; coefficient and p are NULL.
+    """
     fit = ols_coefficient(rows, keys, y, x, covariates)
+    enough = F.col("n_samples") >= min_samples
+    fit = fit.withColumn("coef", F.when(enough, F.col("coef"))).withColumn("p_value", F.when(enough, F.col("p_value")))
     return benjamini_hochberg(fit, fdr_keys, "p_value").withColumn("stars", S.stars("q_value"))
 
 
@@ -349,21 +381,65 @@ def abundance_diagnostic(rows: DataFrame, keys: Sequence[str], value: str, abund
     return attach(test, rho, keys).withColumn("higher_in_high", F.col("delta") > 0)
 
 
-def robustness_summary(base: DataFrame, parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Left joins of the analysis parts with flags for p < 0.05 and a confounding flag.
+def abundance_diagnostics(rows: DataFrame, keys: Sequence[str], value: str, abundances: Sequence[str], min_n: int = 3) -> DataFrame:
+    """``abundance_diagnostic`` of several abundances side by side: <name>_mean_low, _mean_high, _p, _rho, _higher_in_high."""
+    out = None
+    for name in abundances:
+        one = abundance_diagnostic(rows.where(F.col(name).isNotNull()), keys, value, name, min_n).select(
+            *keys,
+            F.col("mean_low").alias(f"{name}_mean_low"),
+            F.col("mean_high").alias(f"{name}_mean_high"),
+            F.col("p_value").alias(f"{name}_p"),
+            F.col("rho").alias(f"{name}_rho"),
+            F.col("higher_in_high").alias(f"{name}_higher_in_high"),
+        )
+        out = one if out is None else out.join(one, list(keys), "full")
+    return out
+
 
-    Every part has the keys and ``p_value``; the part named ``abundance`` is
-    evidence of confounding, all others are support.
+def robustness_summary(
+    base: DataFrame,
+    keys: Sequence[str],
+    diagnostics: DataFrame | None = None,
+    abundances: Sequence[str] = (),
+    ratio: DataFrame | None = None,
+    adjusted_targets: DataFrame | None = None,
+    adjusted_activity: DataFrame | None = None,
+    gene: str = "gene",
+) -> DataFrame:
+    """Left joins of the sensitivity parts to the sites; columns of a part that was not run are NULL, not false.
+
+    ``diagnostics`` as from ``abundance_diagnostics``; ``ratio`` and
+    ``adjusted_targets`` may have several rows a site (regulations, targets).
+    A site is flagged where an abundance differs between its sides at p < 0.05.
     """
-    out = base
-    for name, table in parts.items():
-        out = out.join(table.select(*keys, F.col("p_value").alias(f"{name}_p")), list(keys), "left")
-        out = out.withColumn(f"{name}_significant", F.coalesce(F.col(f"{name}_p") < 0.05, F.lit(False)))
-    support = [F.col(f"{n}_significant").cast("int") for n in parts if n != "abundance"]
-    out = out.withColumn("n_support", sum(support[1:], support[0]) if support else F.lit(0))
-    if "abundance" in parts:
-        out = out.withColumn("possible_confounding", F.col("abundance_significant"))
-    return out
+    keys, out = list(keys), base
+    if diagnostics is not None:
+        out = out.join(diagnostics, keys, "left")
+    if ratio is not None:
+        site = ratio.groupBy(*keys).agg(
+            F.avg("mean_directional").alias("ratio_mean_directional"), F.min("p_value").alias("ratio_p"), F.min("q_value").alias("ratio_q")
+        )
+        out = out.join(site, keys, "left")
+    if adjusted_targets is not None:
+        site = adjusted_targets.groupBy(*keys).agg(
+            F.countDistinct(gene).alias("n_adjusted_targets"),
+            F.avg("directional_coef").alias("mean_directional_coef"),
+            F.avg(F.coalesce(F.col("p_value") < 0.05, F.lit(False)).cast("double")).alias("share_adjusted_significant"),
+        )
+        out = out.join(site, keys, "left")
+    if adjusted_activity is not None:
+        out = out.join(adjusted_activity.select(*keys, F.col("coef").alias("activity_coef"), F.col("p_value").alias("activity_p")), keys, "left")
+    flag = lambda c: F.coalesce(F.col(c) < 0.05, F.lit(False))
+    missing = F.lit(None).cast("boolean")
+    confounded = [flag(f"{n}_p") for n in abundances] if diagnostics is not None else []
+    return out.withColumns(
+        {
+            "ratio_significant": flag("ratio_p") if ratio is not None else missing,
+            "activity_significant": flag("activity_p") if adjusted_activity is not None else missing,
+            "possible_confounding": reduce(lambda a, b: a | b, confounded) if confounded else missing,
+        }
+    )
 
 
 def site_status(

@@ -19,7 +19,7 @@ from sitelens.operators.clean import InvalidInput
 from sitelens.operators.metrics import ranking_metrics
 from sitelens.operators.aggregates import close_relative
 from sitelens.operators.ordered import is_small, quantiles
-from sitelens.operators.rank_tests import rank_sum_test
+from sitelens.operators.rank_tests import fisher_test, rank_sum_test, two_by_two
 from sitelens.operators.ranking import top_per_group
 
 # Column prefixes of the families, tried in this order.
@@ -539,6 +539,29 @@ def choose_features(df: DataFrame, label: str, columns: Sequence[str], below: fl
     return [c for c in columns if c in set(names)]
 
 
+def feature_records(long: DataFrame, feature: str, group: str, value: str, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row per feature: whether it is binary, and for each named pair of arms the two-sided p-value.
+
+    Binary features get Fisher's exact test, others the rank-sum test; a pair
+    with an empty arm has no p-value. Every row meets only the pairs its arm is in.
+    """
+    sides = [
+        F.when(F.col(group) == one, F.struct(F.lit(name).alias("pair"), F.lit("a").alias("side"))).when(
+            F.col(group) == other, F.struct(F.lit(name).alias("pair"), F.lit("b").alias("side"))
+        )
+        for name, (one, other) in pairs.items()
+    ]
+    kinds = long.groupBy(feature).agg(F.bool_and(F.col(value).isin(0.0, 1.0)).alias("is_binary"))
+    rows = long.select(feature, value, F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("_at")).select(feature, value, "_at.*")
+    keys = [feature, "pair"]
+    ranks = rank_sum_test(rows, keys, "side", value, "a", "b").select(*keys, F.col("p_value").alias("_rank"))
+    exact = fisher_test(two_by_two(rows, keys, F.col(value) == 1, F.col("side") == "a")).select(*keys, "a", "b", "c", "d", F.col("p_value").alias("_exact"))
+    both = kinds.join(exact.join(ranks, keys, "full"), feature)
+    full = (F.col("a") + F.col("c") > 0) & (F.col("b") + F.col("d") > 0)
+    p = F.when(F.col("is_binary"), F.when(full, F.col("_exact"))).otherwise(F.col("_rank"))
+    return both.groupBy(feature, "is_binary").agg(*[F.max(F.when(F.col("pair") == name, p)).alias(f"{name}_p") for name in pairs])
+
+
 def panel_choice(rank_tests: DataFrame, exact_tests: DataFrame, statistics: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Features for a panel: known differs from background and new is close to known; else all reasons, joined.
 

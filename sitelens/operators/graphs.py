@@ -61,24 +61,29 @@ def node_attributes(nodes: DataFrame, centre: str, aa: str = "aa", plddt: str =
 def node_edges(nodes: DataFrame, site: Sequence[str], radius: float, order: str = "resseq") -> DataFrame:
     """Ordered node pairs of a site within the radius or next to each other in the sequence.
 
-    Pairs come from two equi-joins, on neighbouring cells and on order +- 1. A
-    site without any pair gets one loop on its first node.
+    Nodes are numbered within their site by ``order``, then by x, y and z, so
+    nodes that share a residue number keep their own edges: (site, source_node,
+    target_node, source, target, scaled_distance, adjacent). Pairs come from two
+    equi-joins, on neighbouring cells and on order +- 1. A site without any pair
+    gets one loop on its first node.
     """
     keys = [*site]
-    left = nodes.select(*keys, F.col(order).alias("source"), *AXES)
-    right = nodes.select(*keys, F.col(order).alias("target"), *[F.col(a).alias(f"_t{a}") for a in AXES])
+    numbered = nodes.withColumn("_node", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *AXES)))
+    left = numbered.select(*keys, F.col("_node").alias("source_node"), F.col(order).alias("source"), *AXES)
+    right = numbered.select(*keys, F.col("_node").alias("target_node"), F.col(order).alias("target"), *[F.col(a).alias(f"_t{a}") for a in AXES])
     cells = [f"_c{a}" for a in AXES]
     targets = right.withColumns({f"_c{a}": F.floor(F.col(f"_t{a}") / F.lit(float(radius))) for a in AXES})
     by_space = _around(left, radius).join(targets, [*keys, *cells]).drop(*cells)
     steps = left.withColumn("target", F.explode(F.array(F.col("source") - 1, F.col("source") + 1)))
     by_order = steps.join(right, [*keys, "target"]).select(*by_space.columns)
-    pairs = by_space.unionByName(by_order).where(F.col("source") != F.col("target")).distinct()
+    pairs = by_space.unionByName(by_order).where(F.col("source_node") != F.col("target_node")).dropDuplicates([*keys, "source_node", "target_node"])
     square = sum(((F.col(a) - F.col(f"_t{a}")) * (F.col(a) - F.col(f"_t{a}")) for a in AXES[1:]),
                  (F.col("x") - F.col("_tx")) * (F.col("x") - F.col("_tx")))
     measured = pairs.withColumn("distance", F.sqrt(square)).withColumn(
         "adjacent", (F.abs(F.col("source") - F.col("target")) == 1).cast("int")
     ).where((F.col("distance") <= radius) | (F.col("adjacent") == 1))
-    edges = measured.select(*keys, "source", "target", (F.col("distance") / radius).alias("scaled_distance"), "adjacent")
-    lonely = nodes.groupBy(*keys).agg(F.min(order).alias("source")).join(edges.select(*keys).distinct(), keys, "left_anti")
-    loops = lonely.select(*keys, "source", F.col("source").alias("target"), F.lit(0.0).alias("scaled_distance"), F.lit(0).alias("adjacent"))
+    edges = measured.select(*keys, "source_node", "target_node", "source", "target", (F.col("distance") / radius).alias("scaled_distance"), "adjacent")
+    lonely = numbered.where("_node = 1").select(*keys, F.col(order).alias("source")).join(edges.select(*keys).distinct(), keys, "left_anti")
+    one = F.lit(1)
+    loops = lonely.select(*keys, one.alias("source_node"), one.alias("target_node"), "source", F.col("source").alias("target"), F.lit(0.0).alias("scaled_distance"), F.lit(0).alias("adjacent"))
     return edges.unionByName(loops)

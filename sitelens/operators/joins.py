@@ -167,10 +167,11 @@ def sites_with_regulator(sites: DataFrame, genes: DataFrame, gene: str, name: st
 def supported_targets(
     edges: DataFrame, evidence: DataFrame | None, source: str, target: str
 ) -> DataFrame:
-    """Signed edges, kept where the evidence names the same pair."""
+    """Signed edges, kept where the evidence names the same pair; names meet trimmed and in capitals."""
     if evidence is None:
         return edges
-    return edges.join(evidence.select(source, target).distinct(), [source, target], "left_semi")
+    names = {"_source": S.name_key(F.col(source).cast("string")), "_target": S.name_key(F.col(target).cast("string"))}
+    return edges.withColumns(names).join(evidence.select(*[c.alias(n) for n, c in names.items()]).distinct(), list(names), "left_semi").drop(*names)
 
 
 def targets_to_genes(

@@ -1,20 +1,23 @@
 """Random controls, permutation nulls and bootstrap as joins on drawn positions.
 
 A control draws positions 1..N of its pool instead of pairing every request
-with every member, so its size is the number of drawn rows. Draws are hashes
-of the request's key, the iteration and the slot.
+with every member, so its size is the number of drawn rows. Draws are functions
+of the request's key, the iteration and the slot: hashes with replacement, places
+of a keyed permutation without. Where only the best of a draw counts, its place is
+sampled directly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import scalars as S
-from sitelens.functions.draws import draw_index, draw_number
-from sitelens.operators.ordered import HOT_ROWS, HOT_ROWS_KEY, attach, is_small, quantiles, row_rank
+from sitelens.functions.draws import draw_index, draw_uniform, permutation_keys, permuted
+from sitelens.functions.tails import smallest_of_draw
+from sitelens.operators.ordered import attach, quantiles, row_rank
 from sitelens.operators.rank_tests import two_group_test
 from sitelens.operators.ranking import benjamini_hochberg
 
@@ -37,19 +40,18 @@ def draw_positions(
     iterations: int,
     seed: int,
     replace: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``want`` positions out of 1..``size`` for each request and iteration.
 
-    Without replacement, repeats of a position are thrown away and the first
-    ``want`` distinct ones are kept. About as many draws are made as are needed
-    on average and a third more; the rare request that is still short gets a
-    fresh sample by ranking all its positions, so every sample is exact and
-    uniform. A request for more than the pool holds gets the whole pool.
+    Without replacement, slot s gets the s-th place of a permutation of the pool
+    that is keyed by request and iteration, so positions are distinct without
+    being compared. A request for more than the pool holds gets the whole pool.
+    ``keep`` names further columns of the requests to carry.
     """
     keys = list(keys)
     base = requests.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)).cast("array<bigint>")))
-    # Requests are few and their draws many: spread the requests by the key that the
-    # steps below group on, so that the drawn rows themselves are not shuffled.
+    # Requests are few and their draws many: spread the requests before they are expanded.
     parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = base.repartition(parts, *keys, "iteration")
     n, w = F.col(size).cast("bigint"), F.col(want).cast("bigint")
@@ -57,42 +59,10 @@ def draw_positions(
         return _slots(base.where(n > 0), w).withColumn(
             "position", draw_index(n, seed, *keys, "iteration", "slot")
         )
-    ids = [*keys, "iteration"]
-    whole_pool = w >= n
-    tries = F.ceil(1.3 * F.greatest(n * F.log(n / (n - w + 1.0)), w.cast("double")) + 20)
-    base = base.where((n > 0) & (w > 0)).withColumn("_tries", F.when(whole_pool, n).otherwise(tries).cast("bigint"))
-    drawn = _slots(base, F.col("_tries")).withColumn(
-        "position",
-        F.when(whole_pool, F.col("slot")).otherwise(draw_index(n, seed, *keys, "iteration", "slot")),
-    )
-    first = drawn.groupBy(*ids, size, want, "position").agg(F.min("slot").alias("slot"))
-    if _long_samples(requests, want):
-        ranked = row_rank(first, ids, "slot", "slot", "_place", size="_found", ascending=True, growth=iterations)
-    else:
-        one = Window.partitionBy(*ids)
-        ranked = first.withColumn("_place", F.row_number().over(one.orderBy("slot"))).withColumn(
-            "_found", F.count(F.lit(1)).over(one)
-        )
-    enough = F.col("_found") >= F.least(w, n)
-    used = ranked.where((enough & (F.col("_place") <= w)) | (~enough & (F.col("_place") == 1)))
-    # The rare short sample is replaced by a ranking of its whole pool.
-    spread = used.withColumn("_short", ~enough).withColumn(
-        "position", F.explode(F.when(enough, F.array("position")).otherwise(F.sequence(F.lit(1).cast("bigint"), n)))
-    )
-    redraw = F.row_number().over(
-        Window.partitionBy(*ids, "_short").orderBy(draw_number(seed + 1, *keys, "iteration", "position"), "position")
-    )
-    kept = spread.withColumn("_again", redraw).where(~F.col("_short") | (F.col("_again") <= w))
-    return kept.select(*ids, size, want, "slot", "position")
-
-
-def _long_samples(requests: DataFrame, want: str) -> bool:
-    """Whether a single sample may be too long for one task; looks only when the input is large."""
-    if is_small(requests):
-        return False
-    limit = int(requests.sparkSession.conf.get(HOT_ROWS_KEY, str(HOT_ROWS)))
-    longest = requests.agg(F.max(want)).first()[0]
-    return longest is not None and longest >= limit
+    base = base.where((n > 0) & (w > 0)).withColumn("_keys", permutation_keys(n, seed, *keys, "iteration"))
+    slots = _slots(base, F.least(w, n)).withColumn("_index", F.col("slot") - 1)
+    drawn = permuted(slots, "_index", "_keys", "_place").withColumn("position", F.coalesce(F.col("_place") + 1, F.lit(0).cast("bigint")))
+    return drawn.select(*keys, "iteration", size, want, *keep, "slot", "position")
 
 
 def repeated_draws(
@@ -106,11 +76,37 @@ def repeated_draws(
     replace: bool = False,
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Members of ``population`` (with a ``position`` in their pool) drawn for each request."""
+    """Members of ``population`` (with a ``position`` in their pool) drawn for each request.
+
+    The drawn rows are merged, never broadcast: the size check does not see how
+    many rows come out of a request.
+    """
     pool = list(pool)
     keys = list(pool if keys is None else keys)
     drawn = draw_positions(requests.select(*dict.fromkeys([*keys, *pool]), size, want), list(dict.fromkeys([*keys, *pool])), size, want, iterations, seed, replace)
-    return drawn.join(population, [*pool, "position"], "inner")
+    return drawn.hint("merge").join(population, [*pool, "position"], "inner")
+
+
+def best_of_draws(
+    requests: DataFrame, pool: DataFrame, keys: Sequence[str], size: str, want: str, score: str, rank: str, member: str, draws: int, seed: int
+) -> DataFrame:
+    """(keys, iteration, random_max, random_best_rank): the best row of ``want`` drawn without replacement, per draw.
+
+    Only the best place of the draw is sampled, as an order statistic: places
+    1..size are the pool in the order of ``rank``, and of w places out of n the
+    smallest is beyond r with probability C(n - r, w) / C(n, w). ``rank`` must put
+    the pool in falling order of ``score``. One row per request and draw is made.
+    """
+    keys = list(keys)
+    numbered = row_rank(pool.select(*keys, member, score, rank), keys, rank, member, "position", ascending=True)
+    base = requests.select(*keys, size, want).where((F.col(want) > 0) & (F.col(size) >= F.col(want)))
+    base = base.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(draws)).cast("array<bigint>")))
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u = draw_uniform(seed, *keys, "iteration")
+    drawn = base.repartition(parts, *keys, "iteration").withColumn("position", smallest_of_draw(F.col(size), F.col(want), u))
+    # Few of the pool's places come up: each is looked up once.
+    met = drawn.groupBy(*keys, "position").agg(F.collect_list("iteration").alias("_draws")).hint("merge").join(numbered, [*keys, "position"])
+    return met.select(*keys, F.explode("_draws").alias("iteration"), F.col(score).alias("random_max"), F.col(rank).alias("random_best_rank"))
 
 
 def number_pool(df: DataFrame, pool: Sequence[str], tie: str) -> DataFrame:
@@ -153,10 +149,15 @@ def matched_random_control(
 def summarize_null(
     observed: DataFrame, null: DataFrame, keys: Sequence[str], value: str, random: str, q: str = "empirical_q"
 ) -> DataFrame:
-    """Null mean, median, deviation, z and empirical one-sided p of an observed value, with FDR.
+    """As ``null_statistics``, with FDR over all rows."""
+    return benjamini_hochberg(null_statistics(observed, null, keys, value, random), [], "p_greater", q)
+
+
+def null_statistics(observed: DataFrame, null: DataFrame, keys: Sequence[str], value: str, random: str) -> DataFrame:
+    """Null mean, median, interval, deviation, z and empirical one-sided p of an observed value.
 
     A null has one row per iteration, so its groups are as long as the number of
-    iterations.
+    iterations. Values are compared at 12 decimals, so that the order of a sum does not decide a tie.
     """
     keys = list(keys)
     joined = null.join(observed, keys) if keys else null.crossJoin(F.broadcast(observed))
@@ -168,16 +169,15 @@ def summarize_null(
         F.percentile(random, 0.025).alias("null_ci_lower"),
         F.percentile(random, 0.975).alias("null_ci_upper"),
         F.stddev_samp(random).alias("null_sd"),
-        F.count_if(F.col(random) >= F.col(value)).alias("_ge"),
-        F.count_if(F.col(random) <= F.col(value)).alias("_le"),
+        F.count_if(F.round(random, 12) >= F.round(value, 12)).alias("_ge"),
+        F.count_if(F.round(random, 12) <= F.round(value, 12)).alias("_le"),
     )
-    out = (
+    return (
         out.withColumn("z", S.ratio(F.col(value) - F.col("null_mean"), F.col("null_sd")))
         .withColumn("p_greater", (F.col("_ge") + 1) / (F.col("n_random") + 1))
         .withColumn("p_less", (F.col("_le") + 1) / (F.col("n_random") + 1))
         .drop("_ge", "_le")
     )
-    return benjamini_hochberg(out, [], "p_greater", q)
 
 
 def pooled_random_control(
@@ -257,6 +257,26 @@ def observed_vs_random(
     return benjamini_hochberg(wide, list(fdr_keys), "p_value")
 
 
+def observed_against_random(
+    values: DataFrame, keys: Sequence[str], source: str, value: str, observed: str, random: str, member: str,
+    fdr_keys: Sequence[str] = (), min_points: int = 3, draws: int = 2000, seed: int = 42,
+) -> DataFrame:
+    """``observed_vs_random`` with the bootstrapped difference of means, its interval and standard error.
+
+    Groups with fewer than ``min_points`` values on a side have neither p-value nor difference. ``member``
+    numbers the values of a side.
+    """
+    keys = list(keys)
+    rows = values.where(F.col(value).isNotNull())
+    sizes = rows.groupBy(*keys).agg(F.count_if(F.col(source) == observed).alias("_a"), F.count_if(F.col(source) == random).alias("_b"))
+    enough = sizes.where((F.col("_a") >= min_points) & (F.col("_b") >= min_points)).select(*keys)
+    tested = observed_vs_random(rows, keys, source, value, observed, random).drop("q_value")
+    spread = bootstrap_mean_difference(rows.join(enough, keys, "left_semi"), keys, source, value, observed, random, member, draws, seed)
+    spread = spread.withColumnsRenamed({"effect": "mean_difference", "ci_lower": "difference_ci_lower", "ci_upper": "difference_ci_upper", "se": "difference_se"})
+    out = attach(tested, spread, keys).withColumn("p_value", F.when(F.col("mean_difference").isNotNull(), F.col("p_value")))
+    return benjamini_hochberg(out, list(fdr_keys), "p_value")
+
+
 # --------------------------------------------------------- ranking validation
 
 
@@ -329,29 +349,41 @@ def permutation_summary(observed: DataFrame, null: DataFrame, ks: Sequence[int])
     return benjamini_hochberg(out.withColumn("recall_p", recall_p), [], "recall_p")
 
 
-def cluster_draw_test(
-    clusters: DataFrame, pool: DataFrame, cluster: Sequence[str], score: str, rank: str, member: str, draws: int, seed: int
-) -> DataFrame:
-    """Best score and best rank of each cluster against equal-sized picks of its background pool."""
-    cluster = list(cluster)
+def _cluster_requests(clusters: DataFrame, pool: DataFrame, cluster: list[str], score: str, rank: str) -> DataFrame:
+    """Size, best score and best rank of each cluster whose pool is large enough, with the pool's size."""
     seen = clusters.groupBy(*cluster).agg(
         F.count(F.lit(1)).alias("n_sites"), F.max(score).alias("max_score"), F.min(rank).alias("best_rank")
     )
-    numbered = number_pool(pool.select(*cluster, member, score, rank), cluster, member)
     sizes = pool.groupBy(*cluster).agg(F.count(F.lit(1)).alias("pool_size"))
-    requests = seen.join(sizes, cluster).where(F.col("pool_size") >= F.col("n_sites"))
-    drawn = repeated_draws(requests, numbered, cluster, "pool_size", "n_sites", draws, seed)
-    null = drawn.groupBy(*cluster, "iteration").agg(
-        F.max(score).alias("random_max"), F.min(rank).alias("random_best_rank")
+    return seen.join(sizes, cluster).where(F.col("pool_size") >= F.col("n_sites"))
+
+
+def cluster_draw_test(
+    clusters: DataFrame, pool: DataFrame, cluster: Sequence[str], score: str, rank: str, member: str, draws: int, seed: int
+) -> DataFrame:
+    """Best score and best rank of each cluster against equal-sized picks of its background pool.
+
+    ``rank`` orders the pool by falling score. The random best rank is given by mean, median and interval.
+    """
+    cluster = list(cluster)
+    requests = _cluster_requests(clusters, pool, cluster, score, rank)
+    null = best_of_draws(requests, pool, cluster, "pool_size", "n_sites", score, rank, member, draws, seed)
+    seen = requests.drop("pool_size")
+    long_null = null.unpivot([*cluster, "iteration"], [F.col("random_max").cast("double").alias("score"), F.col("random_best_rank").cast("double").alias("rank")], "_what", "_random")
+    long_seen = seen.withColumn("_observed", F.explode(F.array(
+        F.struct(F.lit("score").alias("_what"), F.col("max_score").cast("double").alias("_value")),
+        F.struct(F.lit("rank").alias("_what"), F.col("best_rank").cast("double").alias("_value")),
+    ))).select(*cluster, "n_sites", "max_score", "best_rank", "_observed.*")
+    both = null_statistics(long_seen, long_null, [*cluster, "_what"], "_value", "_random").drop("_value")
+    by_score = benjamini_hochberg(both.where("_what = 'score'").drop("_what"), [], "p_greater", "empirical_q")
+    by_rank = both.where("_what = 'rank'").select(
+        *cluster,
+        F.col("p_less").alias("rank_p_less"),
+        F.col("null_mean").alias("null_mean_best_rank"),
+        F.col("null_median").alias("null_median_best_rank"),
+        F.col("null_ci_lower").alias("best_rank_ci_lower"),
+        F.col("null_ci_upper").alias("best_rank_ci_upper"),
     )
-    by_score = summarize_null(seen, null.select(*cluster, "iteration", "random_max"), cluster, "max_score", "random_max")
-    by_rank = summarize_null(
-        seen.select(*cluster, F.col("best_rank").alias("_r")),
-        null.select(*cluster, "iteration", "random_best_rank"),
-        cluster,
-        "_r",
-        "random_best_rank",
-    ).select(*cluster, F.col("p_less").alias("rank_p_less"), F.col("null_mean").alias("null_mean_best_rank"))
     return by_score.join(by_rank, cluster)
 
 
@@ -360,17 +392,34 @@ def cluster_draw_null(
 ) -> DataFrame:
     """Over all clusters, per draw: share of clusters with a hit at K and the mean best score."""
     cluster = list(cluster)
-    want = clusters.groupBy(*cluster).agg(F.count(F.lit(1)).alias("n_sites"))
-    numbered = number_pool(pool.select(*cluster, member, score, rank), cluster, member)
-    sizes = pool.groupBy(*cluster).agg(F.count(F.lit(1)).alias("pool_size"))
-    requests = want.join(sizes, cluster).where(F.col("pool_size") >= F.col("n_sites"))
-    drawn = repeated_draws(requests, numbered, cluster, "pool_size", "n_sites", draws, seed)
-    per = drawn.groupBy(*cluster, "iteration").agg(F.max(score).alias("_s"), F.min(rank).alias("_r"))
-    return per.groupBy("iteration").agg(
-        F.avg("_s").alias("mean_max_score"), *[F.avg((F.col("_r") <= k).cast("double")).alias(f"hit_rate_{k}") for k in ks]
+    requests = _cluster_requests(clusters, pool, cluster, score, rank)
+    null = best_of_draws(requests, pool, cluster, "pool_size", "n_sites", score, rank, member, draws, seed)
+    return null.groupBy("iteration").agg(
+        F.avg("random_max").alias("mean_max_score"), *[F.avg((F.col("random_best_rank") <= k).cast("double")).alias(f"hit_rate_{k}") for k in ks]
     )
 
 
+def cluster_hit_test(
+    clusters: DataFrame, pool: DataFrame, cluster: Sequence[str], score: str, rank: str, member: str, ks: Sequence[int], draws: int, seed: int
+) -> DataFrame:
+    """Share of clusters with a hit at each K and the mean best score over all clusters against random picks.
+
+    One row per metric with observed value, null mean, median, interval, p and
+    q; q is formed over the hit rates only.
+    """
+    cluster = list(cluster)
+    requests = _cluster_requests(clusters, pool, cluster, score, rank)
+    names = ["mean_max_score", *[f"hit_rate_{k}" for k in ks]]
+    seen = requests.agg(
+        F.avg("max_score").alias("mean_max_score"), *[F.avg((F.col("best_rank") <= k).cast("double")).alias(f"hit_rate_{k}") for k in ks], F.count(F.lit(1)).alias("n_clusters")
+    ).unpivot(["n_clusters"], [F.col(c).cast("double").alias(c) for c in names], "metric", "observed")
+    null = cluster_draw_null(clusters, pool, cluster, score, rank, member, ks, draws, seed)
+    long_null = null.unpivot(["iteration"], [F.col(c).cast("double").alias(c) for c in names], "metric", "random")
+    out = null_statistics(seen, long_null, ["metric"], "observed", "random")
+    rate_p = F.when(F.col("metric") != "mean_max_score", F.col("p_greater"))
+    return benjamini_hochberg(out.withColumn("rate_p", rate_p), [], "rate_p")
+
+
 def enrichment_summary(per_group: DataFrame) -> DataFrame:
     """Over groups, by percentile: mean and median recall, mean fold, median p and median q.
 
@@ -398,13 +447,12 @@ def recall_excess_null(
     per group and shared by all percentiles.
     """
     group = list(group)
-    sizes = per_group.select(*group, "n_candidates", "n_flagged").distinct()
-    ranks = draw_positions(sizes, group, "n_candidates", "n_flagged", permutations, seed)
-    tops = per_group.select(*group, "percentile", "top_n", "random_recall")
-    hits = (
-        ranks.join(tops, group)
-        .groupBy(*group, "percentile", "iteration", "n_flagged", "random_recall")
-        .agg(F.count_if(F.col("position") <= F.col("top_n")).alias("_hits"))
+    tops = F.collect_list(F.struct("percentile", "top_n", "random_recall")).alias("_tops")
+    sizes = per_group.groupBy(*group, "n_candidates", "n_flagged").agg(tops)
+    ranks = draw_positions(sizes, group, "n_candidates", "n_flagged", permutations, seed, keep=["_tops"])
+    below = ranks.withColumn("_top", F.explode("_tops")).select(*group, "iteration", "n_flagged", "position", "_top.*")
+    hits = below.groupBy(*group, "percentile", "iteration", "n_flagged", "random_recall").agg(
+        F.count_if(F.col("position") <= F.col("top_n")).alias("_hits")
     )
     excess = F.col("_hits") / F.col("n_flagged") - F.col("random_recall")
     return hits.groupBy("percentile", "iteration").agg(F.avg(excess).alias("random_excess"))

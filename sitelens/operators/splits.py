@@ -2,13 +2,15 @@
 
 Every split works on the histogram of groups (one row per group) and joins the
 decision back, so rows of a group stay together and a hot group costs nothing
-extra. Order among groups comes from a seeded hash.
+extra. Order among groups comes from a seeded hash. Balanced dealing is the greedy
+rule on runs of equal groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,30 +49,107 @@ def group_split(
     return attach(df, chosen, [group])
 
 
-def snake(place: Column, k: int) -> Column:
-    """Deal places 1, 2, 3, ... to k hands, back and forth."""
-    row, at = F.floor((place - 1) / k), (place - 1) % k
-    return F.when(row % 2 == 0, at).otherwise(k - 1 - at).cast("int")
+def _lightest(state: np.ndarray, item: np.ndarray, totals: np.ndarray) -> int:
+    """The hand with the fewest rows, the first of equals."""
+    return int(np.argmin(state.sum(1)))
 
 
-def deal_groups(groups: DataFrame, group: str, k: int, seed: int, first: str, out: str) -> DataFrame:
-    """Deal groups to k hands by falling ``first``, then falling size, then the seeded order."""
-    tie = (
-        (F.lit(2**40).cast("decimal(20,0)") - F.col("n_rows").cast("decimal(20,0)"))
-        * F.lit(2**48).cast("decimal(17,0)")
-        + draw_number(seed, group).cast("decimal(17,0)")
-    ).cast("decimal(38,0)")
-    ranked = row_rank(groups.withColumn("_tie", tie), [], first, "_tie", "_place")
-    return ranked.withColumn(out, snake(F.col("_place"), k)).drop("_place", "_tie")
+def _evenest(state: np.ndarray, item: np.ndarray, totals: np.ndarray) -> int:
+    """The hand that leaves the classes' shares most alike over the hands; then the one with fewer rows, then the first."""
+    shares = state / totals
+    after = shares[None] + np.eye(len(state))[:, :, None] * (item / totals)
+    spread = np.round(after.std(1).mean(1), 9)
+    return min(range(len(state)), key=lambda f: (spread[f], state[f].sum(), f))
+
+
+def greedy_hands(profiles: Sequence[tuple[tuple[int, ...], int]], k: int, choose) -> list[list[tuple[int, int, list[int]]]]:
+    """For every run of equal groups the hands they get, one group after the other: (start, end, hands in turn).
+
+    ``profiles``: rows by class and number of groups of each run, in the order of
+    dealing. Equal groups soon go round some of the hands in a fixed order; such
+    rounds are taken many at a time, as long as the next round would be the same, so
+    the work follows the number of different profiles and not of groups.
+    """
+    state = np.zeros((k, len(profiles[0][0]) if profiles else 1))
+    totals = np.maximum(sum((np.array(v, float) * n for v, n in profiles), np.zeros(state.shape[1])), 1)
+    out = []
+    for vector, count in profiles:
+        item, runs, at, start, picks = np.array(vector, float), [], 0, 0, []
+
+        def rounds(cycle: list[int], times: int) -> bool:
+            """Whether after so many more rounds the next one is the same."""
+            ahead = state.copy()
+            ahead[cycle] += item * times
+            for f in cycle:
+                if choose(ahead, item, totals) != f:
+                    return False
+                ahead[f] += item
+            return True
+
+        while at < count:
+            f = choose(state, item, totals)
+            state[f] += item
+            picks.append(f)
+            at += 1
+            for c in range(1, min(k, len(picks) // 2) + 1):
+                cycle = picks[-c:]
+                if cycle != picks[-2 * c : -c] or len(set(cycle)) < c or count - at < 2 * c:
+                    continue
+                most, good = (count - at) // c, 0
+                if rounds(cycle, most):
+                    good = most
+                else:
+                    step = 1
+                    while good + step < most and rounds(cycle, good + step):
+                        good, step = good + step, step * 2
+                    while step:
+                        if good + step < most and rounds(cycle, good + step):
+                            good += step
+                        step //= 2
+                if good:
+                    runs += [(start, at, picks), (at, at + good * c, cycle)]
+                    state[cycle] += item * good
+                    at += good * c
+                    start, picks = at, []
+                break
+        if picks:
+            runs.append((start, at, picks))
+        out.append(runs)
+    return out
+
+
+def deal_groups(groups: DataFrame, group: str, k: int, seed: int, out: str, stratify: bool = False) -> DataFrame:
+    """Deal groups to k hands by the greedy rule: each to the hand with the fewest rows, larger groups first.
+
+    With ``stratify`` groups go by falling difference of their class counts to the hand that leaves
+    the class shares most alike. Equal groups go in a seeded order. Only the different
+    (n_rows, n_positive) profiles reach the driver.
+    """
+    profile = ["n_rows", "n_positive"] if stratify else ["n_rows"]
+    rows = groups.groupBy(*profile).agg(F.count(F.lit(1)).alias("n")).collect()
+    if stratify:
+        rows.sort(key=lambda r: (-abs(2 * r["n_positive"] - r["n_rows"]), -r["n_rows"], -r["n_positive"]))
+        vectors = [((r["n_rows"] - r["n_positive"], r["n_positive"]), r["n"]) for r in rows]
+    else:
+        rows.sort(key=lambda r: -r["n_rows"])
+        vectors = [((r["n_rows"],), r["n"]) for r in rows]
+    hands = greedy_hands(vectors, k, _evenest if stratify else _lightest)
+    kinds = ", ".join(f"{c} bigint" for c in profile) + ", _runs array<struct<start: bigint, stop: bigint, hands: array<int>>>"
+    table = groups.sparkSession.createDataFrame([(*[r[c] for c in profile], h) for r, h in zip(rows, hands)], kinds)
+    keyed = groups.withColumn("_u", draw_number(seed, group)).withColumn("_u2", draw_number(seed + 1, group))
+    ranked = row_rank(keyed, profile, "_u", "_u2", "_place", ascending=True).join(table, profile)
+    place = F.col("_place") - 1
+    run = F.filter("_runs", lambda x: (x["start"] <= place) & (place < x["stop"]))[0]
+    at = ((place - run["start"]) % F.size(run["hands"])).cast("int")
+    return ranked.withColumn(out, F.get(run["hands"], at)).drop("_u", "_u2", "_place", "_runs")
 
 
 def group_folds(
     df: DataFrame, group: str, k: int, seed: int, label: str | None = None, out: str = "fold"
 ) -> DataFrame:
-    """k folds of whole groups; with a label, positives are spread evenly."""
+    """k folds of whole groups; with a label, class shares are kept alike."""
     groups = group_histogram(df, group, label)
-    first = "n_positive" if label else "n_rows"
-    dealt = deal_groups(groups, group, k, seed, first, out).select(group, out)
+    dealt = deal_groups(groups, group, k, seed, out, stratify=label is not None).select(group, out)
     return attach(df, dealt, [group])
 
 
@@ -116,7 +195,7 @@ def assert_no_leakage(df: DataFrame, group: str, split: str) -> DataFrame:
 
 def balanced_chunks(df: DataFrame, group: str, k: int, seed: int, out: str = "chunk") -> DataFrame:
     """Whole groups over k chunks of nearly equal size."""
-    dealt = deal_groups(group_histogram(df, group), group, k, seed, "n_rows", out).select(group, out)
+    dealt = deal_groups(group_histogram(df, group), group, k, seed, out).select(group, out)
     return attach(df, dealt, [group])
 
 

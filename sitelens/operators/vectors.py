@@ -6,8 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,53 +104,120 @@ def scale_vectors(train: DataFrame, frames: Sequence[DataFrame], column: str) ->
     return [scaled(f) for f in frames]
 
 
+#: Dimensions up to which all products of two columns are summed in one pass; wider data are read once per product.
+GRAM_DIMS = 1024
+#: Further directions that are carried along, most passes over wide data, and the error of a component at which they end.
+EXTRA, PASSES, TOLERANCE = 10, 40, 1e-9
+#: Blocks of directions that the driver holds before it keeps the best of them only.
+BLOCKS = 8
+#: Dimensions whose sums are added up together.
+BLOCK_ROWS = 512
+
+
+def _sums(rows: DataFrame, right: np.ndarray | None, dims: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(X'X or X'(X right), column sums, rows) of the array column ``x``: dims numbers a column of ``right`` leave a task."""
+    width = dims if right is None else right.shape[1]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, columns, n = np.zeros((dims, width)), np.zeros(dims), 0
+        step = max(1, (1 << 22) // dims)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, step):
+                x = flat[at * dims : (at + step) * dims].reshape(-1, dims)
+                total += x.T @ (x if right is None else x @ right)
+                columns += x.sum(0)
+                n += len(x)
+        if n:
+            full = np.hstack([total, columns[:, None], np.full((dims, 1), float(n))])
+            for i in range(0, dims, BLOCK_ROWS):
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i]), "sums": pa.array([full[i : i + BLOCK_ROWS].ravel()], pa.list_(pa.float64()))})
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = table.column("sums").combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(0)
+        return pa.table({"i": table.column("i").slice(0, 1), "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+    schema = "i bigint, sums array<double>"
+    found = rows.mapInArrow(part, schema).groupBy("i").applyInArrow(add, schema).orderBy("i").collect()
+    if not found:
+        return np.zeros((dims, width)), np.zeros(dims), 0
+    table = np.concatenate([np.array(r["sums"]).reshape(-1, width + 2) for r in found])
+    return table[:, :-2], table[:, -2], int(table[0, -1])
+
+
+def principal_axes(train: DataFrame, column: str, k: int, dims: int) -> np.ndarray:
+    """The first k principal axes of an array column, one a column; each has its largest entry positive.
+
+    Up to GRAM_DIMS dimensions the covariances come from one pass. Wider data are
+    only multiplied: a block of directions goes through X'(X v), the span of all
+    blocks so far gives the best axes in it (block Krylov), and passes end when the axes
+    stand still. Memory follows dims, not its square.
+    """
+    rows = train.select(F.col(column).cast("array<double>").alias("x"))
+    if dims <= GRAM_DIMS:
+        gram, columns, n = _sums(rows, None, dims)
+        mean = columns / max(n, 1)
+        values, axes = np.linalg.eigh(gram - n * np.outer(mean, mean))
+        axes = axes[:, ::-1][:, :k]
+    else:
+        block = np.linalg.qr(np.random.default_rng(dims).normal(size=(dims, min(k + EXTRA, dims))))[0]
+        basis, images = np.zeros((dims, 0)), np.zeros((dims, 0))
+        for _ in range(PASSES):
+            image, columns, n = _sums(rows, block, dims)
+            mean = columns / max(n, 1)
+            image = image - n * np.outer(mean, mean @ block)
+            basis, images = np.hstack([basis, block]), np.hstack([images, image])
+            small = basis.T @ images
+            values, turn = np.linalg.eigh((small + small.T) / 2)
+            turn = turn[:, ::-1][:, : min(k, len(values))]
+            axes, top = basis @ turn, np.maximum(values[::-1][: turn.shape[1]], 0)
+            left = images @ turn - axes * top
+            if np.linalg.norm(left, axis=0).max() <= TOLERANCE * max(top.max(), 1e-300) or basis.shape[1] + block.shape[1] > dims:
+                break
+            if basis.shape[1] > BLOCKS * (k + EXTRA):
+                kept = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, : k + EXTRA]
+                basis, images = basis @ kept, images @ kept
+            rest = image
+            for _ in range(2):
+                rest = rest - basis @ (basis.T @ rest)
+            block, size = np.linalg.qr(rest)
+            block = block[:, np.abs(np.diag(size)) > 1e-12 * max(np.abs(size).max(), 1e-300)]
+            if not block.shape[1]:
+                break
+    largest = np.abs(axes).argmax(0)
+    return axes * np.where(axes[largest, np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+
+
 def reduce_pca(train: DataFrame, frames: Sequence[DataFrame], column: str, k: int, dims: int, out: str) -> list[DataFrame]:
     """Principal components of a scaled array column; k is at most the rows and the dimensions."""
     rows = train.limit(min(k, dims)).count() if k > 1 else 1
-    size = max(1, min(k, dims, rows))
-    fitted = PCA(k=size, inputCol="_vec", outputCol="_pc").fit(train.select(array_to_vector(column).alias("_vec")))
-    return [
-        fitted.transform(f.withColumn("_vec", array_to_vector(column))).withColumn(out, vector_to_array("_pc")).drop("_vec", "_pc")
-        for f in frames
-    ]
-
-
-def _gram_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of x x' and x y over a partition, one row per feature."""
-    total = None
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        x = np.vstack(pdf["x"].to_numpy())
-        full = np.hstack([x, pdf["y"].to_numpy(dtype=float)[:, None]])
-        part = x.T @ full
-        total = part if total is None else total + part
-    if total is not None:
-        yield pd.DataFrame({"i": np.arange(total.shape[0]), "sums": list(total)})
+    axes = principal_axes(train, column, max(1, min(k, dims, rows)), dims)
+    return [project(f, column, axes, out) for f in frames]
 
 
-def _gram_sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"i": [pdf["i"].iloc[0]], "sums": [np.sum(np.vstack(pdf["sums"].to_numpy()), axis=0)]})
-
-
-def pls_rotation(train: DataFrame, column: str, response: str, components: int) -> np.ndarray:
+def pls_rotation(train: DataFrame, column: str, response: str, components: int, dims: int | None = None) -> np.ndarray:
     """Rotation of a one-response partial least squares fit on centred data.
 
-    The data enter only through X'X and X'y, summed by Spark in one pass; the
-    short loop over components works on those feature-sized sums.
+    The data enter only through X'y and X'(X r). Up to GRAM_DIMS dimensions X'X
+    is summed in one pass; wider data are read once a component, and dims numbers leave a task.
     """
-    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
     mean = train.agg(F.avg(F.col(response).cast("double")).alias("_m"))
-    rows = train.crossJoin(F.broadcast(mean)).select(
-        F.col(column).cast("array<double>").alias("x"), (F.col(response).cast("double") - F.col("_m")).alias("y")
-    )
-    parts = rows.mapInPandas(_gram_parts, schema)
-    sums = parts.groupBy("i").applyInPandas(_gram_sum, schema).orderBy("i").collect()
-    table = np.array([r["sums"] for r in sums])
-    gram, cross = table[:, :-1], table[:, -1]
+    y = F.col(response).cast("double") - F.col("_m")
+    rows = train.crossJoin(F.broadcast(mean)).select(F.concat(F.col(column).cast("array<double>"), F.array(y)).alias("x"))
+    if dims is None:
+        dims = train.select(F.size(column).alias("n")).agg(F.max("n")).first()[0] or 0
+    if dims <= GRAM_DIMS:
+        table, _, _ = _sums(rows, None, dims + 1)
+        gram, cross = table[:-1, :-1], table[:-1, -1]
+        times = lambda r: gram @ r
+    else:
+        last = np.zeros((dims + 1, 1))
+        last[-1] = 1.0
+        cross = _sums(rows, last, dims + 1)[0][:-1, 0]
+        times = lambda r: _sums(rows, np.append(r, 0.0)[:, None], dims + 1)[0][:-1, 0]
     weights, loadings = [], []
     left = cross.copy()
-    for _ in range(min(components, gram.shape[0])):
+    for _ in range(min(components, dims)):
         norm = np.linalg.norm(left)
         if norm < 1e-12:
             break
@@ -160,14 +226,15 @@ def pls_rotation(train: DataFrame, column: str, response: str, components: int)
         r = w.copy()
         for p, q in zip(loadings, weights):
             r = r - (p @ w) * q
-        tt = float(r @ gram @ r)
+        image = times(r)
+        tt = float(r @ image)
         if tt < 1e-12:
             break
-        p = gram @ r / tt
+        p = image / tt
         left = left - p * float(r @ cross)
         weights.append(r)
         loadings.append(p)
-    return np.array(weights).T if weights else np.zeros((gram.shape[0], 0))
+    return np.array(weights).T if weights else np.zeros((dims, 0))
 
 
 def project(df: DataFrame, column: str, rotation: np.ndarray, out: str) -> DataFrame:
@@ -183,8 +250,10 @@ def project(df: DataFrame, column: str, rotation: np.ndarray, out: str) -> DataF
     return df.withColumn(out, times(F.col(column).cast("array<double>")))
 
 
-def reduce_pls(train: DataFrame, frames: Sequence[DataFrame], column: str, response: str, k: int, out: str) -> list[DataFrame]:
-    rotation = pls_rotation(train, column, response, k)
+def reduce_pls(
+    train: DataFrame, frames: Sequence[DataFrame], column: str, response: str, k: int, out: str, dims: int | None = None
+) -> list[DataFrame]:
+    rotation = pls_rotation(train, column, response, k, dims)
     return [project(f, column, rotation, out) for f in frames]
 
 
@@ -205,7 +274,7 @@ def reduce_blocks(
         if response is None:
             work = reduce_pca(work[0], work, b, k, dims[b], name)
         else:
-            work = reduce_pls(work[0], work, b, response, k, name)
+            work = reduce_pls(work[0], work, b, response, k, name, dims[b])
         if scale_after:
             work = scale_vectors(work[0], work, name)
         parts.append(name)

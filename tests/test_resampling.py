@@ -51,3 +51,51 @@ def test_random_control_counts_the_observed_set(spark):
 def test_bags_have_the_asked_size(spark):
     bags = splits.sample_bags(spark.range(30).withColumnRenamed("id", "doc"), "doc", 3, 8, 1)
     assert {(r.bag, r.n) for r in bags.groupBy("bag").agg(F.countDistinct("doc").alias("n")).collect()} == {(1, 8), (2, 8), (3, 8)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000])
+def test_a_keyed_permutation_holds_every_place_once(spark, n):
+    from sitelens.functions.draws import permutation_keys, permuted
+
+    base = spark.range(40).select(F.col("id").alias("it")).withColumn("keys", permutation_keys(F.lit(n), 3, "it"))
+    rows = permuted(base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))), "i", "keys", "place")
+    per = rows.groupBy("it").agg(F.countDistinct("place").alias("d"), F.min("place").alias("lo"), F.max("place").alias("hi")).collect()
+    assert len(per) == 40 and all((r.d, r.lo, r.hi) == (n, 0, n - 1) for r in per)
+
+
+def test_pairs_of_draws_are_uniform(spark):
+    ask = spark.createDataFrame([("a", 12, 2)], "k string, n long, w long")
+    pairs = RS.draw_positions(ask, ["k"], "n", "w", 13_200, 4).groupBy("iteration").agg(F.max_by("position", "slot").alias("b"), F.min_by("position", "slot").alias("a"))
+    counts = [r["count"] for r in pairs.groupBy("a", "b").count().collect()]
+    assert len(counts) == 132 and sum((c - 100) ** 2 / 100 for c in counts) < 131 + 5 * (2 * 131) ** 0.5
+
+
+def test_drawn_rows_are_not_broadcast(spark):
+    pool = spark.range(1, 200).select(F.lit("a").alias("k"), F.col("id").alias("position"), (F.col("id") * 0.5).alias("e"))
+    ask = spark.createDataFrame([("a", 199, 60)], "k string, n long, w long")
+    drawn = RS.repeated_draws(ask, pool, ["k"], "n", "w", 300, 1)
+    assert drawn.count() == 300 * 60
+    drawn.collect()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_best_of_draws_follows_the_law_of_the_minimum(spark):
+    from math import comb
+
+    import numpy as np
+
+    from sitelens.functions.tails import smallest_place
+
+    u = (np.arange(200_000) + 0.5) / 200_000
+    got = smallest_place(np.full(len(u), 30), np.full(len(u), 4), u)
+    for r in range(1, 28):
+        assert abs((got > r).mean() - comb(30 - r, 4) / comb(30, 4)) < 2e-5
+    assert got.min() == 1 and got.max() == 27
+    assert (smallest_place(np.array([5, 1]), np.array([5, 1]), np.array([0.999, 0.0])) == 1).all()
+    pool = spark.createDataFrame([("c", i, 100.0 - i, i) for i in range(1, 31)], "c string, m long, s double, r long")
+    clusters = spark.createDataFrame([("c", 500 + i, 99.5 - i, 0) for i in range(4)], "c string, m long, s double, r long")
+    row = RS.cluster_draw_test(clusters, pool, ["c"], "s", "r", "m", 4000, 7).first()
+    assert row.n_random == 4000 and abs(row.null_mean_best_rank - 31 / 5) < 0.4 and row.null_median_best_rank in (4.0, 5.0, 6.0)
+    tests = {r.metric: r for r in RS.cluster_hit_test(clusters, pool, ["c"], "s", "r", "m", [1, 5], 4000, 7).collect()}
+    assert abs(tests["hit_rate_5"].null_mean - (1 - comb(25, 4) / comb(30, 4))) < 0.05 and tests["hit_rate_1"].observed == 1.0

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.store import settle
+from sitelens.llm.stripes import everywhere, in_stripes, matrix, meet, stripe_count
 from sitelens.llm.vafile import usable, whole_numbers
 
 #: Bits of a rotated query's components.
@@ -135,58 +136,6 @@ def _floor(lower: np.ndarray, able: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-np.where(able, lower, -np.inf), k - 1, axis=1)[:, k - 1]
 
 
-def _stripes(stored: DataFrame, asking: DataFrame, extra: str, match, schema: str) -> DataFrame:
-    """Bring every asking row to every stripe of stored rows and let ``match`` compare them.
-
-    A task holds one stripe; asking rows of its vectors' lengths pass by in tiles.
-    ``match`` gets (ids, labels, v, extra) of a tile, (ids, labels, v) of a slice and
-    its (codes, aligned, rest).
-    """
-    spark = stored.sparkSession
-    count = stored.count()
-    stripes = max(1, -(-count // min(max(STRIPE[0], count // spark.sparkContext.defaultParallelism), STRIPE[1])))
-    kind = F.lit(None).cast(extra).alias("extra")
-    left = stored.select(F.pmod(F.xxhash64("id", "v"), F.lit(stripes)).cast("int").alias("stripe"), F.lit(0).alias("side"), "id", "label", "v", "codes", "aligned", "rest", kind)
-    every = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe")
-    blank = [F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in ("codes", "aligned", "rest")]
-    right = asking.select(every, F.lit(1).alias("side"), "id", "label", "v", *blank, "extra")
-    both = left.union(right).repartition(stripes, "stripe").sortWithinPartitions("stripe", F.size("v"), "side")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        ready: tuple | None = None
-        own = None
-        for batch in batches:
-            sizes = batch.column("v").value_lengths().to_numpy()
-            stripe, side = batch.column("stripe").to_numpy(), batch.column("side").to_numpy()
-            cuts = np.flatnonzero((np.diff(stripe, prepend=-1) != 0) | (np.diff(sizes, prepend=-1) != 0) | (np.diff(side, prepend=-1) != 0))
-            for a, b in zip(cuts, np.append(cuts[1:], len(stripe))):
-                part = batch.slice(a, b - a)
-                width = int(sizes[a])
-                if (stripe[a], width) != own:
-                    own, held, ready = (stripe[a], width), {}, None
-                v = part.column("v").flatten().to_numpy().reshape(-1, width)
-                ids, labels = part.column("id").to_numpy(), part.column("label").to_numpy()
-                if side[a] == 0:
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint64).reshape(len(ids), -1)
-                    values = (ids, labels, v, codes, part.column("aligned").to_numpy(), part.column("rest").to_numpy())
-                    for n, x in enumerate(values):
-                        held.setdefault(n, []).append(np.array(x))
-                    continue
-                if not held:
-                    continue
-                if ready is None:
-                    ready = tuple(np.concatenate(held[n]) for n in range(6))
-                more = part.column("extra").to_pylist()
-                for i in range(0, len(ids), TILE):
-                    asks = (ids[i : i + TILE], labels[i : i + TILE], v[i : i + TILE], more[i : i + TILE])
-                    for j in range(0, len(ready[0]), SLICE):
-                        x = tuple(c[j : j + SLICE] for c in ready)
-                        yield from match(asks, x[:3], x[3:])
-
-    return both.mapInArrow(run, schema)
-
-
 def hard_negatives(
     vectors: DataFrame,
     anchors: Column,
@@ -234,64 +183,76 @@ def hard_negatives(
 
     stored = rows.mapInArrow(encode, "id bigint, label bigint, asks boolean, v array<bigint>, codes binary, aligned double, rest double")
     stored = settle(stored, "one-bit-codes")
-    asking = stored.filter("asks").select("id", "label", "v")
-
-    def nearest(asks, x, code) -> Iterator[pa.RecordBatch]:
-        ids, labels, q, _ = asks
-        lower, upper = intervals(q, *code)
-        able = (labels[:, None] == x[1]) & (ids[:, None] != x[0])
-        _tighten(lower, upper, able, q, x[2], 2 * k_positives)
-        able &= upper >= _floor(lower, able, k_positives)[:, None]
-        a, b, score = _score(q, x[2], able)
-        keep = _best([ids[a]], score, x[0][b], k_positives)
-        yield pa.RecordBatch.from_pydict({"anchor_id": pa.array(ids[a][keep]), "positive_id": pa.array(x[0][b][keep]), "positive_score": pa.array(score[keep])})
-
-    near = _stripes(stored, asking.withColumn("extra", F.lit(None).cast("int")), "int", nearest, "anchor_id bigint, positive_id bigint, positive_score bigint")
+    stripes = stripe_count(stored.count(), *STRIPE, vectors.sparkSession.sparkContext.defaultParallelism)
+    dealt = in_stripes(stored.drop("asks"), stripes)
+    asking = stored.filter("asks").select("id", "label", "v", F.size("v").alias("width"))
+
+    def slices(held: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        for at in range(0, len(held["id"]), SLICE):
+            yield {c: x[at : at + SLICE] for c, x in held.items()}
+
+    def bounds(q: np.ndarray, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return intervals(q, np.ascontiguousarray(x["codes"]).view(np.uint64), x["aligned"], x["rest"])
+
+    def nearest(asks: pa.RecordBatch, held: dict[str, np.ndarray], width: int, stripe: int) -> Iterator[pa.RecordBatch]:
+        ids, labels, q = asks.column("id").to_numpy(), asks.column("label").to_numpy(), matrix(asks.column("v"), width)
+        for x in slices(held):
+            lower, upper = bounds(q, x)
+            able = (labels[:, None] == x["label"]) & (ids[:, None] != x["id"])
+            _tighten(lower, upper, able, q, x["v"], 2 * k_positives)
+            able &= upper >= _floor(lower, able, k_positives)[:, None]
+            a, b, score = _score(q, x["v"], able)
+            keep = _best([ids[a]], score, x["id"][b], k_positives)
+            yield pa.RecordBatch.from_pydict({"anchor_id": pa.array(ids[a][keep]), "positive_id": pa.array(x["id"][b][keep]), "positive_score": pa.array(score[keep])})
+
+    near = meet(dealt, everywhere(asking, stripes), stripes, TILE, nearest, "anchor_id bigint, positive_id bigint, positive_score bigint")
     own = Window.partitionBy("anchor_id").orderBy(F.col("positive_score").desc(), "positive_id")
     positives = near.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k_positives).drop("n")
     positives = settle(positives, "positives", thin=True)
 
-    goals = positives.filter("positive_score >= 0").groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("extra"))
-    goal_type = "array<struct<positive_id: bigint, positive_score: bigint>>"
+    goals = positives.filter("positive_score >= 0").groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("goals"))
 
-    def hardest(asks, x, code) -> Iterator[pa.RecordBatch]:
-        ids, labels, q, more = asks
+    def hardest(asks: pa.RecordBatch, held: dict[str, np.ndarray], width: int, stripe: int) -> Iterator[pa.RecordBatch]:
+        ids, labels, q = asks.column("id").to_numpy(), asks.column("label").to_numpy(), matrix(asks.column("v"), width)
+        more = asks.column("goals").to_pylist()
         place = np.repeat(np.arange(len(ids)), [len(m) for m in more])
         goal = np.array([(g["positive_id"], g["positive_score"]) for m in more for g in m], np.int64).reshape(-1, 2)
         top = goal[:, 1]
-        lower, upper = intervals(q, *code)
-        other = labels[:, None] != x[1]
-        _tighten(lower, upper, other, q, x[2], 2 * k_negatives)
-        able = np.zeros(other.shape, bool)
-        for n in range(len(goal)):  # a goal is an anchor's positive: at most k_positives times TILE
-            i = place[n]
-            bottom = -(-least_percent * top[n] // 100)
-            inside = other[i] & (lower[i] >= bottom) & (upper[i] <= top[n])
-            floor = bottom
-            if inside.sum() >= k_negatives:
-                floor = max(floor, -np.partition(-lower[i][inside], k_negatives - 1)[k_negatives - 1])
-            able[i] |= other[i] & (upper[i] >= floor) & (lower[i] <= top[n])
-        a, b, score = _score(q, x[2], able)
-        starts, ends = np.searchsorted(a, place), np.searchsorted(a, place, side="right")
-        taken = ends - starts
-        n = np.repeat(np.arange(len(goal)), taken)
-        at = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken) + np.repeat(starts, taken)
-        found = (100 * score[at] >= least_percent * top[n]) & (score[at] <= top[n])
-        n, at = n[found], at[found]
-        keep = _best([n], score[at], x[0][b[at]], k_negatives)
-        n, at = n[keep], at[keep]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "anchor_id": pa.array(ids[place[n]]),
-                "positive_id": pa.array(goal[n, 0]),
-                "negative_id": pa.array(x[0][b[at]]),
-                "positive_score": pa.array(top[n]),
-                "negative_score": pa.array(score[at]),
-            }
-        )
-
-    wanted = asking.join(goals, F.col("id") == F.col("anchor_id")).select("id", "label", "v", "extra")
-    found = _stripes(stored, wanted, goal_type, hardest, "anchor_id bigint, positive_id bigint, negative_id bigint, positive_score bigint, negative_score bigint")
+        for x in slices(held):
+            lower, upper = bounds(q, x)
+            other = labels[:, None] != x["label"]
+            _tighten(lower, upper, other, q, x["v"], 2 * k_negatives)
+            able = np.zeros(other.shape, bool)
+            for n in range(len(goal)):  # a goal is an anchor's positive: at most k_positives times TILE
+                i = place[n]
+                bottom = -(-least_percent * top[n] // 100)
+                inside = other[i] & (lower[i] >= bottom) & (upper[i] <= top[n])
+                floor = bottom
+                if inside.sum() >= k_negatives:
+                    floor = max(floor, -np.partition(-lower[i][inside], k_negatives - 1)[k_negatives - 1])
+                able[i] |= other[i] & (upper[i] >= floor) & (lower[i] <= top[n])
+            a, b, score = _score(q, x["v"], able)
+            starts, ends = np.searchsorted(a, place), np.searchsorted(a, place, side="right")
+            taken = ends - starts
+            n = np.repeat(np.arange(len(goal)), taken)
+            at = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken) + np.repeat(starts, taken)
+            found = (100 * score[at] >= least_percent * top[n]) & (score[at] <= top[n])
+            n, at = n[found], at[found]
+            keep = _best([n], score[at], x["id"][b[at]], k_negatives)
+            n, at = n[keep], at[keep]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "anchor_id": pa.array(ids[place[n]]),
+                    "positive_id": pa.array(goal[n, 0]),
+                    "negative_id": pa.array(x["id"][b[at]]),
+                    "positive_score": pa.array(top[n]),
+                    "negative_score": pa.array(score[at]),
+                }
+            )
+
+    wanted = asking.join(goals, F.col("id") == F.col("anchor_id")).select("id", "label", "v", "width", "goals")
+    schema = "anchor_id bigint, positive_id bigint, negative_id bigint, positive_score bigint, negative_score bigint"
+    found = meet(dealt, everywhere(wanted, stripes), stripes, TILE, hardest, schema)
     rank = Window.partitionBy("anchor_id", "positive_id", "positive_score").orderBy(F.col("negative_score").desc(), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(rank).cast("int")).filter(F.col("rank") <= k_negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

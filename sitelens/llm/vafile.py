@@ -3,16 +3,15 @@
 Each component is quantised to a cell between two cut points of its dimension. A
 first pass reads the cells only: they bound the inner product with each query
 from both sides. The k-th best lower bound of a query, over all vectors, is what
-a vector's upper bound must reach; the exact vectors of those that do are read in
-the order of their bounds until the k-th exact score is no smaller than the next
-bound. Queries travel in blocks of fixed size against all blocks of vectors.
+a vector's upper bound must reach. A second pass reads exact vectors, and only
+for the queries and stripes of vectors where some upper bound reaches it: in
+the order of the bounds, until the k-th exact score is no smaller than the next bound.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.store import settle
+from sitelens.llm.stripes import everywhere, in_stripes, matrix, meet, stripe_count
 
-#: Cells per dimension, and vectors or queries per block.
+#: Cells per dimension; least and most vectors of a stripe; queries that are compared at once.
 CELLS = 32
-BLOCK = 4096
+BLOCK, LARGEST = 4096, 65536
 QUERY_BLOCK = 256
+#: Rows that the cut points are fitted on, in the order of a hash; every row is indexed.
+FIT_ROWS = 16384
 
 
 def usable(vector: Column) -> Column:
@@ -38,26 +40,6 @@ def whole_numbers(vector: Column, scale: int = 256) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
 
 
-def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
-    """(block, ids, data): rows dealt by hash to blocks, the vectors one after the other."""
-    n = max(1, -(-count // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
-
-    def gather(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        ids = table.column("id").to_numpy()[order]
-        flat = np.concatenate([np.asarray(v, np.int64) for v in table.column("v").take(pa.array(order)).to_pylist()])
-        return pa.table(
-            {
-                "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
-                "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                "data": pa.array([flat.astype("<i8").tobytes()], pa.binary()),
-            }
-        )
-
-    return dealt.groupBy("block").applyInArrow(gather, "block int, ids binary, data binary")
-
-
 def _cells(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(cuts[d], data[:, d], side="right") for d in range(data.shape[1])], 1).astype(np.uint8)
 
@@ -74,6 +56,49 @@ def _bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.nd
     return up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
 
 
+class Cells:
+    """Cut points of each dimension, with the least and greatest value of each cell."""
+
+    def __init__(self, sample: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """``sample``: whole-number rows (or none); ``low`` and ``high``: extremes of every dimension over all rows."""
+        sample = sample if len(sample) else np.stack([low, high])
+        self.cuts = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0, method="lower").T.astype(np.int64)
+        self.low = np.hstack([low[:, None], self.cuts])
+        self.high = np.maximum(np.hstack([self.cuts - 1, high[:, None]]), self.low)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return _cells(x, self.cuts)
+
+    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _bounds(queries, cells, self.low, self.high)
+
+
+def _fitted(rows: DataFrame) -> dict[int, Cells]:
+    """Cells for every length: extremes of all rows, cut points from at most FIT_ROWS rows in the order of a hash."""
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lengths = batch.column("v").value_lengths().to_numpy()
+            for width in np.unique(lengths).tolist():
+                x = batch.filter(pa.array(lengths == width)).column("v").flatten().to_numpy().reshape(-1, width)
+                both = np.stack([x.min(0), -x.max(0)])
+                found[width] = np.minimum(found[width], both) if width in found else both
+        if found:
+            yield pa.RecordBatch.from_pydict({"width": pa.array(list(found), pa.int32()), "ends": pa.array([x.ravel() for x in found.values()], pa.list_(pa.int64()))})
+
+    def least(table: pa.Table) -> pa.Table:
+        ends = np.stack([np.asarray(x.values) for x in table.column("ends")]).min(0)
+        return pa.table({"width": table.column("width").slice(0, 1), "ends": pa.array([ends], pa.list_(pa.int64()))})
+
+    schema = "width int, ends array<bigint>"
+    ends = {r["width"]: np.array(r["ends"]).reshape(2, -1) for r in rows.select("v").mapInArrow(extremes, schema).groupBy("width").applyInArrow(least, schema).collect()}
+    sample: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id", "v")).limit(FIT_ROWS).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    return {width: Cells(np.array(sample.get(width, []), np.int64).reshape(-1, width), e[0], -e[1]) for width, e in ends.items()}
+
+
 def top_k(
     vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: int = 256
 ) -> DataFrame:
@@ -89,87 +114,84 @@ def top_k(
     rows = vectors.select(F.col(f"`{id}`").cast("bigint").alias("id"), v.alias("raw"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(usable(F.col("raw")) & F.col("id").isNotNull())
     rows = settle(rows.select("id", "asks", whole_numbers(F.col("raw"), scale).alias("v")), "whole-vectors")
-    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("asking"))
-    sizes = sizes.filter("asking > 0").orderBy("width").collect()
-    if not sizes:
+    count = rows.count()
+    if not count:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    found = [_of_length(rows.filter(F.size("v") == r["width"]), r["width"], r["n"], r["asking"], k) for r in sizes]
-    found = reduce(DataFrame.union, found)
+    fitted = _fitted(rows)
+    stripes = stripe_count(count, BLOCK, LARGEST, vectors.sparkSession.sparkContext.defaultParallelism)
+
+    def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("v").value_lengths().to_numpy()
+            for width in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == width))
+                cells = fitted[width].of(part.column("v").flatten().to_numpy().reshape(-1, width))
+                yield part.append_column("cells", pa.array([c.tobytes() for c in cells], pa.binary()))
+
+    stored = rows.mapInArrow(approximate, "id bigint, asks boolean, v array<bigint>, cells binary")
+    stored = settle(in_stripes(stored, stripes), "approximations")
+    asked = stored.filter("asks").select("id", "v", "width")
+    near = candidate_stripes(stored, asked, stripes, k, fitted)
+
+    def search(asks: pa.RecordBatch, held: dict[str, np.ndarray], width: int, stripe: int) -> Iterator[pa.RecordBatch]:
+        """Exact scores in the order of the upper bounds, for vectors that can still be among the k best."""
+        q_ids, q, floors = asks.column("id").to_numpy(), matrix(asks.column("v"), width), asks.column("floor").to_pylist()
+        ids, x = held["id"], held["v"]
+        _, hi = fitted[width].bounds(q, held["cells"])
+        out: list[tuple[int, int, int]] = []
+        for i, (own_id, floor) in enumerate(zip(q_ids.tolist(), floors)):
+            able = ids != own_id if floor is None else (hi[i] >= floor) & (ids != own_id)
+            order = np.flatnonzero(able)
+            order = order[np.argsort(-hi[i, order], kind="stable")]
+            best: list[tuple[int, int]] = []
+            for at in range(0, len(order), 64):
+                if len(best) == k and hi[i, order[at]] < best[0][0]:
+                    break
+                part = order[at : at + 64]
+                for score, other in zip((x[part] @ q[i]).tolist(), ids[part].tolist()):
+                    item = (score, -other)
+                    if len(best) < k:
+                        heapq.heappush(best, item)
+                    elif item > best[0]:
+                        heapq.heapreplace(best, item)
+            out += [(own_id, -o, s) for s, o in best]
+        yield pa.RecordBatch.from_pydict({n: pa.array([o[j] for o in out], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
+
+    asking = asked.join(near, asked["id"] == near["query_id"]).select("id", "v", "width", "stripe", "floor")
+    found = meet(stored.select("id", "v", "cells", "stripe", "width"), asking, stripes, QUERY_BLOCK, search, "query_id bigint, vec_id bigint, score bigint")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _of_length(rows: DataFrame, width: int, count: int, asking: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): what can be among the k best of each query, for rows of one length."""
-    spread = rows.select([F.col("v")[d].alias(f"d{d}") for d in range(width)])
-    marks = spread.agg(*[F.percentile_approx(f"d{d}", [i / CELLS for i in range(CELLS + 1)], 1000).alias(f"d{d}") for d in range(width)], *[F.min(f"d{d}").alias(f"l{d}") for d in range(width)], *[F.max(f"d{d}").alias(f"h{d}") for d in range(width)]).first()
-    cuts = np.array([sorted(marks[f"d{d}"])[1:-1] for d in range(width)], np.int64)
-    low = np.array([[marks[f"l{d}"], *cuts[d]] for d in range(width)], np.int64)
-    high = np.array([[*(cuts[d] - 1), marks[f"h{d}"]] for d in range(width)], np.int64)
-    high = np.maximum(high, low)
+def candidate_stripes(stored: DataFrame, asked: DataFrame, stripes: int, k: int, fitted: dict[int, Cells]) -> DataFrame:
+    """(query_id, stripe, floor): the stripes that can hold one of a query's k best, from the cells alone.
 
-    stored = settle(_blocks(rows.select("id", "v"), BLOCK, count), "exact-vectors")
+    ``floor`` is the k-th largest lower bound of the query over all vectors, null
+    where there are fewer than k; a stripe counts if its largest upper bound reaches it.
+    """
 
-    def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, ids, data in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "data")]):
-                cells = _cells(np.frombuffer(data, "<i8").reshape(-1, width), cuts)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "ids": pa.array([ids]), "cells": pa.array([cells.tobytes()])})
-
-    cells = settle(stored.mapInArrow(approximate, "block int, ids binary, cells binary"), "approximations")
-    asked = settle(_blocks(rows.filter("asks").select("id", "v"), QUERY_BLOCK, asking), "queries")
-    asked = asked.select(F.col("block").alias("group"), F.col("ids").alias("q_ids"), F.col("data").alias("q"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-count // BLOCK) - 1)))).alias("block")
-    spread_queries = asked.select("group", "q_ids", "q", every)
-
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k largest lower bounds of each query in a block."""
-        for batch in batches:
-            for q_ids, q, ids, c in zip(*[batch.column(n).to_pylist() for n in ("q_ids", "q", "ids", "cells")]):
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                lo, _ = _bounds(np.frombuffer(q, "<i8").reshape(-1, width), np.frombuffer(c, np.uint8).reshape(-1, width), low, high)
-                lo[q_ids[:, None] == ids[None, :]] = -np.inf
-                best = -np.partition(-lo, min(k, lo.shape[1]) - 1, axis=1)[:, :k]
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(q_ids, best.shape[1])[keep.ravel()]), "bound": pa.array(best.ravel()[keep.ravel()].astype(np.int64))})
-
-    pairs = spread_queries.join(cells, "block")
-    own = Window.partitionBy("query_id").orderBy(F.col("bound").desc())
-    floors = pairs.mapInArrow(lower, "query_id bigint, bound bigint").withColumn("n", F.row_number().over(own))
-    floors = floors.filter(F.col("n") <= k).groupBy("query_id").agg(F.min("bound").alias("floor"), F.max("n").alias("n"))
-    floors = floors.select("query_id", F.when(F.col("n") == k, F.col("floor")).alias("floor"))
-    groups = rows.filter("asks").select(F.col("id").alias("query_id"), F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-asking // QUERY_BLOCK)))).cast("int").alias("group"))
-    limits = groups.join(floors, "query_id").groupBy("group").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))
-    ready = settle(asked.join(limits, "group"), "query-floors").select("q_ids", "q", "floors", every)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Exact scores in a block, in the order of the upper bounds, for vectors that can still be among the k best."""
-        for batch in batches:
-            for q_ids, q, floors_, ids, c, data in zip(*[batch.column(n).to_pylist() for n in ("q_ids", "q", "floors", "ids", "cells", "data")]):
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, x = np.frombuffer(q, "<i8").reshape(-1, width), np.frombuffer(data, "<i8").reshape(-1, width)
-                _, hi = _bounds(q, np.frombuffer(c, np.uint8).reshape(-1, width), low, high)
-                least = {f["query_id"]: f["floor"] for f in floors_}
-                out: list[tuple[int, int, int]] = []
-                for i, own_id in enumerate(q_ids.tolist()):
-                    floor = least.get(own_id)
-                    able = ids != own_id if floor is None else (hi[i] >= floor) & (ids != own_id)
-                    order = np.flatnonzero(able)
-                    order = order[np.argsort(-hi[i, order], kind="stable")]
-                    best: list[tuple[int, int]] = []
-                    for at in range(0, len(order), 64):
-                        if len(best) == k and hi[i, order[at]] < best[0][0]:
-                            break
-                        part = order[at : at + 64]
-                        for score, other in zip((x[part] @ q[i]).tolist(), ids[part].tolist()):
-                            item = (score, -other)
-                            if len(best) < k:
-                                heapq.heappush(best, item)
-                            elif item > best[0]:
-                                heapq.heapreplace(best, item)
-                    out += [(own_id, -o, s) for s, o in best]
-                yield pa.RecordBatch.from_pydict(
-                    {n: pa.array([o[j] for o in out], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))}
-                )
-
-    return ready.join(cells.join(stored.select("block", "data"), "block"), "block").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    def lower(asks: pa.RecordBatch, held: dict[str, np.ndarray], width: int, stripe: int) -> Iterator[pa.RecordBatch]:
+        q_ids, ids = asks.column("id").to_numpy(), held["id"]
+        lo, hi = fitted[width].bounds(matrix(asks.column("v"), width), held["cells"])
+        own = q_ids[:, None] == ids[None, :]
+        lo[own] = hi[own] = -np.inf
+        best = -np.partition(-lo, min(k, lo.shape[1]) - 1, axis=1)[:, :k]
+        top = hi.max(1)
+        some = np.flatnonzero(np.isfinite(top))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "query_id": pa.array(q_ids[some]),
+                "stripe": pa.array(np.full(len(some), stripe, np.int32)),
+                "top": pa.array(top[some].astype(np.int64)),
+                "lows": pa.array([b[np.isfinite(b)].astype(np.int64) for b in best[some]], pa.list_(pa.int64())),
+            }
+        )
+
+    bounds = meet(stored.select("id", "cells", "stripe", "width"), everywhere(asked, stripes), stripes, QUERY_BLOCK, lower, "query_id bigint, stripe int, top bigint, lows array<bigint>")
+    bounds = settle(bounds, "stripe-bounds")
+    own = Window.partitionBy("query_id").orderBy(F.col("low").desc())
+    floors = bounds.select("query_id", F.explode("lows").alias("low")).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k)
+    floors = floors.groupBy("query_id").agg(F.min("low").alias("least"), F.max("n").alias("n"))
+    floors = floors.select("query_id", F.when(F.col("n") == k, F.col("least")).alias("floor"))
+    near = bounds.groupBy("query_id", "stripe").agg(F.max("top").alias("top")).join(floors, "query_id")
+    return near.filter(F.col("floor").isNull() | (F.col("top") >= F.col("floor"))).select("query_id", "stripe", "floor")

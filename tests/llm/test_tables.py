@@ -316,6 +316,31 @@ def test_search_meets_every_length(spark):
     assert {tuple(x) for x in got} == want and len(want) == len(got) == 8
 
 
+def test_search_reads_exact_vectors_only_where_a_bound_reaches(spark, monkeypatch):
+    """Queries with close partners: most stripes cannot hold one of their best, and their exact vectors are not read."""
+    from sitelens.llm import stripes
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(600, 16)) * 0.2
+    x[:3] = r.normal(size=(3, 16))
+    x[300:306] = np.repeat(x[:3], 2, axis=0) + 0.01 * r.normal(size=(6, 16))
+    seen = []
+    plain = vafile.candidate_stripes
+    monkeypatch.setattr(vafile, "BLOCK", 30)
+    monkeypatch.setattr(vafile, "LARGEST", 30)
+    monkeypatch.setattr(vafile, "candidate_stripes", lambda stored, asked, n, k, fitted: seen.append((plain(stored, asked, n, k, fitted), n)) or seen[-1][0])
+    df = spark.createDataFrame([(i, v.tolist(), 1, 1, "a", "b") for i, v in enumerate(x)], VECTORS)
+    got = sorted(tuple(g) for g in vafile.top_k(df, F.col("vec_id") < 3, 2).collect())
+    whole = np.floor(256 * x.astype(np.float32).astype(float)).astype(int)
+    want = []
+    for q in range(3):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(600) if i != q)[:2]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
+    pairs, n = seen[0][0].count(), seen[0][1]
+    assert n == stripes.stripe_count(600, 30, 30, 8) == 20 and 3 <= pairs <= 30  # of 60
+
+
 def test_archives(spark, tmp_path):
     rows = [(i, f"http://Www.Host{i % 4}.example.com:80/p?b={i % 3}&a=1#x", f"<p>page {i % 7}</p>\r\n\r\nmore é\n") for i in range(40)]
     rows += [(40, None, None), (41, "", ""), (42, "http://[bad", "WARC/1.1\r\n\r\n"), (43, "http://x.org/a b\r\nc%20", "z" * 200_000), (None, "http://x.org/", "<p>page 1</p>\r\n\r\nmore é\n"), (None, "u", "alone")]

@@ -62,7 +62,45 @@ def op6(t: Tables):
     )
 
 
-@query("op7_minimax_shards")
+#: CTE of the table that ``crc32_sql`` looks up.
+CRC = """crc_table AS (
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda k: 0::UBIGINT)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) t(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of the UTF-8 bytes of a text; ``crc`` is the list of ``CRC``."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {data}), lambda c, b: xor(c >> 8, crc[(xor(c & 255, b) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT"
+
+
+SHARD_SQL = f"""
+with recursive {CRC}, sized as (
+  select doc_id, text, (coalesce(strlen(text), 0) + 1)::bigint as size, coalesce({crc32_sql('text')}, 0) as text_crc32, coalesce(sha256(text), '') as digest
+  from documents, crc_table
+), grouped as (
+  select digest, min(doc_id) as first, sum(size)::bigint as bytes from sized group by digest
+), ends as (
+  select digest, first, bytes, (sum(bytes) over (order by first, digest))::bigint as e from grouped
+), facts as (
+  select list(e order by e) as es, max(e) as total, greatest(-(-max(e) // 8), max(bytes)) as low, -(-max(e) // 8) + max(bytes) as high from ends
+), search as (
+  select es, total, low, high from facts
+  union all
+  select es, total, case when fits then low else mid + 1 end, case when fits then mid else high end from (
+    select *, list_reduce(list_prepend(0::bigint, range(8)), lambda a, k: coalesce(list_max(list_filter(es, lambda x: x <= a + mid)), a)) >= total as fits
+    from (select *, (low + high) // 2 as mid from search where low < high))
+), cuts as (
+  select list_transform(range(1, 8), lambda n: list_reduce(list_prepend(0::bigint, range(n)), lambda a, k: coalesce(list_max(list_filter(es, lambda x: x <= a + low)), a))) as cut
+  from search where low = high
+), placed as (
+  select s.*, g.first, len(list_filter(cut, lambda c: g.e > c))::integer as shard from sized s join ends g using (digest), cuts
+)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by first, digest, doc_id) - 1 as slot, null::integer as grown_shard from placed
+"""
+
+
+@query("op7_minimax_shards", SHARD_SQL)
 def op7(t: Tables):
     from sitelens.llm.sharding import shard
 
@@ -264,7 +302,57 @@ def op11(t: Tables):
     )
 
 
-@query("op12_conversation_repair")
+STEP = """case when q = 1 and c = 's' then 2 when q in (1, 2, 4) and c = 'u' then 3 when q = 3 and c = 'a' then 4 end"""
+REPAIR_SQL = f"""
+with recursive {CRC}, coded as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as code from conversations, crc_table
+), harmed as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+    case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when code = 3 then [0, 1] else [0] end) as copy
+  from coded where code <> 0
+), ordered as (
+  select *, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body,
+    row_number() over (partition by conv_id order by turn asc nulls first, role, sha256(text), copy) as n,
+    row_number() over (partition by conv_id, role, text order by turn asc nulls first, copy) as met from harmed
+), faulty as (
+  select *, case when body = '' then 'blank' when met > 1 then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    left(role, 1) as c, lag(left(role, 1)) over (partition by conv_id order by n) as before from ordered
+), counted as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || c not in ('su', 'ua', 'au')) as illegal from faulty group by conv_id
+), best as (
+  select conv_id, n as pos, [{{c: 0::bigint, a: ''}}, {{c: 6::bigint, a: 'II'}}, {{c: 3::bigint, a: 'I'}}, {{c: 0::bigint, a: ''}}] as f from counted
+  union all
+  select conv_id, pos - 1, [
+      list_min([g[1], {{c: 3 + f3.c, a: 'I' || f3.a}}]), list_min([g[2], {{c: 3 + f3.c, a: 'I' || f3.a}}]), f3, list_min([g[4], {{c: 3 + g[3].c, a: 'I' || g[3].a}}])] from (
+    select *, list_min([g[3], {{c: 3 + g[4].c, a: 'I' || g[4].a}}]) as f3 from (
+      select b.conv_id, b.pos, list_transform([1, 2, 3, 4], lambda q: list_min(list_filter([
+          {{c: 4 + f[q].c, a: 'D' || f[q].a}},
+          case when fault not in ('blank', 'duplicate') and ({STEP}) is not null then {{c: (fault = 'truncated')::int * 3 + f[{STEP}].c, a: 'K' || f[{STEP}].a}} end,
+          case when fault not in ('blank', 'duplicate') then {{c: 3 + (fault = 'truncated')::int * 3 + f[case q when 3 then 4 else 3 end].c, a: 'R' || f[case q when 3 then 4 else 3 end].a}} end
+        ], lambda x: x is not null))) as g
+      from best b join faulty r on r.conv_id is not distinct from b.conv_id and r.n = b.pos))
+), chosen as (
+  select b.conv_id, b.f[1].c as cost, b.f[1].a as audit from best b where b.pos = 0
+), walked as (
+  select conv_id, audit, 1 as k, 1::bigint as i, 1 as q, null::varchar as done from chosen
+  union all
+  select conv_id, audit, k + 1, i + (e <> 'I')::int, case when e in ('I', 'R') then due when e = 'K' then ({STEP}) else q end,
+    case when e = 'D' then done else coalesce(done || chr(10), '') || case when e = 'K' then role when due = 4 then 'assistant' else 'user' end || ':' || case when e = 'I' then '' else text end end
+  from (select w.*, substr(audit, k, 1) as e, case q when 3 then 4 else 3 end as due, r.role, r.text, r.c
+    from walked w left join faulty r on r.conv_id is not distinct from w.conv_id and r.n = w.i where k <= length(audit))
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(done, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted c on c.conv_id is not distinct from o.conv_id
+left join (select conv_id, cost, chosen.audit, done from chosen join walked using (conv_id) where k = length(walked.audit) + 1) w on w.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
 def op12(t: Tables):
     from sitelens.llm.repair import damaged, repair
 

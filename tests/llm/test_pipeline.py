@@ -71,3 +71,19 @@ def test_run_is_the_chain_of_stages(spark, stages):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert {r["doc_id"] for r in rows.select("doc_id").distinct().collect()} == set(ids(stages[4]))
+
+
+def test_odd_rows_and_an_empty_table(spark, odd, labelled, none, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage; so does an empty table."""
+    for name, docs in (("odd", odd), ("none", none)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labelled.write.parquet(f"{folder}/labels.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = settle(f(spark, kept, folder), f"odd-{stage}")
+            assert kept.columns == odd.columns
+        rows = corpus_pipeline.run(spark, folder)
+        assert rows.agg({"length": "sum"}).first()[0] == (corpus_pipeline.STAGES[-1][1](spark, kept, folder).agg({"length": "sum"}).first()[0])
+        if name == "none":
+            assert rows.count() == 0

@@ -37,6 +37,52 @@ def test_network_gradient_lowers_loss():
     assert after < before / 2
 
 
+def plain_probabilities(weights, window):
+    """The network, one number at a time."""
+    embed, *kernels, dense, bias = weights
+    pooled = []
+    for kernel in kernels:
+        width, size, filters = kernel.shape
+        for f in range(filters):
+            pooled.append(max(sum(float(embed[window[p + j], e]) * float(kernel[j, e, f]) for j in range(width) for e in range(size)) for p in range(len(window) - width + 1)))
+    z = [float(bias[c]) + sum(h * float(dense[i, c]) for i, h in enumerate(pooled)) for c in range(len(bias))]
+    top = max(z)
+    total = sum(math.exp(v - top) for v in z)
+    return [math.exp(v - top) / total for v in z]
+
+
+def test_network_forward_and_gradient_against_plain_sums():
+    r = np.random.default_rng(1)
+    x, y = r.integers(97, 110, (5, 12)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    net = langid.Network(3)
+    before = [w.astype(float) for w in (net.embed, *net.filters, net.dense, net.bias)]
+    want = np.array([plain_probabilities(before, row) for row in x])
+    assert np.abs(net.probabilities(x, net.tables()) - want).max() < 1e-5
+
+    def loss(weights):
+        return -np.mean([math.log(plain_probabilities(weights, row)[k]) for row, k in zip(x, y)])
+
+    net.fit(x, y, epochs=1, batch=5)  # Adam's first step is the rate against the sign of each derivative
+    after = [net.embed, *net.filters, net.dense, net.bias]
+    checked = 0
+    for i, w in enumerate(before):
+        for at in r.permutation(w.size)[:12].tolist() + ([100 * 8 + 3] if i == 0 else []):
+            place = np.unravel_index(at, w.shape)
+            sides = []
+            for step in (1e-4, -1e-4):
+                moved = [v.copy() for v in before]
+                moved[i][place] += step
+                sides.append(loss(moved))
+            slope = (sides[0] - sides[1]) / 2e-4
+            change = float(after[i][place]) - float(w[place])
+            if abs(slope) > 1e-3:
+                assert change * slope < 0 and abs(abs(change) - 0.01) < 1e-3
+                checked += 1
+            elif slope == 0:
+                assert abs(change) < 1e-7
+    assert checked > 20
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs.filter(bucket("doc_id", 4) != 2))
@@ -66,6 +112,71 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([(r["score"] >= 0.7) == (r["quality"] == 1) for r in held]) > 0.95
 
 
+def plain_features(text):
+    """The sixteen features by loops over bytes and words."""
+    data = (text or "").encode()
+    words, word = [], b""
+    for b in data + b" ":
+        if b in b" \t\n\v\f\r":
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([b])
+    if not words:
+        return [0.0] * 16
+    lower = sum(97 <= b <= 122 for b in data)
+    upper = [65 <= b <= 90 for b in data]
+    white = [b in b" \t\n\v\f\r" for b in data]
+    digit = [48 <= b <= 57 for b in data]
+    mark = [b < 128 and not (97 <= b <= 122 or u or w or d) for b, u, w, d in zip(data, upper, white, digit)]
+
+    def runs(flags):  # pairs that do not overlap, from the left
+        n = i = 0
+        while i + 1 < len(flags):
+            if flags[i] and flags[i + 1]:
+                n, i = n + 1, i + 2
+            else:
+                i += 1
+        return n
+
+    edge = [True, *white, True]
+    lone, i = 0, 0
+    while i + 2 < len(edge):
+        if edge[i] and mark[i] and edge[i + 2]:
+            lone, i = lone + 1, i + 3
+        else:
+            i += 1
+    lines = []
+    for line in data.split(b"\n"):
+        if any(b not in b" \t\n\v\f\r" for b in line):
+            lines.append(line)
+    n, letters = len(words), max(1, lower + sum(upper))
+    return [
+        math.log(1 + n), sum(len(w) for w in words) / n, len(set(words)) / n, sum(upper) / letters, sum(mark) / len(data), sum(digit) / len(data),
+        runs(mark) / n, lone / n, max(words.count(w) for w in set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        1 - len(set(lines)) / len(lines), math.log(1 + len(data) / len(lines)), sum(u and edge[i] for i, u in enumerate(upper)) / n,
+        runs(upper) / letters, sum(b >= 128 for b in data) / len(data), math.log(1 + max(len(w) for w in words)),
+    ]
+
+
+def test_quality_features_against_plain_loops(spark, odd_rows):
+    texts = [r[1] for r in odd_rows if r[1] is None or len(r[1]) < 5000]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if len(r["text"] or "") < 5000]
+    texts += ["A - B -- C\x0b\x1c. .. ... \u00e9\u00c9 1a2", "-", " . . ", "AAA AAAA", "a\na\n \nb"]
+    assert np.allclose(quality.feature_matrix(texts), [plain_features(t) for t in texts], atol=1e-12)
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    """Several MB: the last part decides as much as the first."""
+    long = "abc abd " * 200_000 + "xyz xzy " * 500_000
+    df = spark.createDataFrame([(1, long, "x"), (2, "abc abd " * 30, "a"), (3, "xyz xzy " * 30, "x")], "doc_id long, text string, lang string")
+    net = langid.train(df.filter("doc_id > 1"))
+    found = {r["row"]["doc_id"]: r for r in langid.predict(df, net).collect()}
+    assert found[1]["lang_pred"] == "x" and abs(found[1]["score"] - 5 / 7) < 0.1
+    labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert 0 <= quality.scored(df, quality.train(df, labels)).filter("row.doc_id = 1").first()["score"] <= 1
+
+
 def test_additive_model_needs_its_pairs():
     r = np.random.default_rng(0)
     x = r.normal(size=(4000, 3))

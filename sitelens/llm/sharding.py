@@ -96,8 +96,9 @@ def shard(docs: DataFrame, shards: int = 8, doc: str = "doc_id", text: str = "te
         F.coalesce(F.sha2(value, 256), F.lit("")).alias("digest"),
     )
     rows = settle(rows, "shard-rows")
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"))
-    members = rows.join(groups.select("digest", "first"), "digest")
+    # Written on their own, so that the join can be split at a text with very many copies.
+    groups = settle(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "shard-groups")
+    members = rows.join(groups, "digest")
     order = ["first", "digest", "doc_id"]
     placed = settle(ordered_sums(members, order, "shard-order"), "shard-places")
     ends = settle(placed.groupBy("first", "digest").agg(F.max("end").alias("end"), F.sum("size").alias("bytes")), "shard-ends")

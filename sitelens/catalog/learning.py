@@ -20,10 +20,26 @@ def examples(t: Tables) -> DataFrame:
     )
 
 
+def flagged_lengths(t: Tables) -> DataFrame:
+    """Shortness of each labelled document as score, low quality as label."""
+    rows = t.documents.select("doc_id", (-F.log1p(F.col("n_chars").cast("double"))).alias("score")).join(t.labels, "doc_id")
+    return rows.withColumn("label", (F.col("quality") == 0).cast("int"))
+
+
+@query("platt_coefficients", """WITH RECURSIVE rows AS (SELECT -ln(1 + n_chars::DOUBLE) AS s, (quality = 0)::INT AS y FROM documents JOIN labels USING (doc_id)),
+fit AS (SELECT 0 AS step, 0::DOUBLE AS a, 0::DOUBLE AS b UNION ALL
+  SELECT step + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM
+    (SELECT step, a, b, sum((p - y) * s) AS g1, sum(p - y) AS g2, sum(p * (1 - p) * s * s) AS h11, sum(p * (1 - p) * s) AS h12, sum(p * (1 - p)) AS h22 FROM
+      (SELECT step, a, b, s, y, 1 / (1 + exp(-a * s - b)) AS p FROM fit, rows WHERE step < 25) GROUP BY step, a, b))
+SELECT round(a, 5) AS slope, round(b, 5) AS intercept FROM fit WHERE step = 25""")
+def platt_coefficients(t: Tables) -> DataFrame:
+    slope, intercept = L.platt_fit(flagged_lengths(t), "score", "label")
+    return rounded(t.labels.sparkSession.createDataFrame([(slope, intercept)], "slope double, intercept double"), digits=5)
+
+
 @query("platt_calibration")
 def platt_calibration(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", (-F.log1p(F.col("n_chars").cast("double"))).alias("score")).join(t.labels, "doc_id")
-    flagged = rows.withColumn("label", (F.col("quality") == 0).cast("int"))
+    flagged = flagged_lengths(t)
     slope, intercept = L.platt_fit(flagged, "score", "label")
     return rounded(L.calibration_report(flagged, "score", "label", slope, intercept), digits=4)
 

@@ -41,8 +41,9 @@ def input_bytes(df: DataFrame) -> float:
     """Size of all the tables a plan reads, as the optimizer knows it."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        # A written intermediate may carry the estimate of the joins behind it, which multiplies beyond any float.
         return float(
-            sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+            sum(min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 62) for i in range(leaves.size()))
         )
     except AttributeError:  # a session that has no plan at hand counts as large
         return float("inf")

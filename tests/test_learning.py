@@ -38,3 +38,24 @@ def test_base_classifiers_keep_the_operators_settings(spark, tables, monkeypatch
     monkeypatch.setattr(learning.L, "fit_classifier", lambda train, columns, kind, **b: seen.append((len(columns), set(b))) or plain(train, columns, kind, **b))
     assert QUERIES["base_classifiers"](spark, tables).count() == 100
     assert seen == [(64, {"balance"})] * 5
+
+
+def test_folds_fitted_together_are_the_models_fitted_alone(spark, tables):
+    """Same objective and same coefficients as Spark ML's logistic regression on the other folds."""
+    from pyspark.sql import functions as F
+
+    from sitelens.operators import learners as L
+
+    rows = spark.read.parquet(f"{tables}/embeddings.parquet").select(
+        (F.col("label") % 2).cast("double").alias("label"), (F.col("vec_id") % 3).alias("fold"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(5)], F.lit(2.0).alias("x5")
+    )
+    columns = [f"x{i}" for i in range(6)]
+    models = L.logistic_folds(rows, columns, fold="fold", folds=[0, 1, 2])
+    for k in range(3):
+        alone = L.fit_classifier(rows.where(F.col("fold") != k), columns, "logistic", tol=1e-12, maxIter=300).stages[-1]
+        assert np.allclose(models[k][:-1], alone.coefficients.toArray(), atol=1e-6) and models[k][-1] == pytest.approx(alone.intercept, abs=1e-6)
+    scored = L.out_of_fold(rows, columns, "fold", [0, 1, 2], "logistic").collect()
+    assert len(scored) == 300
+    r = scored[0]
+    margin = sum(models[r["fold"]][i] * r[f"x{i}"] for i in range(6)) + models[r["fold"]][6]
+    assert r["prob"] == pytest.approx(1 / (1 + np.exp(-margin)))

@@ -1,9 +1,11 @@
 """Readers on files written to a test folder, and the three end-to-end plans on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from sitelens.operators.clean import InvalidInput
 from sitelens.plans.candidates import score_candidates
-from sitelens.plans.cohorts import CohortConfig, validate_cohorts
+from sitelens.plans.cohorts import CohortConfig, confounder_sensitivity, validate_cohorts
 from sitelens.plans.directions import DirectionConfig, score_directions
 from sitelens.sources import sequences, tables
 
@@ -103,9 +105,42 @@ def test_cohort_plan(spark):
     expr = spark.createDataFrame([("C", f"g{j}", i, float(i * (1 if j < 4 else 0) + (i * j) % 5)) for j in range(12) for i in samples], "cohort string, gene string, sample int, value double")
     edges = spark.createDataFrame([("TF", f"g{j}", 1.0) for j in range(4)], "source string, target string, weight double")
     sites = spark.createDataFrame([("S1", "TF", "import")], "site string, regulator string, direction string")
-    out = validate_cohorts(values, expr, edges, sites, config=CohortConfig(random_iterations=20))
+    edges = edges.union(spark.createDataFrame([(" tf ", "G0", 1.0)], "source string, target string, weight double"))
+    config = CohortConfig(random_iterations=20, confounders="none")
+    out = validate_cohorts(values, expr, edges, sites, config=config)
     test = out.site_tests.first()
     assert test.n_targets == 4 and test.delta > 0 and test.w_plus == 10.0 and test.p_value == pytest.approx(1 / 16)
     control = out.random_control.first()
     assert control.n_random == 20 and control.observed_mean > control.null_mean and control.p_greater < 0.2
     assert out.activity_tests.first().mean_high > out.activity_tests.first().mean_low
+    assert out.sensitivity is None
+
+
+def test_confounder_sensitivity(spark):
+    """Coefficients beside two covariates against least squares; too few samples give NULL, absent parts stay NULL."""
+    import numpy as np
+
+    samples = range(1, 13)
+    values = spark.createDataFrame([("C", "S1", i, float(i)) for i in samples], "cohort string, site string, sample int, value double")
+    expr = spark.createDataFrame([("C", f"g{j}", i, float(i + (i * j) % 5)) for j in (0, 1, 9) for i in samples], "cohort string, gene string, sample int, value double")
+    protein = spark.createDataFrame([("C", "g9", i, float((i * 7) % 5)) for i in samples], "cohort string, gene string, sample int, value double")
+    phenotype = spark.createDataFrame([("C", i, float((i * 5) % 7)) for i in samples], "cohort string, sample int, purity double")
+    targets = spark.createDataFrame([("S1", "import", f"g{j}", "activate") for j in (0, 1)], "site string, direction string, gene string, regulation string")
+    sites = spark.createDataFrame([("S1", "g9", "import")], "site string, regulator_gene string, direction string")
+    members = spark.createDataFrame([("C", "S1", i, "high" if i > 6 else "low") for i in samples], "cohort string, site string, sample int, side string")
+    summary = spark.createDataFrame([("C", "S1", "success")], "cohort string, site string, status string")
+    activity = spark.createDataFrame([("C", "S1", "import", i, float((i * i) % 11)) for i in samples], "cohort string, site string, direction string, sample int, activity double")
+    tables = (values, expr, targets, sites, members, summary, activity)
+    config = CohortConfig(covariates=("protein", "purity"), confounders="adjusted")
+    found = confounder_sensitivity(*tables, protein, phenotype, config)
+    x = np.array([[1.0, i, (i * 7) % 5, (i * 5) % 7] for i in samples])
+    for r in found.adjusted_targets.collect():
+        y = np.array([i + (i * int(r.gene[1:])) % 5 for i in samples], float)
+        assert r.coef == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0][1]) and r.n_samples == 12
+    row = found.robustness.first()
+    assert row.n_adjusted_targets == 2 and row.mean_directional_coef > 0 and row.ratio_significant is None and row.possible_confounding is None
+    few = confounder_sensitivity(*tables, protein, phenotype, CohortConfig(covariates=("purity",), confounders="adjusted", min_samples=13))
+    least = few.adjusted_activity.first()
+    assert least.coef is None and least.n_samples == 12
+    with pytest.raises(InvalidInput):
+        confounder_sensitivity(*tables, config=CohortConfig(confounders="some"))

@@ -54,3 +54,24 @@ def test_rank_sum_has_no_size_limit():
     assert exact == pytest.approx(float(counts[:11].sum()))
     pairs = math.comb(n + 2, 2)
     assert exact == pytest.approx(sum(u // 2 + 1 for u in range(11)) / pairs, rel=1e-6)
+
+
+@pytest.mark.parametrize("m, n", [(30, 30), (9, 60), (67, 133), (40, 41)])
+def test_rank_sum_upper_against_whole_numbers(m, n):
+    counts = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for u in range(m * n, n + i - 1, -1):
+            counts[u] -= counts[u - n - i]
+        for u in range(i, m * n + 1):
+            counts[u] += counts[u - i]
+    for k in (0, 1, m * n // 3, m * n // 2, m * n // 2 + 1, 2 * m * n // 3, m * n - 3, m * n, m * n + 1):
+        exact = Fraction(sum(counts[k:]), sum(counts))
+        assert tails.rank_sum_upper(n, m, k) == pytest.approx(float(exact), rel=1e-9)
+
+
+def test_exact_rank_sum_of_large_groups():
+    """Counts beyond any double: the exact tail stays finite, and near the normal one."""
+    for above in (0.1, 2.0):
+        u = 4000 * 8000 / 2 + above * math.sqrt(4000 * 8000 * 12001 / 12)
+        p = tails.rank_sum_p(u, 4000, 8000, 0.0, "greater", True)
+        assert p == pytest.approx(tails.rank_sum_p(u, 4000, 8000, 0.0, "greater", False), rel=2e-3)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitelens.operators import ordered
+from sitelens.operators.aggregates import collapse_edges
 from sitelens.operators.cohort import group_means
 
 
@@ -32,3 +33,10 @@ def test_group_means_of_settled_tables(hot):
         ("p", "h", "low"): (1.5, 2), ("p", "h", "high"): (3.5, 2),
         ("q", "h", "low"): (1.5, 2), ("q", "h", "high"): (3.5, 2),
     }
+
+
+def test_signs_of_edges_need_no_distinct_count(spark):
+    edges = spark.createDataFrame([("a", "x", 2.0), ("A", "x", -1.0), ("b", "x", 1.0), ("b", "x", 3.0), ("c", "x", -1.0), ("c", "x", 0.0)], "s string, t string, w double")
+    out = collapse_edges(edges, "s", "t", "w")
+    assert {r["s"]: (r["n_signs"], r["n_edges"], r["sign_conflict"]) for r in out.collect()} == {"A": (2, 2, True), "b": (1, 2, False), "c": (1, 1, False)}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -7,6 +7,10 @@ used, which every SQL engine has.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +99,44 @@ def permuted(df: DataFrame, index: str, keys: str, out: str) -> DataFrame:
     place = F.when(first < n, first).otherwise(walked["l"] * b + walked["r"])
     # Never null, and said so: a filter for nulls would be pushed below the rounds, which doubles it in each.
     return df.withColumn(out, F.coalesce(place, F.lit(0).cast("bigint"))).drop("_l", "_r")
+
+
+# ------------------------------------------ the same draws, many at a time in a task
+
+
+def index_places(text: str, iteration: int, slots: Sequence[bytes], n: int) -> np.ndarray:
+    """``draw_index`` less 1 for each slot, given as text; ``text`` is the seed and the key joined by ``|``."""
+    start = f"{text}|{iteration}|".encode()
+    digests = b"".join([hashlib.md5(start + slot).digest() for slot in slots])
+    heads = np.zeros((len(slots), 8), dtype=np.uint8)
+    heads[:, 2:] = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)[:, :6]
+    return (heads.view(">u8").ravel() % np.uint64(n)).astype(np.int64)
+
+
+def network_keys(text: str, iteration: int) -> list[int]:
+    """The coefficients of ``permutation_keys``."""
+    keys = [hashlib.md5(f"{text}|{iteration}|{r}".encode()).hexdigest() for r in range(ROUNDS)]
+    return [int(key[8 * i : 8 * i + 8], 16) % PRIME for key in keys for i in range(3)]
+
+
+def permuted_places(index: np.ndarray, n: int, k: Sequence[int]) -> np.ndarray:
+    """``permuted`` of whole numbers 0..n-1, for n below 2**31."""
+    a = int(np.ceil(np.sqrt(float(n))))
+    b = (n + a - 1) // a
+    k = [np.uint64(c) for c in k]
+    prime, a, b = np.uint64(PRIME), np.uint64(a), np.uint64(b)
+
+    def network(at: np.ndarray) -> np.ndarray:
+        left, right = at // b, at % b
+        for r in range(0, ROUNDS, 2):
+            # A polynomial below 2**63 needs one remainder, at its end.
+            left = (left + ((k[3 * r] * right + k[3 * r + 1]) * right + k[3 * r + 2]) % prime) % a
+            right = (right + ((k[3 * r + 3] * left + k[3 * r + 4]) * left + k[3 * r + 5]) % prime) % b
+        return left * b + right
+
+    place = network(index.astype(np.uint64))
+    outside = np.flatnonzero(place >= np.uint64(n))
+    while len(outside):
+        place[outside] = network(place[outside])
+        outside = outside[place[outside] >= np.uint64(n)]
+    return place.astype(np.int64)

@@ -99,3 +99,45 @@ def test_best_of_draws_follows_the_law_of_the_minimum(spark):
     assert row.n_random == 4000 and abs(row.null_mean_best_rank - 31 / 5) < 0.4 and row.null_median_best_rank in (4.0, 5.0, 6.0)
     tests = {r.metric: r for r in RS.cluster_hit_test(clusters, pool, ["c"], "s", "r", "m", [1, 5], 4000, 7).collect()}
     assert abs(tests["hit_rate_5"].null_mean - (1 - comb(25, 4) / comb(30, 4))) < 0.05 and tests["hit_rate_1"].observed == 1.0
+
+
+@pytest.mark.parametrize("replace", [False, True])
+def test_sums_of_draws_are_those_of_the_drawn_rows(spark, replace):
+    """Pools held as arrays and pools joined row by row give what the drawn rows add up to; NULL keys take no part."""
+    rows = spark.range(1, 701).select(
+        F.when(F.col("id") % 7 != 6, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"), (F.col("id") * 13 % 701).alias("m"),
+        F.when(F.col("id") % 10 != 0, F.col("id") * 0.25).alias("v"))
+    blocks = RS.pool_blocks(rows, ["k"], "v", "m")
+    asked = blocks.groupBy("k").agg(F.sum("_n").alias("n")).withColumn("w", F.when(F.col("k") == "k0", 200).otherwise(17))
+    pool = RS.number_pool(rows.where("v IS NOT NULL"), ["k"], "m")
+    drawn = RS.repeated_draws(asked, pool, ["k"], "n", "w", 60, 3, replace).groupBy("k", "iteration").agg(F.sum("v"), F.count("v"))
+    expected = sorted(tuple(r) for r in drawn.collect())
+    get = lambda: sorted(tuple(r) for r in RS.drawn_sums(rows, blocks, asked, ["k"], "n", "w", "v", "m", 60, 3, replace).collect())
+    assert len(expected) == 6 * 60 and get() == expected
+    spark.conf.set(RS.HELD_ROWS_KEY, "90")
+    try:
+        assert get() == expected
+    finally:
+        spark.conf.unset(RS.HELD_ROWS_KEY)
+
+
+@pytest.mark.parametrize("name", ["bootstrap", "control"])
+def test_controls_make_no_row_for_a_draw(spark, name):
+    rows = spark.range(400).select(F.lit("s").alias("site"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("g"), F.col("id"), (F.col("id") % 9 * 1.0).alias("v"))
+    out = RS.bootstrap_mean_difference(rows, [], "g", "v", "x", "y", "id", 50) if name == "bootstrap" else RS.matched_random_control(
+        rows.where("g = 'x'"), rows.where("g = 'y'"), ["site"], "v", "id", 50)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "slot" not in plan and "FlatMapGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 97, 1000])
+def test_places_worked_out_in_a_task_are_those_of_the_columns(spark, n):
+    import numpy as np
+
+    from sitelens.functions import draws as D
+
+    base = spark.range(n).withColumn("keys", D.permutation_keys(F.lit(n), 3, F.lit("é|x"), F.lit(8)))
+    rows = D.permuted(base, "id", "keys", "place").withColumn("drawn", D.draw_index(F.lit(n), 3, F.lit("é|x"), F.lit(8), "id")).orderBy("id").collect()
+    assert D.permuted_places(np.arange(n), n, D.network_keys("3|é|x", 8)).tolist() == [r.place for r in rows]
+    assert (D.index_places("3|é|x", 8, [str(i).encode() for i in range(n)], n) + 1).tolist() == [r.drawn for r in rows]

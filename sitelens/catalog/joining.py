@@ -39,10 +39,8 @@ def group_fallback(t: Tables) -> DataFrame:
 
 @query("matched_and_missing", """SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS matched FROM orders""")
 def matched_and_missing(t: Tables) -> DataFrame:
-    orders = t.orders.select("o_orderkey")
-    items = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    hit, miss = J.split_matched(orders, items, ["o_orderkey"])
-    return hit.withColumn("matched", F.lit(True)).unionByName(miss.withColumn("matched", F.lit(False)))
+    items = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"))
+    return J.with_match(t.orders.select("o_orderkey"), items, ["o_orderkey"])
 
 
 @query("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

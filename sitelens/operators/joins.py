@@ -63,6 +63,18 @@ def split_matched(left: DataFrame, right: DataFrame, key: Sequence[str]) -> tupl
     return left.join(right, list(key), "inner"), left.join(right, list(key), "left_anti")
 
 
+def with_match(left: DataFrame, right: DataFrame, key: Sequence[str], out: str = "matched") -> DataFrame:
+    """Every row of ``left`` once, with ``out`` true where ``right`` has its key; a NULL key has no partner.
+
+    The tables meet once, in a number of partitions that is not coalesced: keys are so few bytes
+    that the partitions of many rows would be put together in one task.
+    """
+    key = list(key)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = right.select(*key).distinct().withColumn("_mark", F.lit(True))
+    return left.repartition(parts, *key).join(marks, key, "left").withColumn(out, F.col("_mark").isNotNull()).drop("_mark")
+
+
 def nearest_distance(
     rows: DataFrame, references: DataFrame, group: Sequence[str], pos: str, out: str = "distance"
 ) -> DataFrame:

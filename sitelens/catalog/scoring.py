@@ -275,9 +275,7 @@ def linear_fold_scores(t: Tables) -> DataFrame:
         F.lit(-0.1).alias("(intercept)"),
     )
     coefs = means.unpivot(["fold"], ["q", "d", "x", "(intercept)"], "feature", "coef")
-    scored = E.linear_scores(feats, coefs, ["l_orderkey", "l_linenumber"], ["q", "d", "x"])
-    return rounded(scored.groupBy("l_orderkey", "l_linenumber", "fold").agg(
-        F.sum("decision").alias("decision"), F.sum("prob").alias("prob")))
+    return rounded(E.linear_score_sums(feats, coefs, ["l_orderkey", "l_linenumber"], ["q", "d", "x"]))
 
 
 @query("score_or_model_mean", """SELECT l_orderkey, l_linenumber,

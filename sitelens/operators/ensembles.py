@@ -197,6 +197,30 @@ def linear_scores(features: DataFrame, coefs: DataFrame, key: Sequence[str], col
     return joined.select(*key, fold, raw.alias("decision"), S.sigmoid(raw).alias("prob"))
 
 
+def linear_score_sums(features: DataFrame, coefs: DataFrame, key: Sequence[str], columns: Sequence[str], fold: str = "fold") -> DataFrame:
+    """``linear_scores`` added up over the rows of a key, by fold.
+
+    Rows meet by key before they are scored, and the folds are columns until their sums are made, so what
+    travels is one row of features for all folds. The models, one row per fold, are read by the driver.
+    """
+    key = list(key)
+    models = coefs.groupBy(fold).pivot("feature", ["(intercept)", *columns]).agg(F.max("coef")).orderBy(fold).collect()
+    sums = []
+    for i, m in enumerate(models):
+        terms = [F.coalesce(F.col(c) * F.lit(m[c]).cast("double"), F.lit(0.0)) for c in columns]
+        raw = sum(terms[1:], terms[0]) + F.lit(0.0 if m["(intercept)"] is None else m["(intercept)"])
+        sums += [F.sum(raw).alias(f"_d{i}"), F.sum(S.sigmoid(raw)).alias(f"_p{i}")]
+    if not models:
+        return linear_scores(features, coefs, key, columns, fold)
+    kind = coefs.schema[fold].dataType
+    folds = [
+        F.struct(F.lit(m[fold]).cast(kind).alias(fold), F.col(f"_d{i}").alias("decision"), F.col(f"_p{i}").alias("prob"))
+        for i, m in enumerate(models)
+    ]
+    wide = features.select(*key, *columns).repartition(*key).groupBy(*key).agg(*sums)
+    return wide.select(*key, F.inline(F.array(*folds)))
+
+
 def score_or_model_mean(df: DataFrame, score: str, models: Sequence[str], out: str = "score") -> DataFrame:
     """The score column, else the mean of the model columns that are present."""
     have = [m for m in models if m in df.columns]

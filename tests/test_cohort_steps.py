@@ -3,6 +3,7 @@
 from sitelens.catalog import cohorts as Q
 from sitelens.catalog.registry import Tables
 from sitelens.operators import cohort as C
+from sitelens.operators import rank_tests as R
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +32,28 @@ def test_sites_with_values_are_those_of_group_means(hot):
     found = {tuple(r) for r in C.sites_with_values(members, targets, expression, *names).collect()}
     means = C.group_means(members, targets, expression, *names, "expr", ["regulation"]).select("cohort", "site").distinct()
     assert found == {tuple(r) for r in means.collect()} == {("c", "p")}
+
+
+def test_abundance_diagnostic_makes_its_rows_once(spark, hot, tmp_path):
+    source = str(tmp_path / "rows")
+    rows = [("c", i % 2, "high" if i % 3 else "low", float(i % 7), float((i * i) % 5) if i % 11 else None) for i in range(60)]
+    spark.createDataFrame(rows, "cohort string, site int, side string, value double, purity double").write.parquet(source)
+    keys = ["cohort", "site"]
+    found = []
+    for limit in ("4", "1000"):
+        spark.conf.set("spark.sitelens.hotGroupRows", limit)
+        out = C.abundance_diagnostic(spark.read.parquet(source), keys, "value", "purity")
+        assert out.inputFiles() and not any(source in f for f in out.inputFiles())
+        found.append({r.site: (r.n_high, r.n_low, r.u, round(r.rho, 12), r.higher_in_high) for r in out.collect()})
+    assert found[0] == found[1] and len(found[0]) == 2
+
+
+def test_ordinary_groups_are_ranked_in_one_shuffle(spark, hot):
+    spark.conf.set("spark.sitelens.hotGroupRows", "1000")
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 1.0), (1, 3.0, nan), (1, 4.0, 0.0), (1, 0.0, -0.0), (1, None, 9.0), (2, 1.0, 1.0)], "k int, x double, y double")
+    out = R.spearman(rows, ["k"], "x", "y")
+    # ranks 2.5, 2.5, 4, 5, 1 and 4, 3, 5, 1.5, 1.5
+    assert {r.k: (r.n_pairs, r.rho and round(r.rho, 9)) for r in out.collect()} == {1: (5, 0.157894737), 2: (1, None)}
+    plan = executed(out).split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -127,8 +127,8 @@ def confounder_sensitivity(
         done = summary.where("status = 'success'").select(*SITE)
         rows = frame.join(done, SITE, "left_semi")
         outcome = expression.select("cohort", "gene", "sample", F.col("value").alias("_outcome"))
-        fits = C.adjusted_association(
-            rows.join(targets, "site").join(outcome, ["cohort", "gene", "sample"]), [*keys, "gene", "regulation"], "_outcome", "value", covariates, [], config.min_samples
+        fits = C.adjusted_target_association(
+            rows, targets, outcome, ["cohort"], ["site"], "sample", "gene", "_outcome", "value", covariates, [], config.min_samples, ["direction", "regulation"]
         )
         adjusted_targets = fits.withColumn("directional_coef", S.directional_effect("coef", "direction", "regulation"))
         adjusted_activity = C.adjusted_association(

@@ -57,3 +57,38 @@ def test_ordinary_groups_are_ranked_in_one_shuffle(spark, hot):
     assert {r.k: (r.n_pairs, r.rho and round(r.rho, 9)) for r in out.collect()} == {1: (5, 0.157894737), 2: (1, None)}
     plan = executed(out).split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_adjusted_targets_equal_the_regressions_of_joined_rows(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("c", s, m, 5e4 + ((m * m + ord(s)) % 11) / 100, ((m * 7 + ord(s)) % 13) / 1000) for s in "pqr" for m in range(20)]
+    rows += [("c", "k", m, 0.1, m / 7) for m in range(12)] + [("d", "p", m, float(m % 4), 1.0 + m % 3) for m in range(9)]
+    rows += [("c", "n", m, nan if m == 3 else float(m * m % 5), float(m % 7)) for m in range(15)] + [("c", None, 1, 1.0, 1.0), ("c", "p", 21, None, 1.0)]
+    rows = spark.createDataFrame(rows, "cohort string, site string, sample int, value double, purity double")
+    targets = spark.createDataFrame([(s, g, "activate") for s in "pqrkn" for g in "ghi"] + [("p", "z", "repress"), ("p", None, "repress")], "site string, gene string, regulation string")
+    held = [("c", g, m, 3.0 + ((m * m * 3 + ord(g)) % 17) / 7) for g in "gh" for m in range(22) if g == "g" or m not in (3, 8)]
+    held += [("d", "g", m, float(m * m % 5)) for m in range(9)] + [("c", "i", m, inf if m == 2 else 1.0 * (m % 2)) for m in range(18)]
+    expression = spark.createDataFrame(held, "cohort string, gene string, sample int, expr double")
+    joined = rows.join(targets, "site").join(expression, ["cohort", "gene", "sample"])
+    keys = ["cohort", "site", "gene", "regulation"]
+    plain = C.adjusted_association(joined, keys, "expr", "value", ["purity"], ["cohort"], 9)
+    names = ["cohort"], ["site"], "sample", "gene", "expr", "value", ["purity"], ["cohort"], 9
+    out = C.adjusted_target_association(rows, targets, expression, *names, extra=["regulation"])
+
+    def shown(df):
+        return {tuple(r[k] for k in keys): (r.n_samples, *[None if v is None else round(v, 7) for v in (r.coef, r.p_value, r.q_value)]) for r in df.collect()}
+
+    found = shown(out)
+    assert found == shown(plain)
+    assert found[("c", "n", "h", "activate")][1] is not None and found[("c", "n", "g", "activate")][1] is None
+    assert found[("c", "k", "g", "activate")][1] is None and len(found) == 16
+
+
+def test_adjusted_targets_make_no_row_for_a_sample_of_a_pair(hot, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows were joined")
+
+    monkeypatch.setattr(C, "ols_coefficient", refused)
+    t = Tables(hot, SMALL)
+    assert Q.adjusted_targets(t).count() > 0
+    assert {m.__name__ for m in t.made} == {"observed", "covariates", "targets", "expression"}

@@ -21,6 +21,26 @@ def test_site_status_reads_lineitem_in_no_step_twice(hot):
     assert "MapInArrow" not in executed(out)
 
 
+def test_activity_writes_its_members_once(hot, tmp_path):
+    source = str(tmp_path / "members")
+    rows = [("c", s, m, "low" if m < 2 else "high") for s in ("p", "q", "r") for m in range(4)]
+    hot.createDataFrame(rows, "cohort string, site string, sample int, side string").write.parquet(source)
+    targets = hot.createDataFrame([("p", "g", "activate"), ("p", "h", "repress"), ("q", "h", "repress")], "site string, gene string, regulation string")
+    expression = hot.createDataFrame([("c", g, m, float(m if g == "g" else m % 2)) for g in "gh" for m in range(4)], "cohort string, gene string, sample int, expr double")
+    members = hot.read.parquet(source)
+    out = C.regulator_activity(members, targets, expression, ["cohort"], ["site"], "sample", "gene", "expr")
+    assert not any(source in f for f in out.inputFiles())
+    found = {(r.site, r.sample): round(r.activity, 6) for r in out.collect()}
+    assert found == {(s, m): round((s == "p") * (m - 1.5) / 1.25**0.5 - (1 if m % 2 else -1), 6) for s in "pq" for m in range(4)}
+    hot.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = executed(out.drop("side").join(members, ["cohort", "site", "sample"])).split("== Initial Plan ==")[-1]
+    finally:
+        hot.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = plan.split("Join")[1]
+    assert "Exchange" not in top
+
+
 def test_sites_with_values_are_those_of_group_means(hot):
     members = hot.createDataFrame(
         [("c", s, m, "low" if m < 2 else "high") for s in "pqr" for m in range(3)] + [("d", "p", 9, "high")],

@@ -1,9 +1,11 @@
 """Tables that grow with the input are merged, never collected by the driver to be broadcast."""
 
+from sitelens.catalog import cohorts as Q
 from sitelens.catalog import joining
 from sitelens.catalog.registry import Tables
+from sitelens.operators import cohort as C
 from sitelens.operators import joins as J
-from sitelens.operators.ordered import merge_join
+from sitelens.operators.ordered import merge_join, settle
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,6 +20,13 @@ def test_small_inputs_are_left_to_spark(spark):
     assert {r.k for r in merge_join(left, right, ["k"]).collect()} == {0, 1, 2}
 
 
+def test_settled_tables_are_never_small(spark):
+    left, right = settle(spark.range(5).toDF("k")), spark.range(3).toDF("k")
+    for one, other in ((left, right), (right, left), (left.distinct(), right)):
+        assert "Broadcast" not in plan(merge_join(one, other, ["k"]))
+        assert {r.k for r in merge_join(one, other, ["k"]).collect()} == {0, 1, 2}
+
+
 def test_copies_of_genes_are_merged(hot):
     edges = hot.createDataFrame([("s", "g", 0.5), ("s", "g", 0.5), ("r", " G", None), (None, "h", 1.0), ("s", None, 1.0)], "site string, target string, weight double")
     genes = hot.createDataFrame([("g", 1), ("G", 1), ("g", 2), ("h", 3), (None, 4)], "symbol string, gene int")
@@ -32,3 +41,24 @@ def test_parts_are_merged_with_their_lines(hot):
     assert "Broadcast" not in plan(joining.edges(t))
     top = plan(joining.targets_to_parts(t)).split("Exchange")[0]
     assert "SortMergeJoin" in top and "Broadcast" not in top
+
+
+def inputs(session):
+    rows = [(c, s, m, "low" if m < 2 else "high") for c in "cd" for s in ("p", "q", "r") for m in range(4)]
+    members = session.createDataFrame(rows, "cohort string, site string, sample int, side string")
+    targets = session.createDataFrame([("p", "g", "activate"), ("p", "h", "repress"), ("q", "h", "repress"), (None, "h", "repress")], "site string, gene string, regulation string")
+    expression = session.createDataFrame([(c, g, m, float(m if g == "g" else m % 2)) for c in "cd" for g in "gh" for m in range(4)], "cohort string, gene string, sample int, expr double")
+    return members, targets, expression
+
+
+def test_members_and_targets_are_merged(hot):
+    members, targets, expression = inputs(hot)
+    names = ["cohort"], ["site"], "sample", "gene", "expr"
+    activity = C.regulator_activity(members, targets, expression, *names)
+    # Above the tiles only tables of a row for each site or member are left.
+    assert "SortMergeJoin" in plan(activity).split("MapInArrow")[0] and "Broadcast" not in plan(activity).split("MapInArrow")[0]
+
+
+def test_matrix_is_merged_with_its_values(hot):
+    top = plan(Q.site_matrix(Tables(hot, SMALL))).split("Exchange")[0]
+    assert "SortMergeJoin" in top and "Broadcast" not in top

@@ -57,6 +57,22 @@ def test_members_and_targets_are_merged(hot):
     activity = C.regulator_activity(members, targets, expression, *names)
     # Above the tiles only tables of a row for each site or member are left.
     assert "SortMergeJoin" in plan(activity).split("MapInArrow")[0] and "Broadcast" not in plan(activity).split("MapInArrow")[0]
+    means = C.group_means(members, targets, expression, *names, ["regulation"])
+    assert "SortMergeJoin" in plan(means).split("MapInArrow")[0] and "Broadcast" not in plan(means)
+    assert {(r.cohort, r.site, r.gene, r.side): r.group_mean for r in means.where("site = 'p'").collect()} == {
+        (c, "p", g, s): {"g": {"low": 0.5, "high": 2.5}, "h": {"low": 0.5, "high": 0.5}}[g][s] for c in "cd" for g in "gh" for s in ("low", "high")
+    }
+
+
+def test_sensitivity_parts_are_merged_with_their_sites(hot):
+    sites = hot.createDataFrame([("c", i) for i in range(4)], "cohort string, site int")
+    fits = hot.createDataFrame([("c", 1, "g", 0.5, 0.01), ("c", 1, "h", 1.5, 0.2)], "cohort string, site int, gene string, directional_coef double, p_value double")
+    own = hot.createDataFrame([("c", 2, 0.25, 0.5)], "cohort string, site int, coef double, p_value double")
+    out = C.robustness_summary(sites, ["cohort", "site"], adjusted_targets=fits, adjusted_activity=own)
+    assert "Broadcast" not in plan(out)
+    assert {r.site: (r.n_adjusted_targets, r.mean_directional_coef, r.activity_coef) for r in out.collect()} == {
+        0: (None, None, None), 1: (2, 1.0, None), 2: (None, None, 0.25), 3: (None, None, None)
+    }
 
 
 def test_matrix_is_merged_with_its_values(hot):
